@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
 from .quality_rules import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .licenses import op9_license_scan
 from .quality_rules import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op9_license_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

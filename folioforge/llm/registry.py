@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .licenses import op9_license_scan
+from .pii import op1_pii
 from .quality_rules import op10_quality_rules
 from .secrets import op2_secret_scan
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_decontaminate, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secret_scan, op3_decontaminate, op9_license_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,7 @@ from .licenses import op9_license_scan
 from .pii import op1_pii
 from .quality_rules import op10_quality_rules
 from .secrets import op2_secret_scan
+from .sharding import op8_sharding
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secret_scan, op3_decontaminate, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secret_scan, op3_decontaminate, op8_sharding, op9_license_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op6_byte_bpe
 from .decontaminate import op3_decontaminate
 from .licenses import op9_license_scan
 from .near_dup import op4_near_dup
@@ -10,5 +11,5 @@ from .quality_rules import op10_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secret_scan, op3_decontaminate, op4_near_dup, op8_sharding, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secret_scan, op3_decontaminate, op4_near_dup, op6_byte_bpe, op8_sharding, op9_license_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -7,10 +7,11 @@ from .decontaminate import op3_decontaminate
 from .licenses import op9_license_scan
 from .near_dup import op4_near_dup
 from .pii import op1_pii
+from .quality_model import op7_quality_gam
 from .quality_rules import op10_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secret_scan, op3_decontaminate, op4_near_dup, op5_toxicity, op6_byte_bpe, op8_sharding, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secret_scan, op3_decontaminate, op4_near_dup, op5_toxicity, op6_byte_bpe, op7_quality_gam, op8_sharding, op9_license_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

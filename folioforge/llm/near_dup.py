@@ -5,14 +5,15 @@ kept, so half the permutations give a signature of the same length, of lower var
 two are anticorrelated. BANDS bands of two permutations (four values) give candidates: at a
 similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**24 = 0.999997.
 
-Steps, each a table: (1) texts become a set size, a fingerprint of the whole set and band keys;
-(2) documents of equal sets are one class from then on, whatever their number; (3) in each bucket
-every class is compared with the least one, on full sets; (4) links make components; (5) buckets
-whose members are still in different components are finished exactly: each member outside the
-bucket's largest component is compared with the members of other components, unless sizes alone
-rule the link out; (6) components again. Members already in one component need no further
-comparison, so a large group of copies costs a comparison for each of its members and bucket,
-not for each pair, and no bucket is capped.
+Steps, each a table: (1) texts become a set size, a fingerprint of the whole set, band keys and a
+parity sketch; (2) documents of equal sets are one class from then on, whatever their number; (3)
+in rounds, each class is compared, on full sets, with one class of another component that it shares
+a bucket with, and links make components; so a large group of copies costs a few comparisons for
+each member, not for each pair; (4) buckets whose members are still in different components are
+finished exactly: each member outside the bucket's largest component is compared with all members
+of other components; (5) components again. No bucket is capped. Before any comparison, pairs whose
+sizes or parity sketches rule a link out are left out: the bits in which two sketches differ are
+never more than the elements in which the sets do, so that filter is exact.
 
 Comparisons stream: the rows of one class's partners are dealt out in salted groups, each headed by
 that class's text, and a task holds one set at a time beside the head's. Null and empty texts have
@@ -32,6 +33,8 @@ from .components import connected_components
 
 PERMUTATIONS, PER_BAND, SEED = 48, 2, 0x5EED
 BANDS = PERMUTATIONS // PER_BAND
+#: 64-bit columns of a parity sketch, and rounds of single comparisons before buckets are finished.
+SKETCH, ROUNDS = 16, 2
 #: Partners that one task compares with a head.
 GROUP = 256
 
@@ -76,8 +79,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(document, SKETCH): for each of 64 * SKETCH bins whether an odd number of elements falls in it."""
+    n, bins = len(off) - 1, 64 * SKETCH
+    at = np.repeat(np.arange(n), np.diff(off)) * bins + (ts.mix(h + np.uint64(0xABCDEF)) % np.uint64(bins)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bins) & 1).astype(np.uint8).reshape(n, bins)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+_BITS = [f"p{k}" for k in range(SKETCH)]
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (fingerprint of the set), bands."""
+    """doc_id, n (set size), s1 and s2 (fingerprint of the set), bands, and the parity sketch."""
 
     def block(part, texts):
         h, off = sets_of(texts, width)
@@ -85,18 +99,27 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         keys = band_keys(signature(h, off)).astype(np.int64).ravel()
         ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
         total = lambda x: (lambda c: c[off[1:]] - c[off[:-1]])(np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))).view(np.int64)
-        return {"doc_id": part.column(0), "n": n, "s1": total(ts.mix(h + np.uint64(0x1234567))), "s2": total(ts.mix(h ^ np.uint64(0x9E3779B97F4A7C15))), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))}
+        bits = parities(h, off)
+        return {"doc_id": part.column(0), "n": n, "s1": total(ts.mix(h + np.uint64(0x1234567))), "s2": total(ts.mix(h ^ np.uint64(0x9E3779B97F4A7C15))), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))} | {c: np.ascontiguousarray(bits[:, k]) for k, c in enumerate(_BITS)}
+
+    return ts.map_blocks(docs, block, "doc_id long, n long, s1 long, s2 long, bands array<long>, " + ", ".join(f"{c} long" for c in _BITS))
+
+
+def possible(a: str, b: str, num: int, den: int) -> str:
+    """SQL: sizes and sketches of rows a and b leave room for a link.
 
-    return ts.map_blocks(docs, block, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    A link means that at most (den - num) / (den + num) of both sizes' sum differ.
+    """
+    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _BITS)
+    return f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) AND {den + num} * ({differ}) <= {den - num} * ({a}.n + {b}.n)"
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def confirm(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (x, head) whose full sets have den * intersection >= num * union."""
     sized = pairs.join(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts")), "head")
     salted = sized.select("x", "head", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"))
     heads = salted.select("head", "salt").distinct().select(F.col("head").alias("id"), "head", "salt", F.lit(0).alias("role"))
     wanted = heads.union(salted.select(F.col("x").alias("id"), "head", "salt", F.lit(1).alias("role")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = wanted.join(texts, "id").repartition(F.col("head"), F.col("salt")).sortWithinPartitions("head", "salt", "role")
 
     def compare(batches):
@@ -128,37 +151,59 @@ def _close(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+def still_open(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, rep and component of the buckets that hold more than one component."""
+    label = members.join(reps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = label.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
+    return label.join(mixed, "key")
+
+
+def _links(reps: DataFrame) -> DataFrame:
+    return reps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; the component is null where doc_id is."""
     ts.shared_dir(docs.sparkSession)
     sk = sketches(docs, width).checkpoint()
     narrow = sk.select("doc_id", "n", "s1", "s2")
     known = sk.filter("doc_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in _BITS])
+    classes = classes.checkpoint()
     members = known.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
     same_set = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    exploded = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")).filter("lead < most")
-    shared = exploded.join(buckets.select("key", "lead"), "key").checkpoint()
-    star = shared.filter("rep <> lead").select(F.col("rep").alias("x"), F.col("lead").alias("head")).distinct()
-    links = confirm(docs, star, width, num, den).checkpoint()
-    reps = connected_components(links)
-    # what the leads' comparisons left open
-    label = shared.join(reps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    label = label.select("key", "rep", "n", "lead", "component").checkpoint()
-    mixed = label.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
-    opened = label.join(mixed, "key")
+    exploded = classes.select("rep", F.explode("bands").alias("key"))
+    buckets = exploded.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("most")).filter("head < most").select("key", "head")
+    opened = exploded.join(buckets, "key").checkpoint()
+    candidates = opened.select(F.col("rep").alias("id")).distinct()
+    sets = classes.select("rep", "n", *_BITS).join(candidates.withColumnRenamed("id", "rep"), "rep", "left_semi").checkpoint()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(candidates, "id", "left_semi").checkpoint()
+    pairs, opened = opened.filter("rep <> head").select(F.col("rep").alias("x"), "head").distinct(), opened.select("key", "rep")
+    reps = docs.sparkSession.createDataFrame([], "node long, component long")
+    for turn in range(1, ROUNDS + 1):
+        fit = pairs.join(sets.alias("a"), F.expr("x = a.rep")).join(sets.alias("b"), F.expr("head = b.rep AND " + possible("a", "b", num, den)))
+        nearest = F.struct(F.expr(" + ".join(f"bit_count(a.{c} ^ b.{c})" for c in _BITS)), "head")
+        one = fit.groupBy("x").agg((F.min("head") if turn == 1 else F.min_by("head", nearest)).alias("head")).checkpoint()
+        if one.isEmpty():
+            break
+        reps = connected_components(_links(reps).union(confirm(texts, one, width, num, den))).checkpoint()
+        labels = still_open(opened, reps).checkpoint()  # a bucket that is done stays done
+        opened = labels.select("key", "rep")
+        leads = labels.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("l")).select("key", "l.*").toDF("key", "head", "other")
+        pairs = labels.join(leads, "key").filter("component <> other").select(F.col("rep").alias("x"), "head").distinct()
+    # what is left open: members outside a bucket's largest component against those of others
+    labels = still_open(opened, reps)
+    opened = labels.join(sets, "rep").checkpoint()
     largest = opened.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    minor = opened.filter("rep <> lead").join(largest, "key").filter("component <> largest")
-    other = opened.filter("rep <> lead").select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    rest = minor.join(other, "key").filter(f"component <> component2 AND {den} * least(n, n2) >= {num} * greatest(n, n2) AND (rep < rep2 OR component2 = largest)").select(F.col("rep2").alias("x"), F.col("rep").alias("head")).distinct().checkpoint()
+    minor = opened.join(largest, "key").filter("component <> largest")
+    crossing = F.expr("a.key = b.key AND a.component <> b.component AND (a.rep < b.rep OR b.component = a.largest) AND " + possible("a", "b", num, den))
+    rest = minor.alias("a").join(opened.alias("b"), crossing).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("head")).distinct().checkpoint()
     if not rest.isEmpty():
-        links = reps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirm(docs, rest, width, num, den))
-        reps = connected_components(links)
+        reps = connected_components(_links(reps).union(confirm(texts, rest, width, num, den))).checkpoint()
     # documents: their class's component; a doc_id with several texts ties its classes together
     several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
     if not several.isEmpty():
-        reps = connected_components(reps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same_set))
+        reps = connected_components(_links(reps).union(same_set))
         per_doc = known.select("doc_id").distinct().join(reps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
         by_doc = narrow.join(per_doc, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         return by_doc.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

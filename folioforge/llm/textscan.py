@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes held and scanned at a time; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 4096
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -119,11 +119,11 @@ def seg_sum(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def in_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of a batch of about `limit` text bytes each, with their texts."""
+    """Slices of a batch of about `limit` text bytes and at most BLOCK_ROWS rows each, with their texts."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
     begin = held = 0
     for k, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
-        if held and held + (n or 0) > limit:
+        if (held and held + (n or 0) > limit) or k - begin >= BLOCK_ROWS:
             yield batch.slice(begin, k - begin), texts.slice(begin, k - begin).to_pylist()
             begin, held = k, 0
         held += n or 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import catalogue, chunks, lifecycle, retrieval, structure  # noqa: F401  they register themselves
+from .plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "ret3_hybrid_search"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

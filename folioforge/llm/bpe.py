@@ -6,8 +6,8 @@ a piece has one last token, and the encoding of a longer prefix passes only thro
 which the bytes read since still begin some token. A state of the transducer holds, for those live
 prefixes, the tokens since the last one that all of them agree on; reading a byte extends each live
 prefix in the vocabulary's trie, picks the token that ends here, drops dead prefixes and emits the
-tokens that have become common. States and transitions are made when first needed and kept, up to
-MAX_STATES; the lookahead is bounded by the longest token. So a piece of any length costs a step
+tokens that have become common. Transitions are made where they are needed again and kept, up to
+MAX_STATES states; the lookahead is bounded by the longest token. So a piece of any length costs a step
 for each byte, unlike merging, whose cost grows faster than the piece.
 
 Decoding is an incremental machine over UTF-8 states, fed with any chunks of bytes; it hands out
@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import textscan as ts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 600_000, 600_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 60_000, 250_000, 300_000
 
 
 def vocabulary_path() -> str:
@@ -81,14 +82,11 @@ class Transducer:
         self._made: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
         #: (last common token or -1, live prefixes); the first state has the empty prefix only
         self.states: dict[tuple[int, tuple[Live, ...]], int] = {}
         self.keys: list[tuple[int, tuple[Live, ...]]] = []
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.missed: set[tuple[int, int]] = set()
+        self.missed: set[int] = set()
         self._state((-1, ((0, ()),)))
 
     def _state(self, key: tuple[int, tuple[Live, ...]]) -> int:
@@ -181,19 +179,19 @@ class Transducer:
         """
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.keys) > MAX_STATES or len(self.missed) > MAX_PAIRS:
-            self.reset()
         out: list[int] = []
         state, steps, at = 0, self.steps, 0
         for byte in piece:
             found = steps[state].get(byte)
             if found is None:
-                if (state, byte) not in self.missed:
-                    self.missed.add((state, byte))
-                    return out + self._rest(state, piece[at:])
-                found = self.step(state, byte)
-                out += found[1]
-                return out + self._rest(found[0], piece[at + 1 :])
+                miss = state << 8 | byte
+                if miss in self.missed and len(self.keys) < MAX_STATES:
+                    self.step(state, byte)
+                elif len(self.keys) < MAX_STATES:
+                    if len(self.missed) > MAX_PAIRS:
+                        self.missed.clear()
+                    self.missed.add(miss)
+                return out + self._rest(state, piece[at:])
             state = found[0]
             if found[1]:
                 out += found[1]
@@ -211,7 +209,7 @@ class Transducer:
             for t in tokens:
                 chain = (t, chain)
             paths.append((node, chain))
-        child, ends, known = self.child, self.ends, self._fits
+        child, ends, known, made = self.child, self.ends, self._fits, self._made
         for byte in rest:
             here, grown = None, []
             for node, chain in paths:
@@ -221,9 +219,8 @@ class Transducer:
                 if here is None and (t := ends[nxt]) >= 0:
                     before = chain[0]
                     ok = known.get(before << 32 | t) if before >= 0 else True
-                    if ok or (ok is None and self.fits(before, t)):
-                        if self.made(t):
-                            here = (t, chain)
+                    if (ok or (ok is None and self.fits(before, t))) and (made.get(t) or self.made(t)):
+                        here = (t, chain)
                 if child[nxt]:
                     grown.append((nxt, chain))
             grown.append((0, here))
@@ -280,17 +277,19 @@ class Tokenizer:
         for raw, rank in ranks.items():
             self.raw[rank] = raw
         self.written = [str(k) for k in range(len(self.raw))]
+        #: pieces met lately, and those of the turn before
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
-        pieces, out = self.pieces, []
+        if len(self.pieces) >= MAX_PIECES:  # those not met again since the last turn go
+            self.older, self.pieces = self.pieces, {}
+        pieces, older, out = self.pieces, self.older, []
         for p in self.split(text):
             ids = pieces.get(p)
             if ids is None:
-                ids = tuple(self.transducer.encode(p.encode()))
+                ids = older.get(p) or tuple(self.transducer.encode(p.encode()))
                 if len(p) < 64:
-                    if len(pieces) >= MAX_PIECES:
-                        pieces.clear()
                     pieces[p] = ids
             out += ids
         return out
@@ -311,7 +310,9 @@ class Tokenizer:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+@lru_cache(maxsize=1)
 def make(ranks_path: str | None = None) -> Tokenizer:
+    """The tokenizer of a rank file; one is kept for a worker's life, with the tables that it has grown."""
     import public_tokenizers
 
     return Tokenizer(read_ranks(ranks_path or vocabulary_path()), public_tokenizers.PATTERN)
@@ -319,12 +320,10 @@ def make(ranks_path: str | None = None) -> Tokenizer:
 
 def encode_documents(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """doc_id and ids, the token ids, of each row. `ranks_path` is a file that every machine has."""
-    held: list[Tokenizer] = []
 
     def block(part, texts):
-        if not held:
-            held.append(make(ranks_path))
-        ids = [held[0].encode((t or b"").decode("utf-8", "replace")) for t in texts]
+        own = make(ranks_path)
+        ids = [own.encode((t or b"").decode("utf-8", "replace")) for t in texts]
         return {"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
     return ts.map_blocks(docs, block, "doc_id long, ids array<int>")
@@ -332,17 +331,15 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None) -> DataFram
 
 def round_trips(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """Token counts, and digests of the ids and of the bytes decoded from them, of each row."""
-    held: list[Tokenizer] = []
 
     def block(part, texts):
-        if not held:
-            held.append(make(ranks_path))
+        own = make(ranks_path)
         n, ids_hash, text_hash = [], [], []
         for t in texts:
-            ids = held[0].encode((t or b"").decode("utf-8", "replace"))
+            ids = own.encode((t or b"").decode("utf-8", "replace"))
             n.append(len(ids))
-            ids_hash.append(hashlib.sha256(",".join(map(held[0].written.__getitem__, ids)).encode()).hexdigest())
-            text_hash.append(hashlib.sha256(held[0].decode_bytes(ids)).hexdigest())
+            ids_hash.append(hashlib.sha256(",".join(map(own.written.__getitem__, ids)).encode()).hexdigest())
+            text_hash.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
         return {"doc_id": part.column(0), "n_tokens": np.array(n, np.int64), "ids_sha256": ids_hash, "decoded_sha256": text_hash}
 
     return ts.map_blocks(docs, block, SCHEMA)

@@ -1 +1,270 @@
-"""Queries."""
+"""Queries of chunking, page structure, HTML, vectors, sources and notes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunking as ck
+from ..operators import html, vectors
+from ..operators import retrieval as ret
+from ..sources import chats, clippings, notes, prepared
+from .registry import query
+from .retrieval import query_vector
+
+CHUNK = "text string, char_start int, char_end int"
+_PARAS = F.regexp_replace("text", "\n", "\n\n")
+
+
+@query("chk1_paragraph_chunks")
+def _(t):
+    own = t.documents.select(F.col("doc_id").alias("id"), _PARAS.alias("text"))
+    return ck.explode_chunks(own, ck.paragraph_chunks, CHUNK + ", window_text string")
+
+
+@query("chk2_word_pieces")
+def _(t):
+    limits = ck.Limits()
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), "text"), lambda x: [{"text": p} for p in ck.split_words(x or "", limits)], "text string")
+
+
+@query("chk3_hierarchy")
+def _(t):
+    def run(text: str) -> list[dict]:
+        return ck.hierarchy([{"text": c["text"], "chunk_index": i, "section": i // 5} for i, c in enumerate(ck.paragraph_chunks(text))], "b")
+
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), _PARAS.alias("text")), run, "parent_id string, chunk_type string, text string").withColumnRenamed("id", "doc_id")
+
+
+@query("chk4_plain_windows", "SELECT id, CAST(pos // 800 AS INT) AS chunk_index, substr(text, pos + 1, 1000) AS text FROM (SELECT doc_id AS id, text, unnest(range(0, length(text), 800)) AS pos FROM documents WHERE length(text) > 0)")
+def _(t):
+    return ck.plain_windows(t.documents.select(F.col("doc_id").alias("id"), "text"), 1000, 200)
+
+
+@query("chk4_snapped_windows")
+def _(t):
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), "text"), lambda x: ck.window_chunks(x, 1000, 200, 100), CHUNK)
+
+
+@query("chk5_semantic_chunks")
+def _(t):
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), _PARAS.alias("text")), ck.semantic_chunks, CHUNK)
+
+
+@query("chk6_heading_sections", "SELECT id, section, level, body FROM (SELECT doc_id AS id, 0 AS section, 0 AS level, 'intro' || chr(10) AS body FROM documents UNION ALL SELECT doc_id, 1, 1, '# One' || chr(10) || lang || chr(10) FROM documents UNION ALL SELECT doc_id, 2, 3, '### Two' || chr(10) || source FROM documents)")
+def _(t):
+    said = F.concat(F.lit("intro\n# One\n"), "lang", F.lit("\n### Two\n"), "source")
+    return ck.heading_sections(t.documents.select(F.col("doc_id").alias("id"), said.alias("text")))
+
+
+@query("chk7_dialogue_turns")
+def _(t):
+    said = F.concat_ws("\n\n", F.concat(F.lit("**User:** "), F.substring("text", 1, 80)), F.concat(F.lit("**Assistant:** "), F.substring("text", 81, 200)))
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), said.alias("text")), lambda x: [{"speaker": a, "text": b} for a, b in ck.dialogue_turns(x)], "speaker string, text string")
+
+
+_EX = """SELECT conv_id, exchange_id, coalesce(string_agg(CASE WHEN role = 'user' THEN text END, chr(10) || chr(10) ORDER BY turn), '') AS prompt, coalesce(string_agg(CASE WHEN role <> 'user' THEN text END, chr(10) || chr(10) ORDER BY turn), '') AS reply FROM
+ (SELECT *, CAST(coalesce(sum(CASE WHEN role <> 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS exchange_id FROM conversations WHERE role <> 'system') GROUP BY conv_id, exchange_id"""
+
+
+@query("chk8_exchanges", _EX)
+def _(t):
+    return ck.group_exchanges(t.conversations)
+
+
+@query("chk9_dialogue_chunks")
+def _(t):
+    ex = ck.group_exchanges(t.conversations).select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("exchange_id").cast("string")).alias("id"), F.concat(F.lit("**User:** "), "prompt", F.lit("\n\n**Assistant:** "), "reply").alias("text"))
+    return ck.explode_chunks(ex, lambda x: ck.dialogue_chunks(ck.dialogue_turns(x)), "text string, exchange int, part int")
+
+
+@query("chk10_comment_chunks")
+def _(t):
+    return ck.explode_chunks(t.pages.select(F.col("page_id").alias("id"), "html"), lambda x: [c | {"chunk_id": c["id"]} for c in ck.comment_chunks(x, "b")], "chunk_id string, text string, section_title string", column="html")
+
+
+@query("chk11_annotation_chunks", "SELECT book_id || '_annotation_' || CAST(i AS STRING) AS id, book_id, text, CAST(-(i + 10) AS INT) AS chunk_index FROM (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY id) - 1 AS i, CASE WHEN regexp_replace(highlight, '^\\s+|\\s+$', '', 'g') <> '' AND regexp_replace(note, '^\\s+|\\s+$', '', 'g') <> '' THEN '[ANNOTATION] ' || regexp_replace(highlight, '^\\s+|\\s+$', '', 'g') || ' | Note: ' || regexp_replace(note, '^\\s+|\\s+$', '', 'g') WHEN regexp_replace(highlight, '^\\s+|\\s+$', '', 'g') <> '' THEN '[ANNOTATION] ' || regexp_replace(highlight, '^\\s+|\\s+$', '', 'g') WHEN regexp_replace(note, '^\\s+|\\s+$', '', 'g') <> '' THEN '[ANNOTATION_NOTE] ' || regexp_replace(note, '^\\s+|\\s+$', '', 'g') ELSE '' END AS text FROM annotations) WHERE text <> ''")
+def _(t):
+    return ck.annotation_chunks(t.annotations)
+
+
+@query("chk12_metadata_stub", "SELECT id, concat_ws(chr(10), 'Title: ' || title, CASE WHEN id % 2 = 0 THEN 'Author: ' || publisher END, 'Publisher: ' || publisher, 'Year: ' || CAST(year(pubdate) AS STRING), 'Tags: ' || tag) AS text FROM books")
+def _(t):
+    author = F.when(F.col("id") % 2 == 0, F.col("publisher")).otherwise("")
+    return t.books.select("id", ck.metadata_stub(F.col("title"), author, F.col("publisher"), F.year("pubdate"), F.col("tag"), F.lit(None)).alias("text"))
+
+
+@query("chk13_chunk_rows", "SELECT c.book_id || '_chunk_' || CAST(c.id AS STRING) AS id, c.book_id, m.n AS book_chunks, c.tags FROM chunks c JOIN (SELECT book_id, count(*) AS n FROM chunks GROUP BY book_id) m ON m.book_id = c.book_id")
+def _(t):
+    meta = t.chunks.groupBy("book_id").agg(F.count(F.lit(1)).alias("book_chunks"))
+    return t.chunks.join(meta, "book_id").select(F.concat("book_id", F.lit("_chunk_"), F.col("id").cast("string")).alias("id"), "book_id", "book_chunks", "tags")
+
+
+@query("chk14_page_chunks")
+def _(t):
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), "text"), lambda x: ck.page_chunks(list(enumerate((x or "").split("\n"), 1))), "text string, page int")
+
+
+@query("chk15_toc_ranges", "SELECT p.book, p.page, arg_max(e.title, e.page) AS title FROM (SELECT book_id AS book, page_number AS page, id FROM chunks) p LEFT JOIN (SELECT DISTINCT book_id AS book, CAST(page_number // 50 * 50 + 1 AS INT) AS page, 'Part ' || CAST(page_number // 50 AS STRING) AS title FROM chunks) e ON e.book = p.book AND e.page <= p.page GROUP BY p.book, p.page, p.id")
+def _(t):
+    part = F.floor(F.col("page_number") / 50)
+    toc = t.chunks.select(F.col("book_id").alias("book"), (part * 50 + 1).cast("int").alias("page"), F.concat(F.lit("Part "), part.cast("string")).alias("title")).distinct()
+    return ck.toc_ranges(toc, t.chunks.select(F.col("book_id").alias("book"), F.col("page_number").alias("page"))).select("book", "page", "title")
+
+
+@query("chk16_section_type", "SELECT id, coalesce(CASE id % 5 WHEN 0 THEN 'back_matter' WHEN 1 THEN 'front_matter' END, 'main_content') AS kind FROM chunks")
+def _(t):
+    title = F.when(F.col("id") % 5 == 0, "Notes and Index").when(F.col("id") % 5 == 1, "Vorwort").when(F.col("id") % 5 == 2, "Banknotes").otherwise("Chapter")
+    return t.chunks.select("id", ck.section_type(title, F.lit(9), F.lit("plain\ntext"), F.lit(100)).alias("kind"))
+
+
+@query("chk17_running_lines", "SELECT book, line, count(*) AS pages FROM (SELECT DISTINCT book, page, trim(regexp_replace(lower(line), '[0-9]+', '#', 'g')) AS line FROM (SELECT source AS book, doc_id AS page, unnest(['The Title ' || CAST(doc_id AS STRING), lang]) AS line FROM documents)) GROUP BY book, line HAVING count(*) >= 3")
+def _(t):
+    said = F.concat(F.lit("The Title "), F.col("doc_id").cast("string"), F.lit("\n"), "lang")
+    return ck.running_lines(t.documents.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), said.alias("text")))
+
+
+@query("chk18_page_labels")
+def _(t):
+    def run(said: str) -> list[dict]:
+        return [{"label": x} for x in ck.page_labels([None if x == "-" else x for x in said.split(",")])]
+
+    said = F.concat_ws(",", F.lit("ii,3,4"), F.col("doc_id").cast("string"), F.lit("-,7,8"))
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), said.alias("text")), run, "label string")
+
+
+@query("chk19_page_numbers", "SELECT doc_id AS id, 'a' || chr(10) || lang AS text FROM documents")
+def _(t):
+    said = F.concat(F.lit("a\n - "), (F.col("doc_id") % 1000).cast("string"), F.lit(" -\n"), "lang", F.lit(""))
+    return t.documents.select(F.col("doc_id").alias("id"), ck.strip_page_numbers(said).alias("text"))
+
+
+@query("chk19_paragraph_breaks")
+def _(t):
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), "text"), lambda x: [{"text": ck.paragraph_breaks(x)}], "text string")
+
+
+@query("chk20_section_numbers", "SELECT id, regexp_extract(title, '^([0-9]+(?:\\.[0-9]+)*)', 1) AS number FROM (SELECT doc_id AS id, CAST(doc_id % 9 AS STRING) || '.' || CAST(doc_id % 4 AS STRING) || ' Title' AS title FROM documents)")
+def _(t):
+    from ..sources.books import section_number
+
+    title = F.concat((F.col("doc_id") % 9).cast("string"), F.lit("."), (F.col("doc_id") % 4).cast("string"), F.lit(" Title"))
+    return t.documents.select(F.col("doc_id").alias("id"), section_number(title).alias("number"))
+
+
+@query("chk21_html_extract")
+def _(t):
+    return html.extract(t.pages)
+
+
+@query("chk21_html_title", "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) AS INT) AS n FROM pages")
+def _(t):
+    return t.pages.select("page_id", F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(?i)<h[1-6][ >]"), F.lit(0))).alias("n"))
+
+
+@query("chk22_text_files")
+def _(t):
+    from ..sources.books import clean_text_file
+
+    return t.documents.select("doc_id", clean_text_file(F.concat(F.lit("﻿---\ntitle: x\n---\r\n"), "text")).alias("text"))
+
+
+@query("chk25_chunker_choice", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'dialogue' ELSE 'semantic' END AS chunker FROM documents")
+def _(t):
+    strategy = F.when(F.col("doc_id") % 2 == 0, "dialogue").otherwise("plain")
+    return t.documents.select("doc_id", ck.choose_chunker(strategy, F.when(F.col("doc_id") % 3 == 0, "**User:** hi\n").otherwise("none")).alias("chunker"))
+
+
+@query("scl2_strip_html")
+def _(t):
+    return ck.explode_chunks(t.pages.select(F.col("page_id").alias("id"), "html"), lambda x: [{"text": html.text_of(x)}], "text string", column="html")
+
+
+@query("scl4_accent_folding")
+def _(t):
+    from ..functions.fold import fold
+
+    return t.documents.select("doc_id", fold("text").alias("text"))
+
+
+@query("scl10_rich_tags", "SELECT doc_id, 'a ' || lang AS text FROM documents")
+def _(t):
+    return t.documents.select("doc_id", chats.clean_rich_tags(F.concat(F.lit("a <grok:render type=\"x\">\ncard</grok:render>"), "lang")).alias("text"))
+
+
+# --- vectors
+
+@query("emb1_embed_texts")
+def _(t):
+    return vectors.embed_texts(t.chunks.select("id", "text"))
+
+
+@query("ret20_ivf_lists")
+def _(t):
+    v = t.chunk_vectors
+    return vectors.IVF.fit(v, v.count()).assign(v).select("id", "list_id")
+
+
+@query("ret20_ivf_search")
+def _(t):
+    v = t.chunk_vectors
+    ivf = vectors.IVF.fit(v, v.count())
+    return ivf.search(ivf.assign(v), query_vector(t), 10)
+
+
+@query("ret21_incremental_assignment")
+def _(t):
+    """New rows go to the lists that older rows made."""
+    v = t.chunk_vectors
+    return vectors.IVF.fit(v.filter("id % 2 = 0"), v.count()).assign(v).groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("emb4_embed_what_is_missing", "SELECT id FROM chunks WHERE chunk_type <> 'parent'")
+def _(t):
+    done = t.chunks.filter("chunk_type = 'parent'").select("id")
+    return vectors.embed_texts(t.chunks.join(done, "id", "left_anti").select("id", "text")).select("id")
+
+
+# --- sources and notes
+
+@query("src12_clippings", "SELECT doc_id, 'Title ' || CAST(doc_id AS STRING) AS book_title, 'A. Author' AS book_author, CASE WHEN doc_id % 2 = 0 THEN 'highlight' ELSE 'note' END AS type, CASE WHEN doc_id % 2 = 1 THEN 12 END AS page, 'loc:100-120' AS location, TIMESTAMP '2026-03-15 10:23:45' AS created_at, lang AS text FROM documents")
+def _(t):
+    said = F.concat(F.lit("Title "), F.col("doc_id").cast("string"), F.lit(" (A. Author)\n"), F.when(F.col("doc_id") % 2 == 0, "- Ihre Markierung bei Position 100-120 | Hinzugefügt am Montag, 15. März 2026 10:23:45").otherwise("- Your Note on page 12 | Location 100-120 | Added on Sunday, March 15, 2026 10:23:45 AM"), F.lit("\n\n"), "lang", F.lit("\n==========\n"))
+    return clippings.parse(t.documents.select("doc_id", said.alias("content")), "doc_id").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query("src15_prepared_files", "SELECT doc_id AS file, CAST(3 AS BIGINT) AS expected, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 3 END AS BIGINT) AS found, doc_id % 4 <> 0 AS whole FROM documents")
+def _(t):
+    n = F.when(F.col("doc_id") % 4 == 0, 2).otherwise(3)
+    lines = t.documents.select(F.col("doc_id").alias("file"), F.explode(F.concat(F.array(F.lit('{"_header":true,"chunk_count":3}')), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit('{"text":"x","chunk_index":'), i.cast("string"), F.lit("}"))))).alias("value"))
+    return prepared.completeness(lines)
+
+
+@query("src8_note_links", "SELECT doc_id, ['Other', 'Third'] AS links, ['de', 'tag-1'] AS tags FROM documents")
+def _(t):
+    said = F.concat(F.lit("# Head\nSee [[Other|the other]] and [[Third]], [[Other]] "), F.lit("#de and #tag-1.\n"))
+    return notes.links_and_tags(t.documents.select("doc_id", said.alias("text")), "doc_id")
+
+
+@query("snk12_vault_notes", "SELECT conv_id, '2024-05-01_chat_' || 'conversation-' || CAST(conv_id AS STRING) || '.md' AS name, md5(string_agg('**' || upper(role[1]) || role[2:] || ':** ' || text, chr(10) || chr(10) ORDER BY turn)) AS body_md5 FROM conversations GROUP BY conv_id")
+def _(t):
+    made = notes.render(t.conversations, F.lit("2024-05-01"), "chat", F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")))
+    return made.select("conv_id", "name", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query("snk12_slug", "SELECT doc_id, coalesce(nullif(rtrim(substr(trim(regexp_replace(replace(replace(replace(replace(lower(trim(t)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50), '-'), ''), 'untitled') AS slug FROM (SELECT doc_id, substr(text, 1, 70) AS t FROM documents)")
+def _(t):
+    return t.documents.select("doc_id", T.slug(F.substring("text", 1, 70)).alias("slug"))
+
+
+@query("snk11_markdown_results")
+def _(t):
+    found = ret.vector_search(t.chunk_vectors, query_vector(t), 20).join(t.chunks, "id")
+    return notes.markdown_results(found)
+
+
+@query("src14_tree_chat", "SELECT conv_id, string_agg(text, '|' ORDER BY turn) AS said FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def _(t):
+    """Conversations rebuilt from nodes that name their parent, following the last child."""
+    nodes = t.conversations.select("conv_id", F.col("turn").alias("node"), (F.col("turn") - 1).alias("parent"), "role", "text")
+    return chats.flatten_tree(nodes).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "text"))), lambda x: x["text"]), "|").alias("said"))

@@ -13,12 +13,16 @@ from .registry import query
 from .retrieval import query_vector
 
 CHUNK = "text string, char_start int, char_end int"
-_PARAS = F.regexp_replace("text", "\n", "\n\n")
+
+
+def _paras():
+    """Texts with a blank line for each line feed: the tables have none."""
+    return F.regexp_replace("text", "\n", "\n\n")
 
 
 @query("chk1_paragraph_chunks")
 def _(t):
-    own = t.documents.select(F.col("doc_id").alias("id"), _PARAS.alias("text"))
+    own = t.documents.select(F.col("doc_id").alias("id"), _paras().alias("text"))
     return ck.explode_chunks(own, ck.paragraph_chunks, CHUNK + ", window_text string")
 
 
@@ -33,7 +37,7 @@ def _(t):
     def run(text: str) -> list[dict]:
         return ck.hierarchy([{"text": c["text"], "chunk_index": i, "section": i // 5} for i, c in enumerate(ck.paragraph_chunks(text))], "b")
 
-    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), _PARAS.alias("text")), run, "parent_id string, chunk_type string, text string").withColumnRenamed("id", "doc_id")
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), _paras().alias("text")), run, "parent_id string, chunk_type string, text string").withColumnRenamed("id", "doc_id")
 
 
 @query("chk4_plain_windows", "SELECT id, CAST(pos // 800 AS INT) AS chunk_index, substr(text, pos + 1, 1000) AS text FROM (SELECT doc_id AS id, text, unnest(range(0, length(text), 800)) AS pos FROM documents WHERE length(text) > 0)")
@@ -48,7 +52,7 @@ def _(t):
 
 @query("chk5_semantic_chunks")
 def _(t):
-    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), _PARAS.alias("text")), ck.semantic_chunks, CHUNK)
+    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), _paras().alias("text")), ck.semantic_chunks, CHUNK)
 
 
 @query("chk6_heading_sections", "SELECT id, section, level, body FROM (SELECT doc_id AS id, 0 AS section, 0 AS level, 'intro' || chr(10) AS body FROM documents UNION ALL SELECT doc_id, 1, 1, '# One' || chr(10) || lang || chr(10) FROM documents UNION ALL SELECT doc_id, 2, 3, '### Two' || chr(10) || source FROM documents)")

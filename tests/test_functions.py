@@ -69,7 +69,7 @@ def test_snippets(spark):
 
 def test_phrases_and_terms(spark):
     assert one(spark, T.occurrences(F.col("t"), "Of  the"), t="of the\nOf\nthe of them") == 3
-    assert one(spark, T.highlight_terms(F.col("t"), ["art", "Party"]), t="party ART") == "**p**art**y** **ART**".replace("**p**art**y**", "**p**art**y**") or True
+    assert one(spark, T.highlight_terms(F.col("t"), ["art", "Party"]), t="party ART") == "**p**art**y** **ART**"
 
 
 def test_slug_html_xml(spark):
@@ -81,7 +81,7 @@ def test_slug_html_xml(spark):
 
 def test_stop_words(spark):
     assert one(spark, T.without_stop_words(F.col("t"), "de"), t="Die Würde, des Menschen") == "Würde, Menschen"
-    assert one(spark, T.without_stop_words(F.col("t"), "en"), t="to be") == "to be" or one(spark, T.without_stop_words(F.col("t"), "en"), t="to be")
+    assert one(spark, T.without_stop_words(F.col("t"), "en"), t="to be") == "to be"
     assert T.clean_query("the nature of it", "en") == ("nature", ["the", "of", "it"])
 
 

@@ -41,7 +41,7 @@ def test_search_diversifies_and_cites(spark, chunks):
     lib = Library(chunks, embed_texts(chunks.select("id", "text")))
     rows = lib.search("Kant reason", per_book=1).collect()
     assert len({r["book_id"] for r in rows}) == len(rows) and {r["id"] for r in rows} <= {"c1", "c2", "c3", "c5", "c7"}
-    assert {r["id"]: r["citation"] for r in rows}.get("c3", "xiv") == "xiv"
+    assert {r["id"]: r["citation"] for r in rows}["c3"] == "xiv"
     assert [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == list(range(1, len(rows) + 1))
     text, used = lib.search_with_citations("Kant reason")
     assert "<documents>" in text and used.count() > 0
@@ -74,7 +74,7 @@ def test_pushdown_and_plans(spark, tmp_path, chunks):
     chunks.write.parquet(f"{tmp_path}/c")
     df = spark.read.parquet(f"{tmp_path}/c").filter(flt.chunk_filter(section="main", chunk_type="content", language="en")).select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(language)" in plan.replace("In(chunk_type", "In(chunk_type") or "EqualTo(language,en)" in plan
+    assert "PushedFilters: [In(chunk_type" in plan and "EqualTo" in plan.split("PushedFilters")[1]
     assert "text:string" not in plan.split("ReadSchema")[1]
     ranked = ret.ranked(chunks.select("id", F.lit(1.0).alias("score")), 3)
     assert "TakeOrderedAndProject" in ranked._jdf.queryExecution().executedPlan().toString()
@@ -132,7 +132,7 @@ def test_paragraph_chunks_lose_nothing():
 
 def test_window_chunks():
     out = ck.window_chunks("aaaa bbbb cccc dddd ee", 10, 0, 3)
-    assert [c["text"] for c in out] == ["aaaa bbbb", "cccc dddd ee"] or " ".join(c["text"] for c in out).replace("  ", " ")
+    assert [c["text"] for c in out] == ["aaaa bbbb", "cccc", "dddd ee"]
     assert ck.window_chunks("   ", 10, 2, 3) == []
 
 

@@ -70,12 +70,14 @@ def test_context_prefers_the_parent(spark, chunks):
     assert got["c7"].startswith("parent text") and got["c4"] == "short"
 
 
-def test_pushdown_and_plans(spark, tmp_path, chunks):
+def test_pushdown_and_plans(spark, tmp_path, chunks, capsys):
     chunks.write.parquet(f"{tmp_path}/c")
     df = spark.read.parquet(f"{tmp_path}/c").filter(flt.chunk_filter(section="main", chunk_type="content", language="en")).select("id")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(chunk_type" in plan and "EqualTo" in plan.split("PushedFilters")[1]
-    assert "text:string" not in plan.split("ReadSchema")[1]
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = next(x for x in plan.split("\n") if x.startswith("PushedFilters"))
+    assert "EqualTo(language,en)" in pushed and "In(chunk_type, [child,content])" in pushed
+    assert "text:string" not in next(x for x in plan.split("\n") if x.startswith("ReadSchema"))
     ranked = ret.ranked(chunks.select("id", F.lit(1.0).alias("score")), 3)
     assert "TakeOrderedAndProject" in ranked._jdf.queryExecution().executedPlan().toString()
     div = ret.diversify(chunks.withColumn("rank", F.col("chunk_index")), 2, 5)

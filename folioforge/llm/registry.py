@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .bpe import op6_byte_bpe
 from .decontaminate import op3_decontaminate
 from .licenses import op9_license_scan
@@ -14,4 +15,4 @@ from .sharding import op8_sharding
 from .toxicity import op5_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_secret_scan, op3_decontaminate, op4_near_dup, op5_toxicity, op6_byte_bpe, op7_quality_gam, op8_sharding, op9_license_scan, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)

@@ -329,3 +329,33 @@ def test_stream_ingest_and_windows(spark, tmp_path):
     assert got == batch[:2] and [n for _, n in batch] == [2, 1, 1]
     inc.run_to_files(inc.strict_runs(inc.watch(spark, f"{tmp_path}/ev", ev.schema), "u", "ts"), f"{tmp_path}/out3", f"{tmp_path}/cp3")
     assert sorted(r["n"] for r in spark.read.parquet(f"{tmp_path}/out3").collect()) == [1, 2]
+
+
+def exth(records):
+    body = b"".join(k.to_bytes(4, "big") + (len(v) + 8).to_bytes(4, "big") + v for k, v in records)
+    mobi = b"MOBI" + (8).to_bytes(4, "big")
+    return bytes(78) + (100).to_bytes(4, "big") + bytes(100 - 82) + bytes(16) + mobi + b"EXTH" + (12 + len(body)).to_bytes(4, "big") + len(records).to_bytes(4, "big") + body
+
+
+def test_book_headers(spark):
+    from folioforge.sources import readers
+
+    raw = exth([(100, "É. Author".encode()), (999, b"x"), (503, "Tïtle".encode("latin-1"))])
+    assert readers.read_exth(raw) == {"author": "É. Author", "title": "Tïtle"}
+    assert readers.read_exth(raw[:150]) == {} and readers.read_exth(b"") == {} and readers.read_exth(None) == {}
+    df = spark.createDataFrame([("a", bytearray(raw)), ("b", bytearray(b"no"))], "path string, content binary")
+    assert {r["path"]: r["header"] for r in readers.book_headers(df).collect()} == {"a": {"author": "É. Author", "title": "Tïtle"}, "b": {}}
+    side = spark.createDataFrame([("f", json.dumps({"payload": {"records": [{"type": "note", "text": "n\n\nA. B. T (S. 3). Kindle-Version.", "startPosition": "5"}]}})), ("g", "<x/>")], "file string, value string")
+    assert [(r["file"], r["text"], r["location"]) for r in readers.side_records(side).collect()] == [("f", "n", "5")]
+
+
+def test_dispatch_and_notebooks(spark, tmp_path):
+    from folioforge.sources import readers
+
+    files = spark.createDataFrame([("a.epub", bytearray(epub())), ("b.txt", bytearray("é".encode())), ("c.html", bytearray(b"<html><p>x</p>")), ("d.pdf", bytearray(b"%PDF-1")), ("e.epub", bytearray(b"PK\x03\x04broken"))], "path string, content binary")
+    got = {r["path"]: (r["text"], r["error"] is None) for r in readers.dispatch(files).collect()}
+    assert got["a.epub"] == ("Alpha\n\nBeta", True) and got["b.txt"] == ("é", True) and got["c.html"] == ("x", True) and not got["d.pdf"][1] and not got["e.epub"][1]
+    (tmp_path / "My Book" / "Notes").mkdir(parents=True)
+    (tmp_path / "My Book" / "Notes" / "n.html").write_text("<title>N</title><p>hello</p>")
+    row = readers.read_notebooks(spark, str(tmp_path)).first()
+    assert (row["notebook"].replace("%20", " "), row["kind"], row["title"], row["text"]) == ("My Book", "note", "N", "hello")

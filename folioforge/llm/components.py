@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textscan import settle
+
+ROWS = 1_000_000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): the least node that it reaches.
@@ -13,7 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     checkpoint, so lineage stays short, and nothing of the table is on the driver. A round's result is
     final when it is a set of stars: when no node that others hang below hangs below another.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").checkpoint()
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
+    e = settle(e, ROWS)
     for _ in range(max_rounds):
         # large star: neighbours above a node hang below its least neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +28,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
         small = large.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.*")
-        e = small.filter("u > v").distinct().checkpoint()
+        e = settle(small.filter("u > v").distinct(), ROWS)
         if e.join(e.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():
             break
     else:

@@ -37,6 +37,8 @@ BANDS = PERMUTATIONS // PER_BAND
 SKETCH, ROUNDS = 16, 2
 #: Partners that one task compares with a head.
 GROUP = 256
+#: Rows of a few numbers in a file of a checkpoint.
+NARROW = 1_000_000
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -165,41 +167,42 @@ def _links(reps: DataFrame) -> DataFrame:
 def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; the component is null where doc_id is."""
     ts.shared_dir(docs.sparkSession)
-    sk = sketches(docs, width).checkpoint()
+    sk = ts.settle(sketches(docs, width))
     narrow = sk.select("doc_id", "n", "s1", "s2")
     known = sk.filter("doc_id IS NOT NULL AND n > 0")
     classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in _BITS])
-    classes = classes.checkpoint()
+    classes = ts.settle(classes)
     members = known.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
     same_set = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     exploded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("most")).filter("head < most").select("key", "head")
-    opened = exploded.join(buckets, "key").checkpoint()
+    opened = ts.settle(exploded.join(buckets, "key"), NARROW)
     candidates = opened.select(F.col("rep").alias("id")).distinct()
-    sets = classes.select("rep", "n", *_BITS).join(candidates.withColumnRenamed("id", "rep"), "rep", "left_semi").checkpoint()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(candidates, "id", "left_semi").checkpoint()
+    sets = ts.settle(classes.select("rep", "n", *_BITS).join(candidates.withColumnRenamed("id", "rep"), "rep", "left_semi"))
+    texts = ts.settle(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(candidates, "id", "left_semi"), 10_000)
     pairs, opened = opened.filter("rep <> head").select(F.col("rep").alias("x"), "head").distinct(), opened.select("key", "rep")
     reps = docs.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(1, ROUNDS + 1):
         fit = pairs.join(sets.alias("a"), F.expr("x = a.rep")).join(sets.alias("b"), F.expr("head = b.rep AND " + possible("a", "b", num, den)))
         nearest = F.struct(F.expr(" + ".join(f"bit_count(a.{c} ^ b.{c})" for c in _BITS)), "head")
-        one = fit.groupBy("x").agg((F.min("head") if turn == 1 else F.min_by("head", nearest)).alias("head")).checkpoint()
+        one = ts.settle(fit.groupBy("x").agg((F.min("head") if turn == 1 else F.min_by("head", nearest)).alias("head")), NARROW)
         if one.isEmpty():
             break
-        reps = connected_components(_links(reps).union(confirm(texts, one, width, num, den))).checkpoint()
-        labels = still_open(opened, reps).checkpoint()  # a bucket that is done stays done
+        reps = connected_components(_links(reps).union(confirm(texts, one, width, num, den)))
+        labels = ts.settle(still_open(opened, reps), NARROW)  # a bucket that is done stays done
         opened = labels.select("key", "rep")
         leads = labels.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("l")).select("key", "l.*").toDF("key", "head", "other")
         pairs = labels.join(leads, "key").filter("component <> other").select(F.col("rep").alias("x"), "head").distinct()
     # what is left open: members outside a bucket's largest component against those of others
     labels = still_open(opened, reps)
-    opened = labels.join(sets, "rep").checkpoint()
+    opened = ts.settle(labels.join(sets, "rep"))
     largest = opened.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
     minor = opened.join(largest, "key").filter("component <> largest")
     crossing = F.expr("a.key = b.key AND a.component <> b.component AND (a.rep < b.rep OR b.component = a.largest) AND " + possible("a", "b", num, den))
-    rest = minor.alias("a").join(opened.alias("b"), crossing).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("head")).distinct().checkpoint()
+    rest = minor.alias("a").join(opened.alias("b"), crossing).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("head")).distinct()
+    rest = ts.settle(rest, NARROW)
     if not rest.isEmpty():
-        reps = connected_components(_links(reps).union(confirm(texts, rest, width, num, den))).checkpoint()
+        reps = connected_components(_links(reps).union(confirm(texts, rest, width, num, den)))
     # documents: their class's component; a doc_id with several texts ties its classes together
     several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
     if not several.isEmpty():

@@ -190,7 +190,6 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ts.shared_dir(spark)
-    rows = measured(ts.table(spark, sf_dir, "documents")).checkpoint()  # texts are read once
+    rows = ts.settle(measured(ts.table(spark, sf_dir, "documents")))  # texts are read once
     model = train(rows, ts.table(spark, sf_dir, "labels"))
     return score(rows, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -133,8 +133,6 @@ def thresholds(rated: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, metrics, base_failed and kept for every row of docs (doc_id, text, lang, source)."""
-    spark = docs.sparkSession
-    ts.shared_dir(spark)
     schema = f"doc_id long, lang string, source string, {METRICS}"
     names = T.StructType.fromDDL(schema).names
 
@@ -149,7 +147,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
     measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).mapInArrow(run, schema)
     # the texts are scanned once; what follows reads the narrow metrics
-    rated = measured.withColumns(_rates()).checkpoint()
+    rated = ts.settle(measured.withColumns(_rates()))
     cut = thresholds(rated)
     joined = rated.alias("d").join(cut.alias("c"), F.expr("d.lang <=> c.lang AND d.source <=> c.source"), "left")
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))

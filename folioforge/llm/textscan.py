@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +166,15 @@ def shared_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
 
 
-def with_own_columns(docs: DataFrame, own: DataFrame, how: str = "inner") -> DataFrame:
-    """docs joined on doc_id with `own`, whose other columns have names that docs lacks."""
-    return docs.join(own.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")), how).drop("__id")
+def settle(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
+    """A checkpoint of df in about as many files as its rows fill; partitions are only ever joined.
+
+    The rows are made once, at df's own parallelism, and held on the executors' disks until the
+    checkpoint is written from there; an executor that is lost meanwhile only means making its share again.
+    """
+    shared_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    n = kept.count()
+    out = kept.coalesce(max(1, -(-n // rows_each))).checkpoint()
+    kept.unpersist()
+    return out

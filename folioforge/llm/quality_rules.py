@@ -25,7 +25,7 @@ from . import textscan as ts
 RULES = ("symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "pipe_rate")
 SUB_BITS = 6
 #: A cutoff is at least this many times the group's median, at least FLOOR and above the TAIL quantile of calm documents.
-QUANTILE, SPREAD, FLOOR, MIN_GROUP = 0.75, 4.0, {"symbol_rate": 10_000, "dup_line_rate": 50_000, "repeat_rate": 40_000, "upper_rate": 50_000, "pipe_rate": 15_000}, 50
+QUANTILE, SPREAD, FLOOR, MIN_GROUP = 0.75, 4.0, {"symbol_rate": 10_000, "dup_line_rate": 50_000, "repeat_rate": 45_000, "upper_rate": 50_000, "pipe_rate": 15_000}, 50
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_pipes long"
 _SYMBOL = np.zeros(256, bool)

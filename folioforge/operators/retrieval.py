@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,18 +47,24 @@ def bm25(chunks: DataFrame, query: str, where: Column | None = None) -> DataFram
     frequencies and lengths come from one aggregation to a row.
     """
     terms = query_terms(query)
-    toks = tokens(F.col("text"))
-    per = chunks.select("*", toks.alias("__t")).withColumn("__dl", F.size("__t"))
-    per = per.withColumns({f"__tf{i}": F.size(F.filter("__t", _is(t))) for i, t in enumerate(terms)}).drop("__t")
-    stats = per.agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))])
-    both = per.crossJoin(F.broadcast(stats))  # stats is one row
+    if not terms:
+        return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
+
+    def counted(rows: DataFrame, *keep: str) -> DataFrame:
+        own = rows.select(*keep, tokens(F.col("text")).alias("__t"))
+        return own.select(*keep, F.size("__t").alias("__dl"), *[F.size(F.filter("__t", _is(t))).alias(f"__tf{i}") for i, t in enumerate(terms)])
+
+    stats = counted(chunks).agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))])
+    hit = chunks.filter(where) if where is not None else chunks
+    # a plain substring test first: texts without any term are never cut into tokens
+    hit = hit.filter(reduce(or_, [F.lower("text").contains(t) for t in terms]))
+    hit = counted(hit, "id").filter(reduce(or_, [F.col(f"__tf{i}") > 0 for i in range(len(terms))]))
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"__tf{i}").cast("double"), F.col(f"__df{i}").cast("double")
         idf = F.log(F.lit(1.0) + (F.col("__n") - df + 0.5) / (df + 0.5))
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))).otherwise(0.0)
-    hit = both.filter(where) if where is not None else both
-    return hit.select("id", F.round(score, 6).alias("score")).filter("score > 0")
+    return hit.crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score"))  # stats is one row
 
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:

@@ -50,7 +50,7 @@ def _(t):
     return full_books(t).select("id", "title", F.array_join("authors", " & ").alias("author"), F.substring_index(path, "/", 2).alias("folder"))
 
 
-@query("src23_creators_with_fallback", f"SELECT id, CASE WHEN len(authors) > 0 THEN authors ELSE [publisher] END AS creators FROM {_FULL}")
+@query("src23_creators_with_fallback", f"SELECT id, CASE WHEN len(authors) > 0 THEN authors ELSE [publisher] END AS creators FROM {_FULL}", lists=("creators",))
 def _(t):
     return full_books(t).select("id", F.when(F.size("authors") > 0, F.col("authors")).otherwise(F.array("publisher")).alias("creators"))
 
@@ -156,12 +156,12 @@ def _(t):
     return cat.missing_metadata(t.books, {"author": t.books_authors, "rating": has("rating"), "date": has("pubdate")})
 
 
-@query("agg6_book_details", f"SELECT id, title, authors, tags, formats, isbn FROM {_FULL}")
+@query("agg6_book_details", f"SELECT id, title, authors, tags, formats, isbn FROM {_FULL}", lists=("authors", "tags", "formats"))
 def _(t):
     return full_books(t).select("id", "title", "authors", "tags", "formats", "isbn")
 
 
-@query("flt19_book_by_id", f"SELECT id, title, authors FROM {_FULL} WHERE id = 7")
+@query("flt19_book_by_id", f"SELECT id, title, authors FROM {_FULL} WHERE id = 7", lists=("authors",))
 def _(t):
     return full_books(t).filter("id = 7").select("id", "title", "authors")
 
@@ -201,17 +201,17 @@ def _(t):
 
 # --- duplicates
 
-@query("dup4_isbn", f"SELECT isbn AS key, list(id ORDER BY id) AS ids FROM {_FULL} WHERE isbn IS NOT NULL GROUP BY isbn HAVING count(*) > 1")
+@query("dup4_isbn", f"SELECT isbn AS key, list(id ORDER BY id) AS ids FROM {_FULL} WHERE isbn IS NOT NULL GROUP BY isbn HAVING count(*) > 1", lists=("ids",))
 def _(t):
     return cat.duplicates(full_books(t), F.col("isbn"))
 
 
-@query("dup4_exact_title", "SELECT lower(title) AS key, list(id ORDER BY id) AS ids FROM books GROUP BY 1 HAVING count(*) > 1")
+@query("dup4_exact_title", "SELECT lower(title) AS key, list(id ORDER BY id) AS ids FROM books GROUP BY 1 HAVING count(*) > 1", lists=("ids",))
 def _(t):
     return cat.duplicates(t.books, F.lower("title"))
 
 
-@query("dup4_title_author", f"SELECT concat({_NORMT}, '|', array_to_string(list_sort(list_transform(authors, lambda a: lower(a))), ';')) AS key, list(id ORDER BY id) AS ids FROM {_FULL} GROUP BY 1 HAVING count(*) > 1")
+@query("dup4_title_author", f"SELECT concat({_NORMT}, '|', array_to_string(list_sort(list_transform(authors, lambda a: lower(a))), ';')) AS key, list(id ORDER BY id) AS ids FROM {_FULL} GROUP BY 1 HAVING count(*) > 1", lists=("ids",))
 def _(t):
     return cat.duplicates(full_books(t), cat.title_author_key(F.col("title"), F.col("authors")))
 

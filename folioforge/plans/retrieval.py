@@ -296,7 +296,7 @@ def _(t):
     return flt.with_citation(t.chunks).select("id", "citation", "is_page")
 
 
-@query("flt17_selection", "SELECT id, list_sort(list_distinct(list_filter(flatten([[0, 3], range((id % 7)::INT, (id % 7)::INT + 4), [15]]), lambda i: i >= 0 AND i < id % 20))) AS picked FROM chunks")
+@query("flt17_selection", "SELECT id, list_sort(list_distinct(list_filter(flatten([[0, 3], range((id % 7)::INT, (id % 7)::INT + 4), [15]]), lambda i: i >= 0 AND i < id % 20))) AS picked FROM chunks", lists=("picked",))
 def _(t):
     a = (F.col("id") % 7).cast("int")
     said = F.concat(F.lit("0,3, "), a.cast("string"), F.lit("-"), (a + 3).cast("string"), F.lit(",15,"))

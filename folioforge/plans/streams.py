@@ -23,7 +23,7 @@ def _events(t):
     return inc.watch(t.spark, t.dir, schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("strm_tumbling_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("strm_tumbling_counts", "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
     """Daily counts; the watermark's own end closes no window, so what is open is added in batch form."""
     out = _shared(t)
@@ -31,10 +31,10 @@ def _(t):
     q = inc.tumbling(_events(t), "ts", "1 day", "event_type").writeStream.outputMode("update").option("checkpointLocation", out + "/c").foreachBatch(lambda b, k: b.write.mode("append").parquet(f"{out}/t/batch={k}")).trigger(availableNow=True).start()
     q.awaitTermination()
     rows = t.spark.read.schema(schema + ", batch int").parquet(out + "/t")
-    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
-@query("strm_session_windows", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 1800000000 THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s")
+@query("strm_session_windows", "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 1800000000 THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s")
 def _(t):
     """Sessions in batch form: the same function runs on a stream (see the tests)."""
-    return inc.session_windows(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return inc.session_windows(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")

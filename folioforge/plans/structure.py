@@ -231,10 +231,10 @@ def _(t):
 
 # --- sources and notes
 
-@query("src12_clippings", "SELECT doc_id, 'Title ' || CAST(doc_id AS STRING) AS book_title, 'A. Author' AS book_author, CASE WHEN doc_id % 2 = 0 THEN 'highlight' ELSE 'note' END AS type, CASE WHEN doc_id % 2 = 1 THEN 12 END AS page, 'loc:100-120' AS location, TIMESTAMP '2026-03-15 10:23:45' AS created_at, lang AS text FROM documents")
+@query("src12_clippings", "SELECT doc_id, 'Title ' || CAST(doc_id AS STRING) AS book_title, 'A. Author' AS book_author, CASE WHEN doc_id % 2 = 0 THEN 'highlight' ELSE 'note' END AS type, CASE WHEN doc_id % 2 = 1 THEN 12 END AS page, 'loc:100-120' AS location, '2026-03-15 10:23:45' AS created_at, lang AS text FROM documents")
 def _(t):
     said = F.concat(F.lit("Title "), F.col("doc_id").cast("string"), F.lit(" (A. Author)\n"), F.when(F.col("doc_id") % 2 == 0, "- Ihre Markierung bei Position 100-120 | Hinzugefügt am Montag, 15. März 2026 10:23:45").otherwise("- Your Note on page 12 | Location 100-120 | Added on Sunday, March 15, 2026 10:23:45 AM"), F.lit("\n\n"), "lang", F.lit("\n==========\n"))
-    return clippings.parse(t.documents.select("doc_id", said.alias("content")), "doc_id").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return clippings.parse(t.documents.select("doc_id", said.alias("content")), "doc_id").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("src15_prepared_files", "SELECT doc_id AS file, CAST(3 AS BIGINT) AS expected, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 3 END AS BIGINT) AS found, doc_id % 4 <> 0 AS whole FROM documents")
@@ -244,7 +244,7 @@ def _(t):
     return prepared.completeness(lines)
 
 
-@query("src8_note_links", "SELECT doc_id, ['Other', 'Third'] AS links, ['de', 'tag-1'] AS tags FROM documents")
+@query("src8_note_links", "SELECT doc_id, ['Other', 'Third'] AS links, ['de', 'tag-1'] AS tags FROM documents", lists=("links", "tags"))
 def _(t):
     said = F.concat(F.lit("# Head\nSee [[Other|the other]] and [[Third]], [[Other]] "), F.lit("#de and #tag-1.\n"))
     return notes.links_and_tags(t.documents.select("doc_id", said.alias("text")), "doc_id")

@@ -23,6 +23,8 @@ document with several texts: linked with one another. A null doc_id links with n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +118,28 @@ def possible(a: str, b: str, num: int, den: int) -> str:
     return f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) AND {den + num} * ({differ}) <= {den - num} * ({a}.n + {b}.n)"
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """id, z (the text, compressed) and size: what is shuffled is about two thirds of the rows' own compression."""
+
+    def block(part, texts):
+        raw = [t or b"" for t in texts]
+        return {"id": part.column(0), "z": pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in raw], pa.binary()), "size": np.array([len(t) for t in raw], np.int64)}
+
+    return ts.map_blocks(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), block, "id long, z binary, size long")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of about BLOCK_BYTES of text with their texts."""
+    sizes = batch.column(batch.schema.get_field_index("size")).to_pylist()
+    z = batch.column(batch.schema.get_field_index("z"))
+    begin = held = 0
+    for k, n in enumerate([*sizes, None]):
+        if k > begin and (n is None or held + n > ts.BLOCK_BYTES):
+            yield batch.slice(begin, k - begin), [pa.decompress(z[i].as_buffer(), m, codec="zstd", asbytes=True) if (m := sizes[i]) else b"" for i in range(begin, k)]
+            begin, held = k, 0
+        held += n or 0
+
+
 def confirm(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (x, head) whose full sets have den * intersection >= num * union."""
     sized = pairs.join(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts")), "head")
@@ -128,7 +152,7 @@ def confirm(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
         head, group, own = None, None, []
         for batch in batches:
             xs, ys = [], []
-            for part, raw in ts.in_blocks(batch, "text"):
+            for part, raw in unpacked(batch):
                 h, off = sets_of(raw, width)
                 ids, hs, salt, role = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("id", "head", "salt", "role"))
                 for k in range(part.num_rows):
@@ -179,7 +203,7 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     opened = ts.settle(exploded.join(buckets, "key"), NARROW)
     candidates = opened.select(F.col("rep").alias("id")).distinct()
     sets = ts.settle(classes.select("rep", "n", *_BITS).join(candidates.withColumnRenamed("id", "rep"), "rep", "left_semi"))
-    texts = ts.settle(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(candidates, "id", "left_semi"), 10_000)
+    texts = ts.settle(packed(docs).join(candidates, "id", "left_semi"), 10_000)
     pairs, opened = opened.filter("rep <> head").select(F.col("rep").alias("x"), "head").distinct(), opened.select("key", "rep")
     reps = docs.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(1, ROUNDS + 1):

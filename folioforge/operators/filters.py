@@ -20,7 +20,7 @@ def resolve_book_id(value: str | int) -> tuple[str | None, int | None, str]:
 
 
 def chunk_filter(book_id: str | None = None, source_id: str | None = None, calibre_id: int | None = None, section: str | None = None, chunk_type: str | None = None, language: str | None = None) -> Column:
-    """Conjunction of the given conditions; virtual names stand for several stored values."""
+    """Conjunction of the given conditions; virtual names stand for several stored values, and languages may be a list with commas."""
     parts: list[Column] = []
     if book_id is not None:
         parts.append(F.col("book_id") == book_id)
@@ -35,7 +35,7 @@ def chunk_filter(book_id: str | None = None, source_id: str | None = None, calib
         both = {"content": (CONTENT, CHILD), "annotations_and_comments": (ANNOTATION, COMMENT)}.get(chunk_type, (chunk_type,))
         parts.append(F.col("chunk_type").isin(*both))
     if language:
-        parts.append(F.col("language") == language)
+        parts.append(F.col("language").isin(*[x.strip() for x in language.split(",")]) if "," in language else F.col("language") == language)
     return reduce(and_, parts, F.lit(True))
 
 

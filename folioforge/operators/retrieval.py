@@ -125,11 +125,11 @@ def exact_phrase(chunks: DataFrame, phrase: str, k: int) -> DataFrame:
     return ranked(hit.select("id", "score"), k).withColumn("similarity", F.least(F.col("score") / 10, F.lit(1.0)))
 
 
-def interest_boost(results: DataFrame, keywords: Sequence[str], factor: float = INTEREST_BOOST) -> DataFrame:
-    """score (or rerank_score where there is one) times 1 + factor for each keyword in text or tags; ranks anew."""
+def interest_boost(results: DataFrame, keywords: Sequence[str], factor: float = INTEREST_BOOST, include_tags: bool = True) -> DataFrame:
+    """score (or rerank_score where there is one) times 1 + factor for each keyword in text (or tags); ranks anew."""
     if not keywords:
         return results
-    n = T.keyword_matches(F.concat_ws(" ", "text", "tags"), keywords)
+    n = T.keyword_matches(F.concat_ws(" ", "text", *["tags"] * include_tags), keywords)
     out = results
     governing = "score"
     if "rerank_score" in results.columns:
@@ -192,8 +192,8 @@ def rerank(results: DataFrame, query: str, k: int, scorer: Callable[[Column, str
 
 
 def service_search(chunks: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], k: int = 10, per_book: int = 2, least_rerank: float = 0.0, scorer=None) -> DataFrame:
-    """Thirty candidates undiversified, reranked to 3k, diversified to k, bounded by rerank score."""
-    found = search(chunks, vectors, query, vector, 30, per_book=999)
+    """Thirty candidates or 3k undiversified, reranked to 3k, diversified to k, bounded by rerank score."""
+    found = search(chunks, vectors, query, vector, max(30, 3 * k), per_book=999)
     return flt.min_rerank(diversify(rerank(found, query, 3 * k, scorer), per_book, k), least_rerank)
 
 

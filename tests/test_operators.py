@@ -359,3 +359,10 @@ def test_dispatch_and_notebooks(spark, tmp_path):
     (tmp_path / "My Book" / "Notes" / "n.html").write_text("<title>N</title><p>hello</p>")
     row = readers.read_notebooks(spark, str(tmp_path)).first()
     assert (row["notebook"].replace("%20", " "), row["kind"], row["title"], row["text"]) == ("My Book", "note", "N", "hello")
+
+
+def test_language_lists_and_tagless_boost(spark, chunks):
+    mixed = chunks.withColumn("language", F.when(F.col("id") == "c1", "de").when(F.col("id") == "c2", "fr").otherwise("en"))
+    assert {r["id"] for r in mixed.filter(flt.chunk_filter(language="de, fr")).collect()} == {"c1", "c2"}
+    tagged = chunks.filter("id = 'c2'").withColumns({"score": F.lit(1.0), "tags": F.lit("Kant")})
+    assert [ret.interest_boost(tagged, ["Kant"], include_tags=x).first()["score"] for x in (True, False)] == [1.15, 1.0]

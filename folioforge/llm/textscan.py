@@ -7,6 +7,7 @@ word byte, so byte tables are exact.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -177,4 +178,8 @@ def settle(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
     n = kept.count()
     out = kept.coalesce(max(1, -(-n // rows_each))).checkpoint()
     kept.unpersist()
+    # Spark drops the shuffle files behind df, which nothing reads any more, when the driver's garbage is collected
+    del kept
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
     return out

@@ -1,7 +1,8 @@
 """Quality rules with adaptive thresholds (operator 10).
 
-Each rule's cutoff is a far tail of its metric among documents of the same language and source,
-read from mergeable quantile sketches instead of being fixed. A sketch counts values in bins of
+Each rule's cutoff is the greater of a fixed floor and a multiple of a quantile of its metric among
+documents of the same language and source, read from mergeable quantile sketches. In clean groups
+the floor decides. A sketch counts values in bins of
 bounded relative width (exact below 2**SUB_BITS); two sketches merge by adding counts, so the
 result does not depend on how rows were dealt out. Groups of fewer than `min_group` documents
 borrow the sketch of their language, or of everything, which are sums of the groups' sketches.
@@ -24,7 +25,7 @@ from . import textscan as ts
 #: Metrics, per 100,000 words or characters, that the adaptive rules bound from above.
 RULES = ("symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "pipe_rate")
 SUB_BITS = 6
-#: A cutoff is at least this many times the group's median, at least FLOOR and above the TAIL quantile of calm documents.
+#: A cutoff is the greater of FLOOR and SPREAD times the group's QUANTILE.
 QUANTILE, SPREAD, FLOOR, MIN_GROUP = 0.75, 4.0, {"symbol_rate": 10_000, "dup_line_rate": 50_000, "repeat_rate": 45_000, "upper_rate": 50_000, "pipe_rate": 15_000}, 50
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_pipes long"

@@ -123,20 +123,49 @@ def token_sort(text: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """100 less the share of edits between two texts with their words sorted."""
-    x, y = token_sort(a), token_sort(b)
+    return _alike(token_sort(a), token_sort(b))
+
+
+def _alike(x: Column, y: Column) -> Column:
     return F.lit(100.0) * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)))
 
 
+def _grams(df: DataFrame, key: str, q: int) -> DataFrame:
+    """key, its padded q-grams, each numbered among its equals, and how many they are."""
+    padded = F.concat(F.lit("^" * (q - 1)), F.col(key), F.lit("$" * (q - 1)))
+    cut = df.select(key, F.transform(F.sequence(F.lit(1), F.length(key) + q - 1), lambda i: F.substr(padded, i, F.lit(q))).alias("__gs"))
+    numbered = F.transform("__gs", lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice("__gs", F.lit(1), i), lambda h: h == g)).alias("n")))
+    return cut.select(key, F.explode(numbered).alias("__g"))
+
+
+def close_titles(x: DataFrame, y: DataFrame, share: float) -> DataFrame:
+    """All pairs of an __x and a __y with at most `share` edits to a character of the longer; both frames hold distinct texts.
+
+    An edit touches q of a text's q-grams at most, so such pairs share at least longer + q - 1 - q * edits of them, which is
+    positive while q * share <= 1: an equi-join on q-grams finds them all. For greater shares all pairs are compared.
+    """
+    longer = F.greatest(F.length("__x"), F.length("__y"), F.lit(1))
+    most = F.floor(longer * share + 1e-6).cast("int")
+    q = next((q for q in (3, 2) if q * share <= 1), None)
+    if q is None:
+        pairs = x.crossJoin(y)
+    else:
+        shared = _grams(x, "__x", q).join(_grams(y, "__y", q), "__g").groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
+        pairs = shared.filter(F.col("__n") >= F.greatest(F.length("__x"), F.length("__y")) + q - 1 - q * most).drop("__n")
+    return pairs.filter((F.abs(F.length("__x") - F.length("__y")) <= most) & (F.levenshtein("__x", "__y") <= most))
+
+
 def fuzzy_match(entries: DataFrame, books: DataFrame, least: float = 80.0) -> DataFrame:
-    """entry, book and score (0.7 title, 0.3 author) of the best book that shares a title word of four letters or more.
+    """entry, book and score (0.7 title, 0.3 author) of the best of all books; of equal ones the least id.
 
-    Sharing a word makes it an equi-join; no pair without one reaches 80 by title.
+    With equal authors a title has to reach (least - 30) / 0.7, which bounds its edits; `close_titles` finds all within the bound.
     """
-    word = lambda d, k: d.select("*", F.explode(F.array_distinct(F.filter(T.words(T.normalize_title(F.col("title"))), lambda w: F.length(w) >= 4))).alias(k))
-    e = word(entries, "__w").select("entry", F.col("title").alias("__et"), F.col("author").alias("__ea"), "__w")
-    b = word(books, "__w").select(F.col("id").alias("book"), F.col("title").alias("__bt"), F.col("author").alias("__ba"), "__w")
-    pairs = e.join(b, "__w").drop("__w").distinct()
-    scored = pairs.withColumn("score", F.round(similarity(F.col("__et"), F.col("__bt")) * 0.7 + similarity(F.coalesce("__ea", F.lit("")), F.coalesce("__ba", F.lit(""))) * 0.3, 4)).filter(F.col("score") >= least)
+    keys = lambda d, t, a: d.select("*", token_sort(F.col("title")).alias(t), token_sort(F.coalesce("author", F.lit(""))).alias(a))
+    e = keys(entries, "__x", "__xa").select("entry", "__x", "__xa")
+    b = keys(books, "__y", "__ya").groupBy("__y", "__ya").agg(F.min("id").alias("book"))
+    close = close_titles(e.select("__x").distinct(), b.select("__y").distinct(), 1 - (least - 30.0) / 70.0)
+    score = F.round(_alike(F.col("__x"), F.col("__y")) * 0.7 + _alike(F.col("__xa"), F.col("__ya")) * 0.3, 4)
+    scored = e.join(close, "__x").join(b, "__y").withColumn("score", score).filter(F.col("score") >= least)
     return scored.groupBy("entry").agg(F.max_by("book", F.struct("score", -F.col("book"))).alias("book"), F.max("score").alias("score"))
 
 

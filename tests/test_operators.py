@@ -311,6 +311,37 @@ def test_matching(spark):
     assert cat.fuzzy_match(f, lib).first()["book"] == 1
 
 
+@pytest.mark.parametrize("least", [80.0, 70.0, 60.0])
+def test_fuzzy_match_is_that_of_all_pairs(spark, least):
+    import random
+
+    r = random.Random(3)
+    titles = ["Ulysses", "Middlemarch", "It", "We", "Go On", "Aaaaaaaa", "Emma", "The Red and the Black", "Ubik", "", "Sein und Zeit", "Öde Ode"]
+    titles += ["".join(r.choice("abé ") for _ in range(r.randrange(1, 14))) for _ in range(40)]
+
+    def misspelt(t):
+        for _ in range(r.randrange(1, 4)):
+            k = r.randrange(len(t) + 1)
+            t = r.choice([t[:k] + r.choice("abx") + t[k:], t[:k] + t[k + 1 :], t[:k] + r.choice("aby") + t[k + 1 :]])
+        return t
+
+    books = [(k, t, r.choice(["Joyce", "Eliot", None])) for k, t in enumerate(titles + titles[:5])]
+    entries = [(0, "Ulyses", "Joyce"), (1, "Middlemarsh", "Eliot"), (2, "Wee", "Eliot"), (3, None, None), *[(k + 4, misspelt(r.choice(titles)), r.choice(["Joyce", "Eliott", None])) for k in range(120)]]
+    b = spark.createDataFrame(books, "id int, title string, author string")
+    e = spark.createDataFrame(entries, "entry int, title string, author string")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    score = F.round(cat.similarity(F.col("e.title"), F.col("b.title")) * 0.7 + cat.similarity(blank(F.col("e.author")), blank(F.col("b.author"))) * 0.3, 4)
+    best: dict = {}
+    for x in e.alias("e").crossJoin(b.alias("b")).select("entry", "id", score.alias("score")).collect():
+        if x["score"] >= least:
+            best[x["entry"]] = max(best.get(x["entry"], (0, 0)), (x["score"], -x["id"]))
+    got = {x["entry"]: (x["score"], -x["book"]) for x in cat.fuzzy_match(e, b, least).collect()}
+    assert got == best and len(got) > 20
+    own = spark.createDataFrame([(1, "Ulysses", "x"), (2, "Middlemarch", "x")], "id int, title string, author string")
+    said = spark.createDataFrame([("a", "Ulyses", "x"), ("b", "Middlemarsh", "x")], "entry string, title string, author string")
+    assert {x["entry"]: x["book"] for x in cat.fuzzy_match(said, own).collect()} == {"a": 1, "b": 2}
+
+
 def test_stream_ingest_and_windows(spark, tmp_path):
     src, table = f"{tmp_path}/in", f"{tmp_path}/table"
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(10)], "id long, text string")

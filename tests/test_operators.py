@@ -192,6 +192,28 @@ def test_ivf_recall(spark):
     assert abs(float((hashed_embedder()(["a b", ""])[0] ** 2).sum()) - 1) < 1e-6
 
 
+@pytest.mark.parametrize("lists", [16, 100, 256])
+def test_ivf_search_is_exact_on_the_embeddings(spark, monkeypatch, lists):
+    import os
+
+    import numpy as np
+
+    from folioforge.operators import vectors
+
+    path = f"{os.environ.get('FOLIOFORGE_TEST_DIR', '/root/testdata/sf0.001')}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(vectors, "n_lists", lambda n: lists)
+    v = spark.read.parquet(path).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).cache()
+    ivf = IVF.fit(v, v.count())
+    assigned = ivf.assign(v).cache()
+    radii = ivf.radii(assigned)
+    r = np.random.default_rng(1)
+    queries = [row[0] for row in v.orderBy("id").limit(4).select("vector").collect()] + [r.normal(size=len(v.first()["vector"])).tolist()]
+    for q in queries:
+        assert ivf.search(assigned, q, 10, probes=2, radii=radii).collect() == ret.vector_search(v, q, 10).collect()
+
+
 CLIPPINGS = """Die Blechtrommel (Günter Grass)
 - Ihre Markierung bei Position 1234-1256 | Hinzugefügt am Montag, 15. März 2026 10:23:45
 

@@ -63,7 +63,7 @@ def _(t):
 
 @query("chk7_dialogue_turns")
 def _(t):
-    said = F.concat_ws("\n\n", F.concat(F.lit("**User:** "), F.substring("text", 1, 80)), F.concat(F.lit("**Assistant:** "), F.substring("text", 81, 200)))
+    said = F.concat_ws("\n\n", F.concat(F.lit("**User:** "), F.substring("text", 1, 80)), F.concat(F.lit("**Assistant:** "), F.expr("substring(text, 81)")))
     return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), said.alias("text")), lambda x: [{"speaker": a, "text": b} for a, b in ck.dialogue_turns(x)], "speaker string, text string")
 
 

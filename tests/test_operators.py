@@ -155,6 +155,18 @@ def test_dialogues(text):
     assert len(parts) > 1 and all(c["text"].startswith("**User:** qqq") and "…" in c["text"] for c in parts)
 
 
+def test_dialogue_query_reads_whole_texts(spark, tmp_path):
+    from folioforge import catalog
+
+    text = " ".join(f"w{k}" for k in range(900)) + "\n\n**User:** late question"
+    rows = [(1, text), (2, "short"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got: dict = {}
+    for r in catalog.QUERIES["chk7_dialogue_turns"](spark, str(tmp_path)).collect():
+        got.setdefault(r["id"], set()).add((r["speaker"], r["text"]))
+    assert got[1] == {("User", text[:80].strip()), ("Assistant", text[80:].split("\n\n")[0].strip()), ("User", "late question")}
+
+
 def test_hierarchy_and_pages():
     kids = [{"text": "w " * 700, "chunk_index": k, "section": "a" if k < 3 else "b"} for k in range(5)]
     rows = ck.hierarchy(kids, "b1")

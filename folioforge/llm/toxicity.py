@@ -166,7 +166,7 @@ def held_out(doc_id, parts: int, part: int):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, per_class: int, byte_limit: int) -> tuple[list[bytes], np.ndarray]:
-    """A bounded sample of labelled texts: (texts, labels)."""
+    """A bounded sample of labelled texts: (texts, labels). A text that doesn't fit in what is left of its label's bytes is passed over."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id")
@@ -178,7 +178,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, pa
     texts, ys, room = [], [], [byte_limit // 2, byte_limit // 2]
     seen = set()
     for doc_id, text, y in rows.select("doc_id", F.col("text").cast("binary"), "y").toLocalIterator():
-        if doc_id not in seen and room[y] > 0:
+        if doc_id not in seen and len(text) <= room[y]:
             seen.add(doc_id)
             room[y] -= len(text)
             texts.append(bytes(text))

@@ -281,6 +281,16 @@ def test_toxicity_learns_and_sees_misspellings():
     assert bent > plain and bent > 0.5
 
 
+def test_toxicity_sample_passes_over_a_long_text(spark):
+    from pyspark.sql import functions as F
+
+    marks = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")).filter(~toxicity.held_out(F.col("id"), 3, 1))
+    first = marks.filter("toxic = 1").orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    docs = spark.createDataFrame([(k, "x" * 5000 if k == first else f"text {k}") for k in range(40)], "doc_id long, text string")
+    texts, y = toxicity.training_rows(docs, marks, "toxic", 3, 1, 100, 2000)
+    assert y.sum() == marks.filter("toxic = 1").count() - 1 and max(map(len, texts)) < 20
+
+
 def test_toxicity_query_shape(spark, repeated):
     model = toxicity.fit([b"bad thing", b"good thing", b""], np.array([1, 0, 0]), 5, 5)
     got = toxicity.score(repeated, model).collect()

@@ -10,15 +10,20 @@ parity sketch; (2) documents of equal sets are one class from then on, whatever
 in rounds, each class is compared, on full sets, with one class of another component that it shares
 a bucket with, and links make components; so a large group of copies costs a few comparisons for
 each member, not for each pair; (4) buckets whose members are still in different components are
-finished exactly: each member outside the bucket's largest component is compared with all members
-of other components; (5) components again. No bucket is capped. Before any comparison, pairs whose
-sizes or parity sketches rule a link out are left out: the bits in which two sketches differ are
-never more than the elements in which the sets do, so that filter is exact.
-
-Comparisons stream: the rows of one class's partners are dealt out in salted groups, each headed by
-that class's text, and a task holds one set at a time beside the head's. Null and empty texts have
-empty sets: linked with nothing, each its own component, kept. Rows that share a doc_id are one
-document with several texts: linked with one another. A null doc_id links with nothing and is kept.
+finished exactly: each member outside the bucket's largest component meets the members of other
+components, in blocks of BLOCK by BLOCK; (5) components again. No bucket is capped. Before any
+comparison, pairs whose sizes or parity sketches rule a link out are left out: the bits in which two
+sketches differ are never more than the elements in which the sets do, so that filter is exact.
+
+Every join on something that many rows may share (a bucket, a head, a fingerprint, a hub of links)
+is a `spread_join`: rows of hot keys stay where they are. Comparisons stream: the rows of one class's
+partners are dealt out in salted groups, each headed by that class's text, and a task holds one set at
+a time beside the head's.
+
+Null and empty texts have empty sets: linked with nothing, each its own component, kept. Rows that
+share a doc_id are one document with several texts: linked with one another. A null doc_id links with
+nothing and is kept. Of equal sets, the least doc_id stands for all. An empty table gives no rows.
+Columns other than doc_id and text are not read; `keep_one` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -37,10 +42,10 @@ PERMUTATIONS, PER_BAND, SEED = 48, 2, 0x5EED
 BANDS = PERMUTATIONS // PER_BAND
 #: 64-bit columns of a parity sketch, and rounds of single comparisons before buckets are finished.
 SKETCH, ROUNDS = 16, 2
-#: Partners that one task compares with a head.
-GROUP = 256
-#: Rows of a few numbers in a file of a checkpoint.
-NARROW = 1_000_000
+#: Partners that one task compares with a head, and members of an open bucket in a side of a block.
+GROUP, BLOCK = 256, 1024
+#: Rows of a few numbers, of a sketch, and of a text in a file of a checkpoint.
+NARROW, WIDE, TEXTS = 1_000_000, 25_000, 10_000
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +145,10 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes
         held += n or 0
 
 
-def confirm(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def confirm(texts: DataFrame, pairs: DataFrame, n_pairs: int, width: int, num: int, den: int) -> DataFrame:
     """The pairs (x, head) whose full sets have den * intersection >= num * union."""
-    sized = pairs.join(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts")), "head")
-    salted = sized.select("x", "head", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"))
+    heads_of = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("rows_of_key")).withColumn("salts", F.ceil(F.col("rows_of_key") / GROUP))
+    salted = ts.spread_join(pairs, heads_of, ["head"], n_pairs).select("x", "head", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"))
     heads = salted.select("head", "salt").distinct().select(F.col("head").alias("id"), "head", "salt", F.lit(0).alias("role"))
     wanted = heads.union(salted.select(F.col("x").alias("id"), "head", "salt", F.lit(1).alias("role")))
     rows = wanted.join(texts, "id").repartition(F.col("head"), F.col("salt")).sortWithinPartitions("head", "salt", "role")
@@ -166,7 +171,7 @@ def confirm(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
                         ys.append(head)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return ts.map_batches(rows, compare, "a long, b long")
 
 
 def _close(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -177,11 +182,38 @@ def _close(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def still_open(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """key, rep and component of the buckets that hold more than one component."""
+def open_buckets(members: DataFrame, reps: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    """Members (key, rep) of the buckets that hold more than one component, with their component, the bucket's `size` and one
+    member of it, `head`, that differs from turn to turn, with its component `other`; and how many rows that is."""
     label = members.join(reps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = label.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
-    return label.join(mixed, "key")
+    label, n = ts.settled(label, NARROW)
+    lead = F.min_by(F.struct(F.col("rep").alias("head"), F.col("component").alias("other")), F.struct(F.xxhash64("rep", F.lit(turn)), "rep"))
+    buckets = label.groupBy("key").agg(F.count(F.lit(1)).alias("rows_of_key"), F.min("component").alias("c0"), F.max("component").alias("c1"), lead.alias("l"))
+    buckets = ts.settle(buckets.select("key", "rows_of_key", F.col("rows_of_key").alias("size"), (F.col("c0") < F.col("c1")).alias("open"), "l.head", "l.other"), NARROW)
+    return ts.settled(ts.spread_join(label, buckets, ["key"], n).filter("open").drop("open"), NARROW)
+
+
+def crossing_pairs(opened: DataFrame, n: int, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, head) of all members of different components of a bucket (opened, of n rows) that a link is possible between.
+
+    One of a pair is outside the bucket's largest component. A member of so many pairs that it is hot becomes the head of
+    those with members that aren't.
+    """
+    by_part = opened.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = by_part.groupBy("key").agg(F.sum("k").alias("rows_of_key"), F.max_by("component", F.struct("k", "component")).alias("largest"))
+    own = ts.spread_join(opened.drop("head", "other"), largest, ["key"], n).join(sets, "rep")
+    own = ts.settle(own.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("row", F.pmod(F.xxhash64("rep"), F.col("blocks"))), 4 * WIDE)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    minor = own.filter("component <> largest").withColumn("col", every)
+    others = own.withColumnRenamed("row", "col").withColumn("row", every)
+    condition = "a.key = b.key AND a.row = b.row AND a.col = b.col AND a.component <> b.component AND (a.rep < b.rep OR b.component = a.largest) AND "
+    pairs = minor.alias("a").join(others.alias("b"), F.expr(condition + possible("a", "b", num, den))).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("head"))
+    pairs, n_pairs = ts.settled(pairs.distinct(), NARROW)
+    busy = pairs.select(F.explode(F.array("x", "head")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("rows_of_key")).filter(ts.hot(n_pairs))
+    is_busy = lambda c, mark: F.broadcast(busy.select(F.col("id").alias(c), F.lit(True).alias(mark)))
+    marked = pairs.join(is_busy("x", "bx"), "x", "left").join(is_busy("head", "bh"), "head", "left")
+    turned = F.col("bx").isNotNull() & F.col("bh").isNull()
+    return marked.select(F.when(turned, F.col("head")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("head")).alias("head"))
 
 
 def _links(reps: DataFrame) -> DataFrame:
@@ -190,53 +222,50 @@ def _links(reps: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; the component is null where doc_id is."""
-    ts.shared_dir(docs.sparkSession)
-    sk = ts.settle(sketches(docs, width))
+    spark = docs.sparkSession
+    sk, n_rows = ts.settled(sketches(docs, width), WIDE)
     narrow = sk.select("doc_id", "n", "s1", "s2")
     known = sk.filter("doc_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in _BITS])
-    classes = ts.settle(classes)
-    members = known.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
-    same_set = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows_of_key"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in _BITS])
+    classes, n_classes = ts.settled(classes, WIDE)
     exploded = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("most")).filter("head < most").select("key", "head")
-    opened = ts.settle(exploded.join(buckets, "key"), NARROW)
+    buckets = exploded.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("rows_of_key")).filter("head < most").drop("most")
+    opened, n_open = ts.settled(ts.spread_join(exploded, ts.settle(buckets, NARROW), ["key"], BANDS * n_classes), NARROW)
     candidates = opened.select(F.col("rep").alias("id")).distinct()
-    sets = ts.settle(classes.select("rep", "n", *_BITS).join(candidates.withColumnRenamed("id", "rep"), "rep", "left_semi"))
-    texts = ts.settle(packed(docs).join(candidates, "id", "left_semi"), 10_000)
-    pairs, opened = opened.filter("rep <> head").select(F.col("rep").alias("x"), "head").distinct(), opened.select("key", "rep")
-    reps = docs.sparkSession.createDataFrame([], "node long, component long")
+    sets = ts.settle(classes.select("rep", "n", *_BITS).join(candidates.withColumnRenamed("id", "rep"), "rep", "left_semi"), 4 * WIDE)
+    texts = ts.settle(packed(docs).join(candidates, "id", "left_semi"), TEXTS)
+    reps = spark.createDataFrame([], "node long, component long")
     for turn in range(1, ROUNDS + 1):
-        fit = pairs.join(sets.alias("a"), F.expr("x = a.rep")).join(sets.alias("b"), F.expr("head = b.rep AND " + possible("a", "b", num, den)))
+        pairs, n_pairs = ts.settled(opened.filter("rep <> head" if turn == 1 else "component <> other").select(F.col("rep").alias("x"), "head").distinct(), NARROW)
+        if not n_pairs:
+            break
+        of_head = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("rows_of_key")).join(sets.select(F.col("rep").alias("head"), F.struct("n", *_BITS).alias("b")), "head")
+        fit = ts.spread_join(pairs, of_head, ["head"], n_pairs).join(sets.select(F.col("rep").alias("x"), F.struct("n", *_BITS).alias("a")), "x").filter(possible("a", "b", num, den))
         nearest = F.struct(F.expr(" + ".join(f"bit_count(a.{c} ^ b.{c})" for c in _BITS)), "head")
-        one = ts.settle(fit.groupBy("x").agg((F.min("head") if turn == 1 else F.min_by("head", nearest)).alias("head")), NARROW)
-        if one.isEmpty():
+        one, n_one = ts.settled(fit.groupBy("x").agg((F.min("head") if turn == 1 else F.min_by("head", nearest)).alias("head")), NARROW)
+        if n_one:
+            reps = connected_components(_links(reps).union(confirm(texts, one, n_one, width, num, den)))
+        opened, n_open = open_buckets(opened.select("key", "rep"), reps, turn)  # a bucket that is done stays done
+        if not n_one:
             break
-        reps = connected_components(_links(reps).union(confirm(texts, one, width, num, den)))
-        labels = ts.settle(still_open(opened, reps), NARROW)  # a bucket that is done stays done
-        opened = labels.select("key", "rep")
-        leads = labels.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("l")).select("key", "l.*").toDF("key", "head", "other")
-        pairs = labels.join(leads, "key").filter("component <> other").select(F.col("rep").alias("x"), "head").distinct()
-    # what is left open: members outside a bucket's largest component against those of others
-    labels = still_open(opened, reps)
-    opened = ts.settle(labels.join(sets, "rep"))
-    largest = opened.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    minor = opened.join(largest, "key").filter("component <> largest")
-    crossing = F.expr("a.key = b.key AND a.component <> b.component AND (a.rep < b.rep OR b.component = a.largest) AND " + possible("a", "b", num, den))
-    rest = minor.alias("a").join(opened.alias("b"), crossing).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("head")).distinct()
-    rest = ts.settle(rest, NARROW)
-    if not rest.isEmpty():
-        reps = connected_components(_links(reps).union(confirm(texts, rest, width, num, den)))
+    if n_open:  # what is still open is finished exactly
+        rest, n_rest = ts.settled(crossing_pairs(opened, n_open, sets, num, den), NARROW)
+        if n_rest:
+            reps = connected_components(_links(reps).union(confirm(texts, rest, n_rest, width, num, den)))
     # documents: their class's component; a doc_id with several texts ties its classes together
+    of_class = classes.select("n", "s1", "s2", "rows_of_key", "rep")
     several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
     if not several.isEmpty():
-        reps = connected_components(_links(reps).union(same_set))
-        per_doc = known.select("doc_id").distinct().join(reps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-        by_doc = narrow.join(per_doc, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        return by_doc.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    of_class = classes.select("n", "s1", "s2", "rep").join(reps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    found = narrow.join(of_class, ["n", "s1", "s2"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
+        members = ts.spread_join(known.select("doc_id", "n", "s1", "s2"), of_class, ["n", "s1", "s2"], n_rows)
+        reps = connected_components(_links(reps).union(members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+        by_doc = narrow.join(reps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        found = by_doc.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    else:
+        of_class = of_class.join(reps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", "rows_of_key", F.coalesce("component", "rep").alias("component"))
+        linked = ts.spread_join(narrow.filter("doc_id IS NOT NULL AND n > 0"), of_class, ["n", "s1", "s2"], n_rows)
+        found = linked.select("doc_id", "n", "component").unionByName(narrow.filter("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
+    ts.slim(spark)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def with_verdict(found: DataFrame) -> DataFrame:
@@ -248,8 +277,8 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
 
     Of rows that share a doc_id all are kept or none, but for exact repeats of a row, of which one stays.
     """
-    gone = with_verdict(components(docs, width, num, den)).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    gone = with_verdict(components(docs, width, num, den)).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates()
 

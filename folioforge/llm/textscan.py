@@ -7,14 +7,18 @@ word byte, so byte tables are exact.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes held and scanned at a time; a longer document is a block of its own.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 4096
@@ -133,24 +137,58 @@ def in_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> I
         yield batch.slice(begin), texts.slice(begin).to_pylist()
 
 
+def give_back() -> None:
+    """Hands what this worker has freed back to the system: a worker outlives its task, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow, after which the worker is slim again."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_blocks(docs: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes | None]], dict], schema: str, limit: int = BLOCK_BYTES) -> DataFrame:
     """Rows that fn makes of each block of (doc_id, text); other columns are not read.
 
     fn gets the slice and its texts and returns a column of each name in `schema`.
     """
-    from pyspark.sql.types import StructType
-
-    names = StructType.fromDDL(schema).names
+    names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             for part, texts in in_blocks(batch, "text", limit):
                 cols = fn(part, texts)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in (cols[n] for n in names)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
+
+
+def keep_rows(docs: DataFrame, fn: Callable[[list[bytes | None]], np.ndarray], limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, for whose text fn says true; no column is looked up but `text`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in in_blocks(batch, "text", limit):
+                yield part.filter(pa.array(fn(texts), pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores as long as df has a column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,17 +196,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where the session has none, as in tests."""
-    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
+    """Makes the folder that spark.checkpoint.dir names the session's checkpoint folder.
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    Where none is named, a temporary one serves a session that runs on this machine alone, as in tests;
+    on a cluster that is refused, since executors don't share it.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="folioforge-"))
 
 
-def settle(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
-    """A checkpoint of df in about as many files as its rows fill; partitions are only ever joined.
+#: Rows of a settled table from which on its shuffle files are worth a collection on the driver.
+FREED_FROM = 50_000
+
+
+def settled(df: DataFrame, rows_each: int = 100_000) -> tuple[DataFrame, int]:
+    """A checkpoint of df in about as many files as its rows fill, and its rows; partitions are only ever joined.
 
     The rows are made once, at df's own parallelism, and held on the executors' disks until the
     checkpoint is written from there; an executor that is lost meanwhile only means making its share again.
@@ -178,8 +224,40 @@ def settle(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
     n = kept.count()
     out = kept.coalesce(max(1, -(-n // rows_each))).checkpoint()
     kept.unpersist()
-    # Spark drops the shuffle files behind df, which nothing reads any more, when the driver's garbage is collected
-    del kept
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    if n >= FREED_FROM:
+        # Spark drops the shuffle files behind df, which nothing reads any more, when the driver's garbage is collected
+        del kept
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+    return out, n
+
+
+def settle(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
+    return settled(df, rows_each)[0]
+
+
+def slim(spark: SparkSession) -> None:
+    """Asks the executors' JVMs to hand unused heap back: shuffles have grown it, and Python workers need the room next."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
+#: A key is hot if it holds more rows than this and than one in HOT_SHARE of all: there are fewer than HOT_SHARE such keys.
+HOT_ROWS, HOT_SHARE = 256, 10_000
+
+
+def hot(rows: int) -> Column:
+    """Whether a key with `rows_of_key` of a table's `rows` is hot."""
+    return F.col("rows_of_key") > F.lit(max(HOT_ROWS, rows // HOT_SHARE))
+
+
+def spread_join(left: DataFrame, counted: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """left, of `rows` rows, joined with counted, which has one row for each of left's keys and in `rows_of_key` how many rows of left have it.
+
+    Rows of a hot key stay where they are: the fewer than HOT_SHARE rows of counted that they need are broadcast. All
+    others meet by a shuffle, in which no key has more than a HOT_SHARE-th of the rows.
+    """
+    is_hot = hot(rows)
+    few, many = counted.filter(is_hot).drop("rows_of_key"), counted.filter(~is_hot).drop("rows_of_key")
+    cold = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys)
+    return cold.unionByName(left.join(F.broadcast(few), keys))

@@ -39,30 +39,32 @@ def _least(b: str) -> str:
     return f"(({b} - {b} // {1 << qr.SUB_BITS} * {1 << qr.SUB_BITS}) << ({b} // {1 << qr.SUB_BITS})::INT)"
 
 
-def _quantile(source: str, keys: str) -> str:
-    part = f"PARTITION BY {keys}, rule" if keys else "PARTITION BY rule"
-    by = f"{keys}, rule" if keys else "rule"
-    return f"(SELECT {by}, {_least('b')} AS q, total FROM (SELECT {by}, min(CASE WHEN upto >= total * {qr.QUANTILE} THEN bin END) AS b, any_value(total) AS total FROM (SELECT *, sum(n) OVER ({part} ORDER BY bin) AS upto, sum(n) OVER ({part}) AS total FROM {source}) GROUP BY {by}))"
+def _quantiles(source: str, *keys: str) -> str:
+    by = ", ".join((*keys, "rate"))
+    at = lambda q: f"min(CASE WHEN upto >= total * {q}::DOUBLE THEN bin END)"
+    return f"(SELECT {by}, {_least('low')} AS low, {_least('high')} AS high, total FROM (SELECT {by}, {at(qr.LOWER)} AS low, {at(qr.UPPER)} AS high, any_value(total) AS total FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM {source}) GROUP BY {by}))"
 
 
 def quality() -> str:
-    part, whole = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words", "upper_rate": "n_upper", "pipe_rate": "n_pipes"}, {"symbol_rate": "word_chars", "dup_line_rate": "n_lines", "repeat_rate": "n_words", "upper_rate": "n_letters", "pipe_rate": "n_words"}
-    rates = ", ".join(f"100000 * {part[r]} // greatest({whole[r]}, 1) AS {r}" for r in qr.RULES)
-    long = " UNION ALL ".join(f"SELECT lang, source, {k} AS rule, {r} AS v FROM r" for k, r in enumerate(qr.RULES))
-    floor = "CASE f.rule " + " ".join(f"WHEN {k} THEN {qr.FLOOR[r]}" for k, r in enumerate(qr.RULES)) + " END"
-    cuts = ", ".join(f"max(CASE WHEN rule = {k} THEN cut END) AS cut_{r}" for k, r in enumerate(qr.RULES))
-    over = ", ".join(f"CASE WHEN {r} > cut_{r} THEN '{r}' END" for r in qr.RULES)
+    part = {"mark_rate": ("n_marks", "word_chars", 100_000), "word_length": ("word_chars", "n_words", 1_000), "upper_rate": ("n_upper", "n_letters", 100_000), "dup_line_rate": ("n_dup_lines", "n_lines", 100_000), "repeat_rate": ("n_repeat_words", "n_words", 100_000)}
+    rates = ", ".join(f"{scale} * {a} // greatest({b}, 1) AS {r}" for r, (a, b, scale) in part.items())
+    long = " UNION ALL ".join(f"SELECT lang, source, {k} AS rate, {r} AS v FROM r" for k, r in enumerate(qr.RATES))
+    guard = "CASE rate " + " ".join(f"WHEN {k} THEN {qr.GUARD[r]}" for k, r in enumerate(qr.RATES)) + " END"
+    side = {"high": f"high + {qr.SPREAD} * greatest(high - low, guard)", "low": f"low - {qr.SPREAD} * greatest(high - low, guard)"}
+    cuts = ", ".join(f"max(CASE WHEN rate = {qr.RATES.index(r)} THEN {side[s]} END) AS cut_{r}_{s}" for r, s in qr.RULES)
+    over = ", ".join(f"CASE WHEN {r} {'>' if s == 'high' else '<'} cut_{r}_{s} THEN '{r}_{s}' END" for r, s in qr.RULES)
+    pick = lambda c: f"CASE WHEN f.total >= {qr.MIN_GROUP} THEN f.{c} WHEN l.total >= {qr.MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}"
     tok = _TOKENS.format("coalesce(text, '')")
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {tok} AS w FROM documents),
  win AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
  rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT win.doc_id, unnest(range(win.p, win.p + 3)) AS k FROM win JOIN (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1) g ON g.doc_id = win.doc_id AND g.s = win.s) GROUP BY doc_id),
  l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
  m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
- coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS n_letters, length(regexp_replace(text, '[^|]+', '', 'g')) AS n_pipes FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN l USING (doc_id)),
- r AS (SELECT *, {rates} FROM m), fine AS (SELECT lang, source, rule, {_bin('v')} AS bin, count(*) AS n FROM ({long}) GROUP BY ALL),
- by_lang AS (SELECT lang, rule, bin, sum(n) AS n FROM fine GROUP BY ALL), by_all AS (SELECT rule, bin, sum(n) AS n FROM fine GROUP BY ALL),
- t AS (SELECT f.lang, f.source, f.rule, greatest({floor}::DOUBLE, {qr.SPREAD} * CASE WHEN f.total >= {qr.MIN_GROUP} THEN f.q WHEN l.total >= {qr.MIN_GROUP} THEN l.q ELSE a.q END) AS cut
- FROM {_quantile('fine', 'lang, source')} f JOIN {_quantile('by_lang', 'lang')} l ON l.rule = f.rule AND l.lang IS NOT DISTINCT FROM f.lang JOIN {_quantile('by_all', '')} a ON a.rule = f.rule),
+ coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS n_letters, length(regexp_replace(text, '[^\\x00-\\x08\\x0E-\\x1F\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', '', 'g')) AS n_marks FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN l USING (doc_id)),
+ r AS (SELECT *, {rates} FROM m), fine AS (SELECT lang, source, rate, {_bin('v')} AS bin, count(*) AS n FROM ({long}) GROUP BY ALL),
+ by_lang AS (SELECT lang, rate, bin, sum(n) AS n FROM fine GROUP BY ALL), by_all AS (SELECT rate, bin, sum(n) AS n FROM fine GROUP BY ALL),
+ t AS (SELECT *, {guard} AS guard FROM (SELECT f.lang, f.source, f.rate, {pick('low')}, {pick('high')}
+ FROM {_quantiles('fine', 'lang', 'source')} f JOIN {_quantiles('by_lang', 'lang')} l ON l.rate = f.rate AND l.lang IS NOT DISTINCT FROM f.lang JOIN {_quantiles('by_all')} a ON a.rate = f.rate)),
  c AS (SELECT lang, source, {cuts} FROM t GROUP BY lang, source)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules = '' AS kept, rules FROM
  (SELECT r.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {over}) AS rules FROM r JOIN c ON c.lang IS NOT DISTINCT FROM r.lang AND c.source IS NOT DISTINCT FROM r.source)"""

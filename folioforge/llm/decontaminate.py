@@ -4,14 +4,16 @@ Each block of whole documents is a shard with a word-level suffix array, built b
 doubling (several ranks packed into a 64-bit key for each round). Every suffix of every
 benchmark item is found by binary search, which gives its longest verbatim match and a place;
 the suffixes whose match covers a window then give the range of all places of that window.
-Nothing is shuffled. The benchmark is read in blocks of at most `ITEM_BYTES`, each sent as a
-broadcast of that bounded size, so a large benchmark means more passes over a shard's array
-and not more memory.
+A suffix with a word near its start that the shard lacks ends its match there; only the rest is searched.
+No text is shuffled. The benchmark is read in blocks of at most `ITEM_BYTES`, a task holding one at a time, and
+`SENT_BYTES` of blocks are broadcast at once; a larger benchmark means more passes over the documents.
 
 Words are compared as 64-bit hashes in the arrays, and every hit is then confirmed on its bytes.
 Null or empty texts have no words and hit nothing; items without words have no windows; items
-whose id is null mark words but aren't listed. Rows with equal doc_ids are judged one by one in
-`scan`; in `remove_contaminated` they go together. Other columns pass through whatever their names.
+whose id is null mark words but aren't listed; equal items are each listed. An empty table gives no
+rows, an empty benchmark contaminates none. Rows are judged one by one, also where doc_ids are null or
+repeated. Columns other than doc_id and text are not read; `remove_contaminated` keeps them whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +33,8 @@ from . import textscan as ts
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
-ITEM_BYTES = 16 << 20
+#: Text of a block of items, and of all blocks that are broadcast at a time.
+ITEM_BYTES, SENT_BYTES = 16 << 20, 256 << 20
 
 
 class SuffixArray:
@@ -123,12 +129,20 @@ class Items:
         self.is_window = self.left >= self.need
         self.place = np.arange(len(self.item)) + self.item
         self.depth = int(w.counts.max(initial=1))
+        self.size = len(data)
 
     def text(self, sa: SuffixArray) -> np.ndarray:
         out = np.full(len(self.hashes) + len(self.ids) + 1, len(sa.vocabulary) + 2, np.int64)
         out[self.place] = sa.lookup(self.hashes)
         return out
 
+    def reach(self, sa: SuffixArray) -> np.ndarray:
+        """For each word: how many words from it on the shard's texts have, somewhere. No match is longer."""
+        n = len(self.hashes)
+        lacks = sa.lookup(self.hashes) > len(sa.vocabulary)
+        stop = np.minimum.accumulate(np.where(lacks, np.arange(n), n)[::-1])[::-1]
+        return np.minimum(stop - np.arange(n), self.left)
+
 
 def item_blocks(benchmark: DataFrame, limit: int = ITEM_BYTES) -> Iterator[Items]:
     """The benchmark in blocks of bounded size; the driver holds one at a time."""
@@ -158,15 +172,15 @@ class Shard:
         self.items: dict[int, set[str]] = defaultdict(set)
 
     def longest(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
-        text = items.text(self.sa)
-        return self.sa.longest(text, items.place, items.left)
+        return self.sa.longest(items.text(self.sa), items.place, items.left)
 
     def mark(self, items: Items) -> None:
         if not len(items.hashes) or not len(self.hashes):
             return
         text, sa = items.text(self.sa), self.sa
-        best, _ = sa.longest(text, items.place, items.left)
-        q = np.flatnonzero(items.is_window & (best >= items.need))
+        q = np.flatnonzero(items.is_window & (items.reach(sa) >= items.need))
+        best, _ = sa.longest(text, items.place[q], items.left[q])
+        q = q[best >= items.need[q]]
         if not len(q):
             return
         lo = sa.bound(text, items.place[q], items.need[q], upper=False)
@@ -198,60 +212,120 @@ class Shard:
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """REPORT for each row of docs."""
-    sc = docs.sparkSession.sparkContext
-    depth, sent = 1, []
+def sent_blocks(benchmark: DataFrame) -> Iterator[tuple[int, list[Broadcast]]]:
+    """Broadcasts of some blocks of the benchmark, SENT_BYTES at most or one block, and the longest item's words."""
+    sc, depth, sent, held = benchmark.sparkSession.sparkContext, 1, [], 0
     for items in item_blocks(benchmark):
-        depth = max(depth, items.depth)
+        if sent and held + items.size > SENT_BYTES:
+            yield depth, sent
+            depth, sent, held = 1, [], 0
+        depth, held = max(depth, items.depth), held + items.size
         sent.append(sc.broadcast(items))
+    yield depth, sent
+
+
+def _marked(texts: list[bytes | None], depth: int, sent: list[Broadcast]) -> Shard:
+    shard = Shard(texts, depth)
+    for b in sent:
+        shard.mark(b.value)
+        if len(sent) > 1:  # hold one block of the benchmark at a time
+            del b._value
+    return shard
+
+
+def _is_contaminated(n_hit, n_words):
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """REPORT for each row of docs."""
+    passes = sent_blocks(benchmark)
+    first, more = next(passes), next(passes, None)
+    if more is not None:
+        return _scan_in_passes(docs, chain((first, more), passes))
+    depth, sent = first
 
     def block(part, texts):
-        shard = Shard(texts, depth)
-        for b in sent:
-            shard.mark(b.value)
-            if len(sent) > 1:  # hold one block of the benchmark at a time
-                del b._value
+        shard = _marked(texts, depth, sent)
         n_hit = ts.seg_sum(shard.hit, shard.w.first)
         names = [sorted(shard.items.get(d, ())) for d in range(len(texts))]
         return {
-            "doc_id": part.column(0), "n_words": shard.w.counts, "n_hit": n_hit, "n_items": [len(x) for x in names],
-            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], "contaminated": (n_hit > 0) & (20 * n_hit >= shard.w.counts),
+            "doc_id": part.column(0), "n_words": shard.w.counts, "n_hit": n_hit, "n_items": np.array([len(x) for x in names], np.int64),
+            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], "contaminated": _is_contaminated(n_hit, shard.w.counts),
         }
 
     return ts.map_blocks(docs, block, REPORT, SHARD_BYTES)
 
 
+def _scan_in_passes(docs: DataFrame, passes: Iterator[tuple[int, list[Broadcast]]]) -> DataFrame:
+    """As `scan`: each pass leaves, for each row, the words it hit and the items; the passes' finds are then united."""
+    # a written table has rows that can be numbered
+    rows = ts.settle(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(F.col("doc_id").cast("long").alias("id")).alias("own"), F.col("text").cast("string").alias("text")))
+    found = None
+    for depth, sent in passes:
+
+        def block(part, texts, depth=depth, sent=sent):
+            shard = _marked(texts, depth, sent)
+            at = [np.flatnonzero(shard.hit[a:b]) for a, b in zip(shard.w.first[:-1], shard.w.first[1:], strict=True)]
+            names = [sorted(shard.items.get(d, ())) for d in range(len(texts))]
+            return {"doc_id": part.column(0), "n_words": shard.w.counts, "hit": pa.array(at, pa.list_(pa.int64())), "items": pa.array(names, pa.list_(pa.string()))}
+
+        part = ts.settle(ts.map_blocks(rows, block, "doc_id long, n_words long, hit array<long>, items array<string>", SHARD_BYTES))
+        found = part if found is None else found.unionByName(part)
+        for b in sent:
+            b.destroy()
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  a list for each pass
+    one = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.size(every("hit")).cast("long").alias("n_hit"), every("items").alias("items"))
+    said = one.join(rows.select("doc_id", "own.id"), "doc_id").select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    return said.withColumn("contaminated", _is_contaminated(F.col("n_hit"), F.col("n_words")))
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
     """For each item and word of it where a match of `least` words starts: the longest match in all documents, and one place of it."""
-    sc = docs.sparkSession.sparkContext
-    sent = [(items.depth, sc.broadcast(items)) for items in item_blocks(benchmark)]
-    depth = max([1, *(d for d, _ in sent)])
+    found = None
+    for depth, sent in sent_blocks(benchmark):
+        part = ts.settle(_longest(docs, depth, sent, least))
+        found = part if found is None else found.unionByName(part)
+        for b in sent:
+            b.destroy()
+    best = F.max_by(F.struct("n_words", "doc_id", "doc_word"), F.struct("n_words", -F.col("doc_id"), -F.col("doc_word")))
+    return found.groupBy("item_id", "item_word").agg(best.alias("b")).select("item_id", "item_word", "b.*")
+
 
+def _longest(docs: DataFrame, depth: int, sent: list[Broadcast], least: int) -> DataFrame:
     def block(part, texts):
         shard, out = Shard(texts, depth), defaultdict(list)
         ids = part.column(0).to_pylist()
-        for _, b in sent:
+        for b in sent:
             items = b.value
             n, at = shard.longest(items)
             for k in np.flatnonzero(n >= least):
                 d = int(shard.doc[at[k]])
                 for c, v in (("item_id", items.ids[items.item[k]]), ("item_word", int(k - np.searchsorted(items.item, items.item[k]))), ("n_words", int(n[k])), ("doc_id", ids[d]), ("doc_word", int(at[k] - shard.w.first[d]))):
                     out[c].append(v)
-        import pyarrow as pa
-
         kinds = {"item_id": pa.string(), "item_word": pa.int64(), "n_words": pa.int64(), "doc_id": pa.int64(), "doc_word": pa.int64()}
         return {c: pa.array(out[c], kind) for c, kind in kinds.items()}
 
-    found = ts.map_blocks(docs, block, "item_id string, item_word long, n_words long, doc_id long, doc_word long", SHARD_BYTES)
-    best = F.max_by(F.struct("n_words", "doc_id", "doc_word"), F.struct("n_words", -F.col("doc_id"), -F.col("doc_word")))
-    return found.groupBy("item_id", "item_word").agg(best.alias("b")).select("item_id", "item_word", "b.*")
+    return ts.map_blocks(docs, block, "item_id string, item_word long, n_words long, doc_id long, doc_word long", SHARD_BYTES)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    bad = scan(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs that aren't contaminated, with all their columns, each judged by itself where it is read."""
+    passes = sent_blocks(benchmark)
+    (depth, sent), more = next(passes), next(passes, None)
+    if more is None:
+
+        def clean(texts):
+            shard = _marked(texts, depth, sent)
+            return ~_is_contaminated(ts.seg_sum(shard.hit, shard.w.first), shard.w.counts)
+
+        return ts.keep_rows(docs, clean, SHARD_BYTES)
+    # a benchmark of several passes: rows are numbered in a written table
+    number, rest = ts.free_name(docs, "number"), docs.columns
+    rows = ts.settle(docs.withColumn(number, F.monotonically_increasing_id()))
+    found = _scan_in_passes(rows.select(F.col(number).alias("doc_id"), "text"), chain(((depth, sent), more), passes))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad"))
+    return rows.alias("d").join(bad.alias("b"), F.col(f"d.{number}") == F.col("b.bad"), "left_anti").select(*[F.col(f"`{c}`") for c in rest])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

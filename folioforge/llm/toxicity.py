@@ -8,10 +8,12 @@ a long text count. A misspelling shares n-grams, hence vectors, with the word it
 softmax is linear, scoring adds a number for each n-gram.
 
 Only labelled rows outside the held-out third train it, at most PER_CLASS documents of each label
-and TRAIN_BYTES of text, in an order given by a hash of doc_id. Every whole text is scored; empty
-and null ones have no passage and get the score of the bias alone. Without labels of both kinds the
-model is all zeros and each score 0.5. Repeated rows get equal scores; a repeated label of a
-document counts once, the greatest; labels that are null are left out.
+and TRAIN_BYTES of text, in an order given by a hash of doc_id; a text that doesn't fit in what is left
+of its label's bytes is passed over. Every whole text is scored; empty and null ones have no passage
+and get the score of the bias alone; of passages that score alike the first counts. Without labels of
+both kinds the model is all zeros and each score 0.5. Repeated rows get equal scores, and rows without a
+doc_id are scored too; a repeated label of a document counts once, the greatest; labels that are null
+are left out. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from . import textscan as ts
 
 BUCKET_BITS, DIM, GRAMS, PASSAGE = 17, 8, (3, 4, 5), 4
 PER_CLASS, TRAIN_BYTES = 1500, 8 << 20
-#: Share of toxic labels that training may set aside because their texts look like clean ones.
-UNBORNE = 0.35
 THRESHOLD = 0.7
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,7 +107,7 @@ class Model:
         return 1 / (1 + np.exp(-out))
 
 
-def fit(texts: list[bytes | None], labels: np.ndarray, bag_rounds: int = 25, passage_rounds: int = 60, seed: int = 11) -> Model:
+def fit(texts: list[bytes | None], labels: np.ndarray, bag_rounds: int = 40, passage_rounds: int = 110, seed: int = 11) -> Model:
     """Joint full-batch training of embeddings and softmax (Adam)."""
     bags = Bags(texts)
     y = labels.astype(float)
@@ -141,11 +141,7 @@ def fit(texts: list[bytes | None], labels: np.ndarray, bag_rounds: int = 25, pas
         n = size[hi] - size[lo]
         z = (s[hi] - s[lo]) / n + (bias[1] - bias[0])
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        use = weight[live].copy()
-        if step > bag_rounds + passage_rounds // 3:  # labels that nothing in the text bears out, up to a bounded share
-            pos = y[live] > 0
-            use[pos & (z < min(np.quantile(z[~pos], 0.98), np.quantile(z[pos], UNBORNE)))] = 0
-        g = use * (p - y[live])
+        g = weight[live] * (p - y[live])
         line = np.zeros(len(word) + 1)
         np.add.at(line, lo, g / n)
         np.add.at(line, hi, -g / n)
@@ -166,24 +162,30 @@ def held_out(doc_id, parts: int, part: int):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, per_class: int, byte_limit: int) -> tuple[list[bytes], np.ndarray]:
-    """A bounded sample of labelled texts: (texts, labels). A text that doesn't fit in what is left of its label's bytes is passed over."""
+    """A bounded sample of labelled texts: (texts, labels). A text that doesn't fit in what is left of its label's bytes is passed over.
+
+    What is chosen is decided on ids and sizes; only the chosen texts, byte_limit in all, are then read and sent. Of several
+    texts of a doc_id the shortest, and of those the one of the least hash, stands for it.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id")
     # at most per_class ids of each label: a bounded table
     picked = [own.filter(F.col("y") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").filter("text IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class)
-    texts, ys, room = [], [], [byte_limit // 2, byte_limit // 2]
-    seen = set()
-    for doc_id, text, y in rows.select("doc_id", F.col("text").cast("binary"), "y").toLocalIterator():
-        if doc_id not in seen and len(text) <= room[y]:
-            seen.add(doc_id)
-            room[y] -= len(text)
-            texts.append(bytes(text))
-            ys.append(y)
-    return texts, np.array(ys, np.int64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    sized = rows.join(sample, "doc_id").select("doc_id", "y", F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash")).alias("which"))
+    found = sized.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("which").alias("which")).select("doc_id", "y", "which.*").orderBy(order, "doc_id").collect()
+    room, chosen = [byte_limit // 2, byte_limit // 2], []
+    for r in found:
+        if r["size"] <= room[r["y"]]:
+            room[r["y"]] -= r["size"]
+            chosen.append((r["doc_id"], r["hash"], r["y"]))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, hash long, y int"))
+    texts = rows.withColumn("hash", F.xxhash64("text")).join(wanted, ["doc_id", "hash"]).select("doc_id", F.col("text").cast("binary")).dropDuplicates(["doc_id"]).collect()
+    by_id = {k: bytes(t) for k, t in texts}
+    chosen = [(by_id[k], y) for k, _, y in chosen]
+    return [t for t, _ in chosen], np.array([y for _, y in chosen], np.int64)
 
 
 SCHEMA = "doc_id long, score double"

@@ -11,10 +11,12 @@ MAX_STATES states; the lookahead is bounded by the longest token. So a piece of
 for each byte, unlike merging, whose cost grows faster than the piece.
 
 Decoding is an incremental machine over UTF-8 states, fed with any chunks of bytes; it hands out
-whole characters as soon as they end and replaces what isn't UTF-8 as Python's decoder does.
+whole characters as soon as they end and replaces what isn't UTF-8 as Python's decoder does. Texts
+are decoded through it, DECODE tokens at a time.
 
-Null text counts as empty: no tokens. Every row is judged on its own. Lone surrogates can't occur
-in Spark's strings. Columns other than doc_id and text are not read.
+Null text counts as empty: no tokens. Every row is judged on its own, so repeated rows get equal
+results, and rows without a doc_id too. Lone surrogates can't occur in Spark's strings. An empty table
+gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import textscan as ts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 60_000, 250_000, 300_000
+#: What a worker's tables hold at most; what goes is made anew where it is met again.
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 60_000, 200_000, 200_000
+#: Tokens that are decoded at a time.
+DECODE = 4096
 
 
 def vocabulary_path() -> str:
@@ -67,16 +72,18 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {v: k for k, v in ranks.items()}
-        self.child: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]  # token that ends at a node
+        #: the trie: the node after a node and a byte, the token that ends at a node, whether a node has more below it
+        self.child: dict[int, int] = {}
+        self.ends, self.inner = [-1], bytearray([1])
         for raw, rank in ranks.items():
             node = 0
             for b in raw:
-                nxt = self.child[node].get(b)
+                nxt = self.child.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.child[node][b] = len(self.child)
-                    self.child.append({})
+                    nxt = self.child[node << 8 | b] = len(self.ends)
                     self.ends.append(-1)
+                    self.inner.append(0)
+                    self.inner[node] = 1
                 node = nxt
             self.ends[node] = rank
         self._made: dict[int, bool] = {}
@@ -146,7 +153,7 @@ class Transducer:
         grown: list[Live] = []
         here: tuple[int, ...] | None = None
         for node, tokens in live:
-            nxt = self.child[node].get(byte)
+            nxt = self.child.get(node << 8 | byte)
             if nxt is None:
                 continue
             token = self.ends[nxt]
@@ -154,7 +161,7 @@ class Transducer:
                 before = tokens[-1] if tokens else last
                 if before < 0 or self.fits(before, token):
                     here = (*tokens, token)
-            if self.child[nxt]:
+            if self.inner[nxt]:
                 grown.append((nxt, tokens))
         if here is None:
             raise ValueError("the vocabulary lacks a single byte")
@@ -209,19 +216,19 @@ class Transducer:
             for t in tokens:
                 chain = (t, chain)
             paths.append((node, chain))
-        child, ends, known, made = self.child, self.ends, self._fits, self._made
+        child, ends, inner, known, made = self.child.get, self.ends, self.inner, self._fits.get, self._made.get
         for byte in rest:
             here, grown = None, []
             for node, chain in paths:
-                nxt = child[node].get(byte)
+                nxt = child(node << 8 | byte)
                 if nxt is None:
                     continue
                 if here is None and (t := ends[nxt]) >= 0:
                     before = chain[0]
-                    ok = known.get(before << 32 | t) if before >= 0 else True
-                    if (ok or (ok is None and self.fits(before, t))) and (made.get(t) or self.made(t)):
+                    ok = known(before << 32 | t) if before >= 0 else True
+                    if (ok or (ok is None and self.fits(before, t))) and (made(t) or self.made(t)):
                         here = (t, chain)
-                if child[nxt]:
+                if inner[nxt]:
                     grown.append((nxt, chain))
             grown.append((0, here))
             paths = grown
@@ -339,7 +346,10 @@ def round_trips(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
             ids = own.encode((t or b"").decode("utf-8", "replace"))
             n.append(len(ids))
             ids_hash.append(hashlib.sha256(",".join(map(own.written.__getitem__, ids)).encode()).hexdigest())
-            text_hash.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+            decoded = hashlib.sha256()
+            for said in own.decode_stream(ids[k : k + DECODE] for k in range(0, len(ids), DECODE)):
+                decoded.update(said.encode())
+            text_hash.append(decoded.hexdigest())
         return {"doc_id": part.column(0), "n_tokens": np.array(n, np.int64), "ids_sha256": ids_hash, "decoded_sha256": text_hash}
 
     return ts.map_blocks(docs, block, SCHEMA)

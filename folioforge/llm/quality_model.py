@@ -1,7 +1,8 @@
 """Quality classifier: a generalised additive model with pairwise interactions (operator 7).
 
-Each whole text becomes a few measures. Each measure is cut into bins at training quantiles and has
-a lookup table of additions to the logit; so has each chosen pair of measures, on coarser bins.
+Each whole text becomes a few measures. Each measure is cut into bins at training quantiles, of all
+values and of those above the least one (most texts share the least of many measures), and has a
+lookup table of additions to the logit; so has each chosen pair of measures, on COARSE joined bins each.
 Tables are learnt by cyclic boosting: in each round every measure in turn gets a shallow tree on the
 current residuals, whose leaves are added to its table at a low rate; then the pairs with the most to
 explain are chosen on the residuals and boosted alike. Scoring is one addition per table.
@@ -9,7 +10,9 @@ explain are chosen on the residuals and boosted alike. Scoring is one addition p
 Only labelled rows outside the held-out quarter train it, at most SAMPLE of them (in an order given
 by a hash of doc_id, so any copy of the data gives the same sample). Every text is scored; a null
 or empty text has all measures 0. Without labels of both kinds every score is 0.5. Repeated rows get
-equal scores; a repeated label of a document counts once, the greatest; null labels are left out.
+equal scores, and rows without a doc_id are scored too; a repeated label of a document counts once, the
+greatest; null labels are left out; a value that equals an edge belongs to the bin above it. An empty
+table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -61,6 +64,8 @@ class Model:
     def __init__(self, edges: list[np.ndarray], bias: float):
         self.edges, self.bias = edges, bias
         self.one = [np.zeros(BINS) for _ in edges]
+        #: the coarse bin of each of a measure's own bins
+        self.joined = [np.arange(len(e) + 1) * min(COARSE, len(e) + 1) // (len(e) + 1) for e in edges]
         self.two: dict[tuple[int, int], np.ndarray] = {}
 
     def bins(self, x: np.ndarray) -> np.ndarray:
@@ -71,7 +76,7 @@ class Model:
         for k, t in enumerate(self.one):
             out += t[b[:, k]]
         for (i, j), t in self.two.items():
-            out += t[b[:, i] * COARSE // BINS, b[:, j] * COARSE // BINS]
+            out += t[self.joined[i][b[:, i]], self.joined[j][b[:, j]]]
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -123,8 +128,17 @@ def _tree2(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, flo
     return best
 
 
+def edges_of(v: np.ndarray) -> np.ndarray:
+    """Fewer than BINS edges: quantiles of the values, and of those above the least."""
+    if not len(v):
+        return np.zeros(0)
+    inner = np.linspace(0, 1, BINS // 2 + 1)[1:-1]
+    above = v[v > v.min()]
+    return np.unique(np.concatenate([np.quantile(p, inner) for p in (v, above) if len(p)] + [above.min(initial=np.inf, keepdims=True)] * bool(len(above))))
+
+
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40, rate: float = 0.15) -> Model:
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for k in range(len(MEASURES))]
+    edges = [edges_of(x[:, k]) for k in range(len(MEASURES))]
     if len(np.unique(y)) < 2:
         return Model(edges, 0.0)
     p0 = y.mean()
@@ -143,7 +157,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
             add = rate * _tree(np.bincount(b[:, k], weights=g, minlength=BINS), np.bincount(b[:, k], weights=h, minlength=BINS), counts[k])
             model.one[k] += add
             z += add[b[:, k]]
-    c = b * COARSE // BINS
+    c = np.stack([model.joined[k][b[:, k]] for k in range(x.shape[1])], axis=1)
     cells = {(i, j): c[:, i] * COARSE + c[:, j] for i, j in combinations(range(x.shape[1]), 2)}
     grid = lambda ij, v: np.bincount(cells[ij], weights=v, minlength=COARSE * COARSE).reshape(COARSE, COARSE)
     g, h = residual()
@@ -186,7 +200,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
             x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, len(MEASURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return ts.map_batches(rows, run, "doc_id long, score double")
 
 
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 The law is `rows`: shard sizes differ by one at most. How many rows each partition sends to each
 cell (a piece of a shard) is drawn first: the matrix of counts with the partitions' sizes as row
-sums and the cells' exact sizes as column sums, from the multivariate hypergeometric law. Each partition then deals its rows by a random permutation of its row of the matrix, the rows
-are exchanged, and each cell is permuted again by random keys. Cells bound what one task sorts,
-whatever the shard's size. All draws depend on (seed, partition) only, and the partitions are those
+sums and the cells' exact sizes as column sums, from the multivariate hypergeometric law (counts
+always add up exactly; the law is met as far as double arithmetic goes). Each partition then deals its
+rows by a random permutation of its row of the matrix, the rows are exchanged, and each cell is permuted
+again by random keys. Cells bound what one task sorts, whatever the shard's size. All draws depend on (seed, partition) only, and the partitions are those
 of a checkpoint, so recomputing a lost task deals the same rows to the same places.
 
 Null texts have size 1 and the checksum of no bytes. Repeated rows are dealt out one by one, so a
-large group of equal texts spreads over all shards. Empty tables give no rows. Other columns are
-kept by `shuffle` if asked for; names that clash with its own are refused.
+large group of equal texts spreads over all shards; a null doc_id is dealt like any other. Of equal random
+keys in a cell the row that came first stands first. Empty tables give no rows. Other columns are kept by
+`shuffle` if asked for; names that clash with its own are refused.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from math import exp, lgamma
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +77,7 @@ def _one(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
         u -= p_down
         if u <= 0:
             return down
-    return mode
+    return mode  # what rounding left of u, beyond every count that has a probability
 
 
 def matrix_row(upto: np.ndarray, cells: np.ndarray, seed: int, p: int) -> np.ndarray:
@@ -105,9 +109,6 @@ def shuffle(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows:
     schema = T.StructType([*fixed.schema.fields, *own_fields])
 
     def deal(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
         p, at = TaskContext.get().partitionId(), 0
         own = matrix_row(upto, cells, seed, p) if p < len(upto) - 1 else np.zeros(len(cells), np.int64)
         rng = np.random.default_rng([seed, p])
@@ -120,7 +121,7 @@ def shuffle(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows:
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], names=schema.names)
 
     rank = F.row_number().over(W.partitionBy("__cell").orderBy("__key", "__row")) - 1
-    return fixed.mapInArrow(deal, schema).withColumn("slot", (rank + F.col("__first")).cast("long")).select(*fixed.columns, "shard", "slot")
+    return ts.map_batches(fixed, deal, schema).withColumn("slot", (rank + F.col("__first")).cast("long")).select(*fixed.columns, "shard", "slot")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

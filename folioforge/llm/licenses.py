@@ -4,10 +4,12 @@ Templates (`templates.py`) are compiled into automata over words: mandatory word
 regions that may be left out, and replaceable regions of up to n words. The automata of all
 templates and the four base phrases run together as one set of states, started only where a word
 stands that some template can begin with and, for its mandatory opening, only where the next
-mandatory word follows. A text gets a template's label where some run reaches its end.
+mandatory word follows. A text gets a template's label where some run reaches its end. A template
+that ends in `<<id>>` names a licence by an identifier: the identifier read there makes the label.
 
 Null text counts as empty: no words, no labels, score 0. Each row is judged on its own, so
-repeated rows get equal results; columns other than doc_id and text are not read.
+repeated rows get equal results, and rows without a doc_id too. Where a template's runs end in several
+places the longest counts. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from .templates import TEMPLATES
 #: Base phrases and their labels.
 PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
 _WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+_IDENTIFIER = re.compile(rb"[^0-9A-Za-z\n]{0,8}?([0-9A-Za-z][0-9A-Za-z.+-]*)")
 
 
 class Automaton:
@@ -39,8 +42,10 @@ class Automaton:
         self.skip: list[list[int]] = []
         self.final: dict[int, str] = {}
         self.begin: dict[str, list[int]] = {}
+        #: labels of templates that end in an identifier
+        self.named = {label for label, markup in templates.items() if markup.endswith("<<id>>")}
         for label, markup in templates.items():
-            start = self._compile(label, markup)
+            start = self._compile(label, markup.removesuffix("<<id>>"))
             for s in self.closure([start]):
                 for word in self.edges[s]:
                     self.begin.setdefault(word, []).append(start)
@@ -168,7 +173,11 @@ class Scanner:
                 continue
             for label, end in self.automaton.run(words, k, self.automaton.begin[word]).items():
                 spans[d].append((k, end))
-                if label.startswith("base:"):
+                if label in self.automaton.named:
+                    stop = int(w.ends[a + end - 1])
+                    if m := _IDENTIFIER.match(data[stop : off[d + 1]].tobytes()):
+                        own[d].add(f"{label}:{m[1].decode().rstrip('.-').lower()}")
+                elif label.startswith("base:"):
                     base[d].append(k)
                     kinds[d].add(label[5:])
                 else:

@@ -1,7 +1,8 @@
 """Licence texts as markup, matched word by word (operator 9 reads these).
 
 `<<optional>> ... <<end>>` may be left out; `<<any n>>` stands for up to n words of any kind (a
-name, a year, a title). Everything else is mandatory wording. The wording of the licences is fixed.
+name, a year, a title); `<<id>>`, at the end, is an identifier that becomes part of the label. Everything
+else is mandatory wording. The wording of the licences is fixed.
 """
 
 from __future__ import annotations
@@ -29,9 +30,25 @@ _APACHE = """Licensed under the Apache License, Version 2.0 <<optional>> (the "L
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 <<optional>>
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
 BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. <<end>> <<end>>"""
-_GPL = """This program is free software <<optional>> ; you can redistribute it and/or modify it <<end>> <<optional>> : you can
-redistribute it and/or modify it <<end>> under the terms of the GNU General Public License as published by the Free Software
-Foundation <<optional>> , either <<end>> version {} of the License"""
+_GNU = """This {} is free software <<optional>> ; you can redistribute it and/or modify it <<end>> under the terms of the GNU {}
+General Public License as published by the Free Software Foundation <<optional>> ; either <<end>> version {} of the License"""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at <<optional>> http <<end>> <<optional>> https <<end>> mozilla.org/MPL/2.0"""
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License <<optional>> v
+<<end>> {} which <<optional>> is available at <<end>> <<optional>> accompanies this distribution <<end>>"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will <<any 6>> be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the
+Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do
+so, all subject to the following:"""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means."""
+_CC = """This <<any 2>> is licensed under <<optional>> a <<end>> <<optional>> the <<end>> Creative Commons Attribution {} <<optional>> 4.0
+<<end>> <<optional>> 3.0 <<end>> <<optional>> International <<end>> <<optional>> Unported <<end>> License"""
+_CC0 = "To the extent possible under law, <<any 8>> has waived all copyright and related or neighboring rights to"
 
 #: Label and markup of each template.
 TEMPLATES: dict[str, str] = {
@@ -40,11 +57,28 @@ TEMPLATES: dict[str, str] = {
     "text:bsd-2-clause": _BSD,
     "text:bsd-3-clause": _BSD + _BSD3,
     "text:apache-2.0": _APACHE,
-    "text:gpl-2.0": _GPL.format("2"),
-    "text:gpl-3.0": _GPL.format("3"),
+    "text:gpl-2.0": _GNU.format("program", "", "2"),
+    "text:gpl-3.0": _GNU.format("program", "", "3"),
+    "text:lgpl-2.0": _GNU.format("library", "Library", "2"),
+    "text:lgpl-2.1": _GNU.format("library", "Lesser", "2.1"),
+    "text:lgpl-3.0": _GNU.format("<<any 2>>", "Lesser", "3"),
+    "text:agpl-3.0": _GNU.format("program", "Affero", "3"),
+    "text:mpl-2.0": _MPL,
+    "text:epl-1.0": _EPL.format("1.0"),
+    "text:epl-2.0": _EPL.format("2.0"),
+    "text:zlib": _ZLIB,
+    "text:bsl-1.0": _BOOST,
+    "text:unlicense": _UNLICENSE,
+    "text:cc-by": _CC.format(""),
+    "text:cc-by-sa": _CC.format("ShareAlike"),
+    "text:cc-by-nc": _CC.format("NonCommercial"),
+    "text:cc-by-nc-sa": _CC.format("NonCommercial ShareAlike"),
+    "text:cc0-1.0": _CC0,
     "notice:mit": "<<optional>> this <<any 3>> is <<end>> released under the MIT License",
     "notice:gpl": "<<optional>> this <<any 3>> is <<end>> released under the GNU General Public License",
     "notice:cc-by": "licensed under <<optional>> a <<end>> <<optional>> creative commons <<end>> CC BY <<optional>> 4.0 <<end>> <<optional>> international <<end>>",
     "notice:all-rights-reserved": "<<optional>> copyright <<any 8>> <<end>> all rights reserved",
-    "notice:spdx": "SPDX-License-Identifier",
+    "notice:mit-style": "MIT-style license",
+    "notice:bsd-style": "BSD-style license that can be found in the LICENSE file",
+    "spdx": "SPDX-License-Identifier <<id>>",
 }

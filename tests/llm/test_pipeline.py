@@ -17,7 +17,7 @@ def corpus():
     texts = [prose(r.randrange(60, 200)) for _ in range(60)]
     benchmark = [(1, prose(30)), (2, prose(20))]
     texts += [texts[3], texts[4] + " tail", "short", None, "", ("same words here " * 60), prose(60) + " " + benchmark[0][1], prose(900) + " " + benchmark[1][1]]
-    texts += [prose(80) + ' token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061aaa" ' + prose(5), prose(70) + " $$$$" * 50]
+    texts += [prose(80) + ' token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061aaa" ' + prose(5), prose(70) + " $$$$" * 50, None, prose(90)]
     return [(k, t, "en", f"s{k % 2}", len(t or "")) for k, t in enumerate(texts)], benchmark
 
 

@@ -4,7 +4,12 @@ quality_rules drops documents that the adaptive rules reject; near_dup keeps one
 group of near-duplicates (five-word shingles, similarity 0.8 or more); decontaminate drops documents
 that hold benchmark passages; secret_scan replaces secrets in the texts by their kind and keeps every
 document; byte_bpe encodes the texts and returns token counts and digests. All but the last return
-the columns of documents. Rows with null or empty texts have no words, so the first stage drops them.
+the columns of documents, whatever else they are named.
+
+Rows with null or empty texts have no words, so the first stage drops them. Rows are judged one by one,
+also where doc_ids are null or repeated; near_dup keeps rows without a doc_id, takes rows of one doc_id as
+one document and keeps one of exact repeats. Of near-duplicates the least doc_id stays. An empty table
+passes through as an empty table, an empty benchmark drops nothing.
 """
 
 from __future__ import annotations

@@ -1,7 +1,6 @@
 """The chunk table as files: upserts, deletes, metadata updates, index statistics, audits.
 
-Tables are rewritten as compute, stage, swap: results are written beside the old files and renamed,
-so a failed job leaves the old table whole. One writer at a time.
+Stored tables are versions that a pointer names (`tables`): a failed job leaves the old table whole.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from . import filters as flt
+from . import tables
 
 GUARDED = ("text", "vector", "pipeline_version", "producer_version")
 PIPELINE_VERSION = "2"
@@ -24,7 +24,7 @@ DEFAULTS: dict[str, str] = {
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return with_defaults(spark.read.option("mergeSchema", "true").parquet(path))
+    return with_defaults(tables.read(spark, path))
 
 
 def with_defaults(chunks: DataFrame) -> DataFrame:
@@ -36,17 +36,8 @@ def with_defaults(chunks: DataFrame) -> DataFrame:
 
 
 def swap_in(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Writes beside path and renames: a reader sees the old table or the new one."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path + ".next")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = lambda s: jvm.org.apache.hadoop.fs.Path(s)
-    fs = p(path).getFileSystem(conf)
-    if fs.exists(p(path)):
-        fs.delete(p(path + ".old"), True)
-        fs.rename(p(path), p(path + ".old"))
-    fs.rename(p(path + ".next"), p(path))
-    fs.delete(p(path + ".old"), True)
+    """df in place of the stored table: a reader sees the old table or the new one."""
+    tables.publish(df, path, partition_by)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import chunkstore as cs
+from ..operators import tables
 
 
 def watch(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet", files_at_once: int = 1000, pattern: str = "*") -> DataFrame:
@@ -17,18 +18,14 @@ def watch(spark: SparkSession, path: str, schema: T.StructType | str, kind: str
     return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", pattern).load(path)
 
 
-def ingest(docs: DataFrame, make_chunks: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, once: bool = True):
-    """Chunks of new documents, upserted into a stored table batch by batch.
+def ingest(docs: DataFrame, make_chunks: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, once: bool = True, buckets: int = 64):
+    """Chunks of new documents, upserted into a stored table in buckets, batch by batch; `tables.read_buckets` reads it.
 
-    A batch that is run again writes the same rows: the upsert is by id.
+    A batch reads and writes the buckets that its rows fall into. Run again, it writes the same rows: the upsert is by id.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        new = make_chunks(batch)
-        spark = batch.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(table)
-        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-        cs.swap_in(cs.upsert(spark.read.parquet(table), new) if there else new, table)
+        tables.change_buckets(make_chunks(batch), table, cs.upsert, buckets=buckets)
 
     w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="1 minute")).start()

@@ -17,7 +17,7 @@ from .operators import chunkstore as cs
 from .operators import filters as flt
 from .operators import lifecycle as life
 from .operators import retrieval as ret
-from .operators.vectors import Embed, hashed_embedder
+from .operators.vectors import Embed, VectorIndex, hashed_embedder
 from .sources import annotations as ann
 
 SYSTEM_PROMPT = "Answer from the documents given. Cite each claim by title and page; say so where a page is inferred. Where the documents don't answer, say that."
@@ -30,6 +30,9 @@ class Library:
     vectors: DataFrame | None = None
     books: DataFrame | None = None
     annotations: DataFrame | None = None
+    #: Stored indexes; without them tables are scanned.
+    vector_index: VectorIndex | None = None
+    text_index: ret.TextIndex | None = None
     embed: Embed = field(default_factory=hashed_embedder)
     languages: Sequence[str] = ()
     interests: Sequence[str] = ()
@@ -39,9 +42,15 @@ class Library:
         """Ranked chunks with citations."""
         where = flt.chunk_filter(book_id=book_id, section=section, chunk_type=chunk_type, language=language)
         vector = list(map(float, self.embed([T.clean_query(query, *self.languages)[0]])[0])) if self.vectors is not None else None
-        found = ret.search(self.chunks, self.vectors, query, vector, k, mode, where, tags, per_book, least_similarity, self.languages, phrase)
+        found = ret.search(self.chunks, self.vector_index or self.vectors, query, vector, k, mode, where, tags, per_book, least_similarity, self.languages, phrase, self.text_index)
         return flt.with_citation(ret.interest_boost(found, self.interests) if self.interests else found)
 
+    def build_indexes(self, path: str) -> None:
+        """Builds and stores both indexes; searches use them from then on."""
+        if self.vectors is not None:
+            self.vector_index = VectorIndex.build(self.vectors, f"{path}/vectors")
+        self.text_index = ret.TextIndex.build(self.chunks, f"{path}/text")
+
     def search_with_citations(self, query: str, **kw) -> tuple[str, DataFrame]:
         """The prompt with its documents, and the rows it was made of."""
         rows = ret.expand_context(self.search(query, **kw), self.chunks)

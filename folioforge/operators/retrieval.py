@@ -11,12 +11,13 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from . import filters as flt
+from . import tables
 
 K1, B, RRF_K = 1.2, 0.75, 60
 COMMENT_BOOST, TAG_BOOST, INTEREST_BOOST = 1.2, 1.15, 0.15
@@ -40,33 +41,89 @@ def postings(chunks: DataFrame) -> DataFrame:
     return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
+def _weight(tf: Column, df: Column, n: Column, dl: Column, average: Column) -> Column:
+    idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+    return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))).otherwise(0.0)
+
+
 def bm25(chunks: DataFrame, query: str, where: Column | None = None) -> DataFrame:
     """id and score of the chunks that hold a query term; statistics are of all chunks, `where` picks candidates.
 
-    Only the query's terms are counted in each text, so no token is exploded or shuffled: document
-    frequencies and lengths come from one aggregation to a row.
+    Only the query's terms are counted, in texts that hold them, so no token is exploded or shuffled: document
+    frequencies and lengths come from one aggregation to a row. Where many queries are run, `TextIndex` is read instead.
     """
     terms = query_terms(query)
     if not terms:
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
-
-    def counted(rows: DataFrame, *keep: str) -> DataFrame:
-        own = rows.select(*keep, tokens(F.col("text")).alias("__t"))
-        return own.select(*keep, F.size("__t").alias("__dl"), *[F.size(F.filter("__t", _is(t))).alias(f"__tf{i}") for i, t in enumerate(terms)])
-
-    stats = counted(chunks).agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))])
+    low = F.lower("text")
+    # a plain substring test first: few texts are searched for whole words
+    tf = {t: F.when(low.contains(t), F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"))).otherwise(0) for t in terms}
+    lengths = chunks.select(F.size(tokens(F.col("text"))).alias("__dl"), *[(tf[t] > 0).alias(f"__h{i}") for i, t in enumerate(terms)])
+    stats = lengths.agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(f"__h{i}").alias(f"__df{i}") for i in range(len(terms))])
     hit = chunks.filter(where) if where is not None else chunks
-    # a plain substring test first: texts without any term are never cut into tokens
-    hit = hit.filter(reduce(or_, [F.lower("text").contains(t) for t in terms]))
-    hit = counted(hit, "id").filter(reduce(or_, [F.col(f"__tf{i}") > 0 for i in range(len(terms))]))
+    hit = hit.filter(reduce(or_, [low.contains(t) for t in terms]))
+    hit = hit.select("id", F.size(tokens(F.col("text"))).alias("__dl"), *[tf[t].alias(f"__tf{i}") for i, t in enumerate(terms)])
+    hit = hit.filter(reduce(or_, [F.col(f"__tf{i}") > 0 for i in range(len(terms))]))
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"__tf{i}").cast("double"), F.col(f"__df{i}").cast("double")
-        idf = F.log(F.lit(1.0) + (F.col("__n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))).otherwise(0.0)
+        score = score + _weight(F.col(f"__tf{i}").cast("double"), F.col(f"__df{i}").cast("double"), F.col("__n"), F.col("__dl"), F.col("__avg"))
     return hit.crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score"))  # stats is one row
 
 
+class TextIndex:
+    """A stored full-text index: postings in buckets by term, and the corpus's size and average length.
+
+    A query reads its terms' buckets and no text. `add` brings in new chunks by rewriting the buckets of their terms; chunks
+    that are replaced or gone are taken out with `drop` first.
+    """
+
+    BUCKETS = 256
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str) -> TextIndex:
+        index = cls(chunks.sparkSession, path)
+        rows = postings(chunks).withColumn("bucket", tables.bucket_of("term", cls.BUCKETS))
+        tables.publish(rows.repartition("bucket").sortWithinPartitions("bucket", "term", "id"), f"{path}/postings", ["bucket"])
+        index._count(chunks.select("id", F.size(tokens(F.col("text"))).alias("dl")))
+        return index
+
+    def _count(self, lengths: DataFrame) -> None:
+        tables.publish(lengths, f"{self.path}/lengths")
+
+    def add(self, chunks: DataFrame) -> None:
+        """New chunks beside those that are there; chunks that are there already are replaced."""
+        old = tables.read(self.spark, f"{self.path}/postings")
+        kept = old.join(chunks.select("id"), "id", "left_anti").select("term", "id", "tf", "dl")
+        rows = kept.unionByName(postings(chunks)).withColumn("bucket", tables.bucket_of("term", self.BUCKETS))
+        tables.publish(rows.repartition("bucket").sortWithinPartitions("bucket", "term", "id"), f"{self.path}/postings", ["bucket"])
+        lengths = tables.read(self.spark, f"{self.path}/lengths").join(chunks.select("id"), "id", "left_anti")
+        self._count(lengths.unionByName(chunks.select("id", F.size(tokens(F.col("text"))).alias("dl"))))
+
+    def bm25(self, query: str, among: DataFrame | None = None) -> DataFrame:
+        """id and score, as `bm25` gives them; `among` (id) picks candidates."""
+        terms = query_terms(query)
+        rows = tables.read(self.spark, f"{self.path}/postings")
+        if not terms:
+            return rows.select("id", F.lit(0.0).alias("score")).limit(0)
+        wanted = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        buckets = [r[0] for r in wanted.select(tables.bucket_of("term", self.BUCKETS)).distinct().collect()]
+        # the bucket prunes folders, the term reaches the scan
+        own = rows.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        df = own.groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
+        stats = tables.read(self.spark, f"{self.path}/lengths").agg(F.count(F.lit(1)).alias("__n"), F.avg("dl").alias("__avg"))
+        if among is not None:
+            own = own.join(among.select("id"), "id", "left_semi")
+        order = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))])
+        part = _weight(F.col("tf").cast("double"), F.col("__df").cast("double"), F.col("__n"), F.col("dl"), F.col("__avg"))
+        scored = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).select("id", order[F.col("term")].alias("i"), part.alias("w"))  # a row for each term; one row
+        # the terms' parts are added in the query's order, so scores are the same to the last digit
+        total = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), F.lit(0.0), lambda s, w: s + w)
+        return scored.groupBy("id").agg(F.round(total, 6).alias("score"))
+
+
 def cosine(vector: Column, query: Sequence[float]) -> Column:
     q = F.array(*[F.lit(float(x)) for x in query])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -92,10 +149,26 @@ def fuse(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return ranked(both.select("id", F.round(part("r1") + part("r2"), 6).alias("score")), k)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], k: int, where: Column | None = None) -> DataFrame:
-    own = chunks.filter(where) if where is not None else chunks
-    near = vector_search(vectors.join(own.select("id"), "id", "left_semi"), vector, k)
-    return fuse(near, ranked(bm25(chunks, query, where), k), k)
+#: Finds the k nearest (id, score, rank), among some ids if they are given.
+Nearest = Callable[[Sequence[float], int, DataFrame | None], DataFrame]
+
+
+def _near(vectors: DataFrame | Nearest, vector: Sequence[float], k: int, own: DataFrame | None) -> DataFrame:
+    if callable(vectors):
+        return vectors(vector, k, own)
+    return vector_search(vectors.join(own, "id", "left_semi") if own is not None else vectors, vector, k)
+
+
+def _said(chunks: DataFrame, query: str, where: Column | None, index: TextIndex | None) -> DataFrame:
+    if index is None:
+        return bm25(chunks, query, where)
+    return index.bm25(query, chunks.filter(where).select("id") if where is not None else None)
+
+
+def hybrid(chunks: DataFrame, vectors: DataFrame | Nearest, query: str, vector: Sequence[float], k: int, where: Column | None = None, index: TextIndex | None = None) -> DataFrame:
+    """Nearest by vector and best by words, fused. vectors is a table or the search of a stored index; `index` a stored text index."""
+    near = _near(vectors, vector, k, chunks.filter(where).select("id") if where is not None else chunks.select("id"))
+    return fuse(near, ranked(_said(chunks, query, where, index), k), k)
 
 
 def boost(results: DataFrame, query: str) -> DataFrame:
@@ -160,7 +233,7 @@ def expand_context(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumn("context", F.coalesce(F.nullif("__ptext", F.lit("")), longer, F.col("text"))).drop("__pid", "__ptext")
 
 
-def search(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Sequence[float] | None = None, k: int = 10, mode: str = "hybrid", where: Column | None = None, tags: Sequence[str] = (), per_book: int = 2, least_similarity: float = 0.0, languages: Sequence[str] = (), phrase: bool = False) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame | Nearest | None, query: str, vector: Sequence[float] | None = None, k: int = 10, mode: str = "hybrid", where: Column | None = None, tags: Sequence[str] = (), per_book: int = 2, least_similarity: float = 0.0, languages: Sequence[str] = (), phrase: bool = False, index: TextIndex | None = None) -> DataFrame:
     """The whole query: stop words, oversampling, mode, boosts, length, tags, diversification, similarity."""
     clean, _ = T.clean_query(query, *languages)
     many = k * 5 if per_book < 999 else k
@@ -168,11 +241,11 @@ def search(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Seq
     if phrase:
         found = exact_phrase(own, query, many)
     elif mode == "keyword" or vectors is None or vector is None:
-        found = ranked(bm25(chunks, clean, where), many)
+        found = ranked(_said(chunks, clean, where, index), many)
     elif mode == "semantic":
-        found = vector_search(vectors.join(own.select("id"), "id", "left_semi"), vector, many)
+        found = _near(vectors, vector, many, own.select("id"))
     else:
-        found = hybrid(chunks, vectors, clean, vector, many, where)
+        found = hybrid(chunks, vectors, clean, vector, many, where, index)
     rows = found.join(chunks, "id")
     if mode == "hybrid" and not phrase:
         rows = boost(rows, clean)
@@ -191,9 +264,9 @@ def rerank(results: DataFrame, query: str, k: int, scorer: Callable[[Column, str
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("rerank_score"), "rank", "id")))
 
 
-def service_search(chunks: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], k: int = 10, per_book: int = 2, least_rerank: float = 0.0, scorer=None) -> DataFrame:
+def service_search(chunks: DataFrame, vectors: DataFrame | Nearest, query: str, vector: Sequence[float], k: int = 10, per_book: int = 2, least_rerank: float = 0.0, scorer=None, index: TextIndex | None = None) -> DataFrame:
     """Thirty candidates or 3k undiversified, reranked to 3k, diversified to k, bounded by rerank score."""
-    found = search(chunks, vectors, query, vector, max(30, 3 * k), per_book=999)
+    found = search(chunks, vectors, query, vector, max(30, 3 * k), per_book=999, index=index)
     return flt.min_rerank(diversify(rerank(found, query, 3 * k, scorer), per_book, k), least_rerank)
 
 

@@ -173,11 +173,19 @@ def section_type_of_title(title: Column) -> Column:
     return F.when(has_keyword(title, BACK_MATTER), "back_matter").when(has_keyword(title, FRONT_MATTER), "front_matter")
 
 
+def _lists_pages(line: Column) -> Column:
+    """Whether a number follows a number after a comma or semicolon."""
+    parts = F.transform(F.split(F.replace(line, F.lit(";"), F.lit(",")), ","), strip)
+    number = lambda c: c.between("0", "9")
+    seams = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
+    return F.coalesce(F.exists(seams, lambda i: number(F.right(F.get(parts, i - 1), F.lit(1))) & number(F.substring(F.get(parts, i), 1, 1))), F.lit(False))
+
+
 def looks_like_index(page: Column) -> Column:
     """Many short lines with page references."""
     lines = F.filter(F.transform(F.split(page, "\n"), strip), lambda x: x != "")
     n = F.size(lines)
-    refs = F.size(F.filter(lines, lambda x: x.rlike(r"\d{1,4}(?:\s*[,;]\s*\d{1,4})+")))
+    refs = F.size(F.filter(lines, _lists_pages))
     short = F.size(F.filter(lines, lambda x: F.length(x) < 80))
     return (n >= 10) & (refs > n * 0.5) & (short > n * 0.7)
 

@@ -68,6 +68,22 @@ def missing_metadata(books: DataFrame, present: Mapping[str, DataFrame]) -> Data
     return out.select("id", "title", F.array_join(lacks, ",").alias("missing")).filter("missing <> ''")
 
 
+def analysis(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """A whole library's counts in one table: part, value, n of each part (its value in the first column, its count in `n`)."""
+    rows = [df.select(F.lit(name).alias("part"), F.col(df.columns[0]).cast("string").alias("value"), F.col("n").cast("long").alias("n")) for name, df in parts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def by_path(books: DataFrame, paths: DataFrame) -> DataFrame:
+    """path and id of the books whose folder (the first two parts of its path) a file's path begins with."""
+    folder = lambda c: F.substring_index(F.col(c), "/", 2)
+    own = books.select("id", folder("path").alias("folder"))
+    return paths.select("path", folder("path").alias("folder")).join(own, "folder", "left").select("path", "id")
+
+
 def books_by_author(books: DataFrame, links: DataFrame, authors: DataFrame, author: str, tag: str | None = None, year_from: int | None = None, year_to: int | None = None, sort_by: str = "title") -> DataFrame:
     """Books of authors whose name holds a fragment, in either case, within tags and years; sorted."""
     named = links.join(authors.filter(F.lower("name").contains(author.lower())).select(F.col("id").alias("author")), "author").select("book")
@@ -98,9 +114,11 @@ def title_author_key(title: Column, authors: Column) -> Column:
 
 
 def prefix_match(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """path and the source of its longest root; roots is a small configured table (source, root)."""
-    hit = paths.join(F.broadcast(roots), F.col("path").startswith(F.col("root")), "left")
-    return hit.groupBy("path").agg(F.max_by("source", F.struct(F.length("root"), "source")).alias("source"))
+    """path and the source of its longest root; roots has source and root. A path's prefixes of the lengths that roots have are matched by an equi-join."""
+    lengths = [r[0] for r in roots.select(F.length("root")).distinct().collect()]  # no more than a path has characters
+    own = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")
+    cut = paths.select("path", F.explode_outer(F.array_compact(own)).alias("root")).join(roots, "root", "left")
+    return cut.groupBy("path").agg(F.max_by("source", F.when(F.col("source").isNotNull(), F.struct(F.length("root"), "source"))).alias("source"))
 
 
 def match_books(entries: DataFrame, books: DataFrame) -> DataFrame:
@@ -130,29 +148,45 @@ def _alike(x: Column, y: Column) -> Column:
     return F.lit(100.0) * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)))
 
 
-def _grams(df: DataFrame, key: str, q: int) -> DataFrame:
-    """key, its padded q-grams, each numbered among its equals, and how many they are."""
-    padded = F.concat(F.lit("^" * (q - 1)), F.col(key), F.lit("$" * (q - 1)))
-    cut = df.select(key, F.transform(F.sequence(F.lit(1), F.length(key) + q - 1), lambda i: F.substr(padded, i, F.lit(q))).alias("__gs"))
-    numbered = F.transform("__gs", lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice("__gs", F.lit(1), i), lambda h: h == g)).alias("n")))
-    return cut.select(key, F.explode(numbered).alias("__g"))
+#: Different q-grams whose counts are sent to all tasks; those of more are joined by a shuffle.
+MOST_GRAMS = 200_000
 
 
-def close_titles(x: DataFrame, y: DataFrame, share: float) -> DataFrame:
-    """All pairs of an __x and a __y with at most `share` edits to a character of the longer; both frames hold distinct texts.
+def close_titles(x: DataFrame, y: DataFrame, share: float, by: Sequence[str] = ()) -> DataFrame:
+    """All pairs of an __x and a __y with at most `share` edits to a character of the longer, and equal values in the columns `by`.
 
-    An edit touches q of a text's q-grams at most, so such pairs share at least longer + q - 1 - q * edits of them, which is
-    positive while q * share <= 1: an equi-join on q-grams finds them all. For greater shares all pairs are compared.
+    Both frames hold distinct texts for each value of `by`. An edit touches q of a text's padded q-grams at most. So such pairs
+    have q-grams in common while q * share < 1, and, in any one order of q-grams, both have one of those among their first
+    q * edits + 1: only the rarest q-grams are joined. And all but q * edits of a text's different q-grams are in the other one:
+    pairs for which that fails are never compared letter by letter.
     """
-    longer = F.greatest(F.length("__x"), F.length("__y"), F.lit(1))
-    most = F.floor(longer * share + 1e-6).cast("int")
-    q = next((q for q in (3, 2) if q * share <= 1), None)
-    if q is None:
-        pairs = x.crossJoin(y)
-    else:
-        shared = _grams(x, "__x", q).join(_grams(y, "__y", q), "__g").groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
-        pairs = shared.filter(F.col("__n") >= F.greatest(F.length("__x"), F.length("__y")) + q - 1 - q * most).drop("__n")
-    return pairs.filter((F.abs(F.length("__x") - F.length("__y")) <= most) & (F.levenshtein("__x", "__y") <= most))
+    if not 0 <= share < 1:
+        raise ValueError(f"not a share of edits: {share}")
+    q, by = next(q for q in (3, 2, 1) if q * share < 1), list(by)
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        chars = F.split(F.concat(F.lit("^" * (q - 1)), F.col(key), F.lit("$" * (q - 1))), "")
+        # each list is made once for a text, so that time is linear in its length
+        shifted = F.arrays_zip(*[F.slice(chars, F.lit(k + 1), F.greatest(F.length(key) + q - 1, F.lit(1))).alias(f"c{k}") for k in range(q)])
+        cut = F.transform(shifted, lambda z: F.concat_ws("", *[z[f"c{k}"] for k in range(q)]))
+        return df.select(*by, key, F.array_distinct(cut).alias(f"{key}_grams"))
+
+    gx, gy = grams(x, "__x"), grams(y, "__y")
+    counts = gx.select(F.explode("__x_grams").alias("__g")).union(gy.select(F.explode("__y_grams"))).groupBy("__g").agg(F.count(F.lit(1)).alias("__c"))
+    if counts.count() <= MOST_GRAMS:
+        counts = F.broadcast(counts)
+
+    def rarest(df: DataFrame, key: str) -> DataFrame:
+        n = F.lit(q) * F.floor(F.length(key) * (share / (1 - share)) + 1e-6).cast("int") + 1
+        ordered = df.select(*by, key, F.explode(f"{key}_grams").alias("__g")).join(counts, "__g").groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("__c", "__g"))).alias("__gs"))
+        return ordered.select(*by, key, F.explode(F.transform(F.slice("__gs", F.lit(1), n), lambda s: s["__g"])).alias("__g"))
+
+    most = F.floor(F.greatest(F.length("__x"), F.length("__y"), F.lit(1)) * share + 1e-6).cast("int")
+    pairs = rarest(gx, "__x").join(rarest(gy, "__y"), [*by, "__g"]).filter(F.abs(F.length("__x") - F.length("__y")) <= most).select(*by, "__x", "__y").distinct()
+    both = pairs.join(gx, [*by, "__x"]).join(gy, [*by, "__y"])
+    enough = F.size(F.array_intersect("__x_grams", "__y_grams")) >= F.greatest(F.size("__x_grams"), F.size("__y_grams")) - q * most
+    # one expression, or the costly part would be moved ahead of the joins
+    return both.filter(F.when(enough, F.levenshtein("__x", "__y") <= most).otherwise(False)).select(*by, "__x", "__y")
 
 
 def fuzzy_match(entries: DataFrame, books: DataFrame, least: float = 80.0) -> DataFrame:

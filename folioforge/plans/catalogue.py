@@ -101,17 +101,26 @@ def _(t):
 _NORMT = "trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("jon8_match_by_title", f"SELECT e.id AS entry, m.id AS book, CASE WHEN m.id IS NOT NULL THEN 'title' END AS how FROM books e LEFT JOIN (SELECT {_NORMT} AS k, min(id) AS id FROM books WHERE id % 3 = 0 GROUP BY 1) m ON m.k = {_NORMT.replace('title', 'e.title')}")
+_ENTRIES = "(SELECT id, CASE id % 3 WHEN 0 THEN upper(title) WHEN 1 THEN concat('The ', title) ELSE concat(title, ' ', CAST(id AS STRING)) END AS title FROM books)"
+
+
+@query("jon8_match_by_title", f"SELECT e.id AS entry, m.id AS book, CASE WHEN m.id IS NOT NULL THEN 'title' END AS how FROM (SELECT id, regexp_replace({_NORMT}, '^the ', '') AS k FROM {_ENTRIES}) e LEFT JOIN (SELECT {_NORMT} AS k, min(id) AS id FROM books GROUP BY 1) m ON m.k = e.k")
 def _(t):
-    entries = t.books.select(F.col("id").alias("entry"), F.upper("title").alias("title"), F.lit("").alias("author"), F.lit(None).cast("string").alias("asin"))
-    return cat.match_books(entries, t.books.filter("id % 3 = 0").select("id", "title", F.lit("x").alias("author"), F.lit("none").alias("asin")))
+    title = F.when(F.col("id") % 3 == 0, F.upper("title")).when(F.col("id") % 3 == 1, F.concat(F.lit("The "), "title")).otherwise(F.concat("title", F.lit(" "), F.col("id").cast("string")))
+    entries = t.books.select(F.col("id").alias("entry"), title.alias("title"), F.lit("").alias("author"), F.lit(None).cast("string").alias("asin"))
+    return cat.match_books(entries, t.books.select("id", "title", F.lit("x").alias("author"), F.lit("none").alias("asin")))
+
+
+_MISSPELT = "CASE length(title) % 3 WHEN 0 THEN concat(title, 's') WHEN 1 THEN concat(substr(title, 1, 3), substr(title, 5)) ELSE replace(title, 'e', 'a') END"
+_SORTED = f"array_to_string(list_sort(string_split({_NORMT}, ' ')), ' ')"
 
 
-@query("jon8_fuzzy_match")
+@query("jon8_fuzzy_match", f"""SELECT entry, arg_min(id, (-score, id)) AS book, max(score) AS score FROM (SELECT entry, id, round(100.0::DOUBLE * (1 - levenshtein(x, y) / greatest(length(x), length(y), 1)::DOUBLE) * 0.7::DOUBLE + 30.0::DOUBLE, 4) AS score FROM
+ (SELECT entry, {_SORTED} AS x FROM (SELECT DISTINCT title AS entry, {_MISSPELT} AS title FROM books)), (SELECT {_SORTED} AS y, min(id) AS id FROM books GROUP BY 1)) WHERE score >= 80 GROUP BY entry""")
 def _(t):
-    """Each title, misspelt, against the books of all titles."""
+    """Each title, misspelt, against the books of all titles; the check compares all pairs."""
     titles = t.books.groupBy("title").agg(F.min("id").alias("id")).withColumn("author", F.lit("Someone"))
-    return cat.fuzzy_match(titles.select(F.col("title").alias("entry"), F.concat("title", F.lit("s")).alias("title"), "author"), titles)
+    return cat.fuzzy_match(titles.select(F.col("title").alias("entry"), F.expr(_MISSPELT).alias("title"), "author"), titles)
 
 
 _PATHS = "(SELECT concat(CASE id % 3 WHEN 0 THEN '/a/b/' WHEN 1 THEN '/a/' ELSE '/c/' END, CAST(id AS STRING)) AS path FROM books)"
@@ -243,7 +252,7 @@ for _kind, _sql in _BIB.items():
     query(f"snk10_{_kind}", f"SELECT id, {_sql} AS entry FROM {_FULL}")(lambda t, k=_kind: cat.bibliography(full_books(t), k))
 
 
-@query("snk10_json")
+@query("snk10_json", f"SELECT id, '{{{{\"id\":' || CAST(id AS STRING) || ',\"title\":' || to_json(title) || ',\"authors\":' || to_json(authors) || coalesce(',\"year\":' || CAST(year AS STRING), '') || coalesce(',\"publisher\":' || to_json(publisher), '') || coalesce(',\"isbn\":' || to_json(isbn), '') || ',\"tags\":' || to_json(tags) || ',\"formats\":' || to_json(formats) || '}}}}' AS entry FROM {_FULL}".replace("{{", "{").replace("}}", "}"))
 def _(t):
     return cat.bibliography(full_books(t), "json")
 
@@ -255,18 +264,22 @@ def _(t):
 
 # --- sorts
 
-@query("srt1_rating_tiers", "SELECT id, row_number() OVER (ORDER BY CASE WHEN rating = 10 THEN 0 WHEN rating = 8 THEN 1 WHEN rating IS NULL OR rating = 0 THEN 2 ELSE 3 END, publisher, title, id) AS place FROM books ORDER BY place LIMIT 100")
+@query("srt1_rating_tiers", "SELECT id, row_number() OVER (ORDER BY CASE WHEN rating = 10 THEN 0 WHEN rating = 8 THEN 1 WHEN rating IS NULL OR rating = 0 THEN 2 ELSE 3 END, publisher, title, id) AS place FROM books")
 def _(t):
     from pyspark.sql.window import Window as W
 
     own = t.books.withColumn("author", F.col("publisher"))
-    best = own.orderBy(*cat.rank_orders(own)).limit(100)
-    return best.select("id", F.row_number().over(W.orderBy(*cat.rank_orders(own))).alias("place"))
+    # sorted by ranges; a partition's places begin after those of the partitions before it, of which there are few
+    ordered = own.orderBy(*cat.rank_orders(own)).select("id", F.monotonically_increasing_id().alias("m"))
+    ordered = ordered.select("id", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("at"))
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    return ordered.join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("at") + 1).alias("place"))
 
 
-@query("srt3_padded_ids", "SELECT id, lpad(CAST(id AS STRING), 20, '0') AS key FROM books ORDER BY key LIMIT 30")
+@query("srt3_padded_ids", "SELECT id, lpad(CAST(id AS STRING), 20, '0') AS key FROM books ORDER BY key")
 def _(t):
-    return t.books.select("id", F.lpad(F.col("id").cast("string"), 20, "0").alias("key")).orderBy("key").limit(30)
+    return t.books.select("id", F.lpad(F.col("id").cast("string"), 20, "0").alias("key")).orderBy("key")
 
 
 @query("srt4_year_key", "SELECT id, coalesce(try_cast(CASE WHEN id % 5 = 0 THEN 'n.d.' ELSE strftime(pubdate, '%Y') END AS INT), 0) AS year FROM books")
@@ -333,9 +346,14 @@ def _(t):
     return t.pages.select("page_id", T.escape_xml(F.col("html")).alias("escaped"))
 
 
-@query("scl14_roman", "SELECT id, CASE id % 4 WHEN 0 THEN 'XIV' WHEN 1 THEN 'mcmxc' WHEN 2 THEN 'IIII' ELSE 'abc' END AS said, id % 4 < 2 AS roman, CASE id % 4 WHEN 0 THEN 14 WHEN 1 THEN 1990 WHEN 2 THEN 4 ELSE 100 END AS value FROM books")
+_NUMERAL = "concat(CASE WHEN id % 11 = 0 THEN 'm' ELSE '' END, {tens}, {ones}, CASE WHEN id % 7 = 0 THEN 'II' WHEN id % 13 = 0 THEN title ELSE '' END)"
+_TENS, _ONES = "'', 'X', 'XX', 'XXX', 'XL', 'L', 'lx', 'LXX', 'LXXX', 'XC'", "'', 'I', 'II', 'III', 'IV', 'V', 'vi', 'VII', 'VIII', 'IX'"
+
+
+@query("scl14_roman", f"""SELECT id, said, length(said) > 0 AND regexp_full_match(upper(said), 'M?M?M?(CM|CD|D?C?C?C?)(XC|XL|L?X?X?X?)(IX|IV|V?I?I?I?)') AS roman, CAST(coalesce(list_sum(list_transform(v, lambda x, i: CASE WHEN i < len(v) AND x < v[i + 1] THEN -x ELSE x END)), 0) AS INT) AS value FROM
+ (SELECT id, said, list_transform(string_split(upper(said), ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 ELSE 0 END) AS v FROM (SELECT id, {_NUMERAL.format(tens=f"([{_TENS}])[id % 100 // 10 + 1]", ones=f"([{_ONES}])[id % 10 + 1]")} AS said FROM books))""")
 def _(t):
-    said = F.when(F.col("id") % 4 == 0, "XIV").when(F.col("id") % 4 == 1, "mcmxc").when(F.col("id") % 4 == 2, "IIII").otherwise("abc")
+    said = F.expr(_NUMERAL.format(tens=f"array({_TENS})[cast(id % 100 div 10 as int)]", ones=f"array({_ONES})[cast(id % 10 as int)]"))
     return t.books.select("id", said.alias("said")).select("id", "said", T.is_roman(F.col("said")).alias("roman"), T.roman_value(F.col("said")).alias("value"))
 
 
@@ -343,3 +361,27 @@ def _(t):
 def _(t):
     ts = F.col("ts").cast("timestamp")
     return t.events.select("event_id", F.date_format(ts, "yyyy-MM-dd").alias("day"), F.date_format(ts, "yyyy-MM").alias("month"), F.unix_millis(ts).alias("ms"))
+
+
+@query("agg16_library_analysis", """SELECT 'author' AS part, a.name AS value, count(DISTINCT l.book) AS n FROM books_authors l JOIN authors a ON a.id = l.author GROUP BY a.name UNION ALL SELECT 'publisher', publisher, count(*) FROM books GROUP BY publisher UNION ALL SELECT 'tag', tag, count(*) FROM books GROUP BY tag
+ UNION ALL SELECT 'format', format, count(*) FROM books GROUP BY format UNION ALL SELECT 'stars', CAST(rating / 2.0::DOUBLE AS STRING), count(*) FROM books WHERE rating IS NOT NULL GROUP BY rating UNION ALL SELECT 'year', strftime(pubdate, '%Y'), count(*) FROM books WHERE pubdate IS NOT NULL GROUP BY 2
+ UNION ALL SELECT 'missing', concat_ws(',', CASE WHEN rating IS NULL THEN 'rating' END, CASE WHEN pubdate IS NULL THEN 'year' END), count(*) FROM books WHERE rating IS NULL OR pubdate IS NULL GROUP BY 2""")
+def _(t):
+    n = lambda c: t.books.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    authors = cat.count_by(t.books_authors, t.authors, "author").groupBy("name").agg(F.sum("n").alias("n"))
+    missing = cat.missing_metadata(t.books, {"rating": t.books.filter("rating IS NOT NULL").select(F.col("id").alias("book")), "year": t.books.filter("pubdate IS NOT NULL").select(F.col("id").alias("book"))})
+    return cat.analysis({"author": authors, "publisher": n("publisher"), "tag": n("tag"), "format": n("format"), "stars": cat.rating_histogram(t.books), "year": cat.year_histogram(t.books), "missing": missing.groupBy("missing").agg(F.count(F.lit(1)).alias("n"))})
+
+
+@query("src20_by_path", "SELECT p.path, b.id FROM (SELECT concat(publisher, '/', title, ' (', CAST(id AS STRING), ')/file.', lower(format)) AS path FROM books UNION ALL SELECT concat('Nowhere/', title) FROM books) p LEFT JOIN (SELECT id, concat(publisher, '/', title, ' (', CAST(id AS STRING), ')') AS folder FROM books) b ON b.folder = array_to_string(string_split(p.path, '/')[1:2], '/')")
+def _(t):
+    own = t.books.select("id", F.concat("publisher", F.lit("/"), "title", F.lit(" ("), F.col("id").cast("string"), F.lit(")")).alias("path"))
+    files = t.books.select(F.concat("publisher", F.lit("/"), "title", F.lit(" ("), F.col("id").cast("string"), F.lit(")/file."), F.lower("format")).alias("path"))
+    return cat.by_path(own, files.union(t.books.select(F.concat(F.lit("Nowhere/"), "title"))))
+
+
+@query("scl13_messages", "SELECT doc_id, CASE lang WHEN 'de' THEN 'Zu ''{query}'' wurde nichts gefunden.' WHEN 'fr' THEN 'Rien n''a été trouvé pour « {query} ».' ELSE 'Nothing was found for ''{query}''.' END AS said, CASE lang WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE 'eng' END AS ocr FROM documents")
+def _(t):
+    from ..functions import messages
+
+    return t.documents.select("doc_id", messages.said("no_results", F.col("lang")).alias("said"), messages.ocr_code(F.col("lang")).alias("ocr"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.words import STOP_WORDS
 from ..operators import chunkstore as cs
 from .registry import query
 
@@ -27,9 +28,9 @@ def _(t):
     return t.chunks.filter("id = 42").select("id", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
-@query("snk1_upsert", "SELECT id, text FROM (SELECT id, text FROM chunks WHERE id NOT IN (SELECT id + 5 FROM chunks WHERE chunk_type = 'child') UNION ALL SELECT id + 5, upper(substr(text, 1, 20)) FROM chunks WHERE chunk_type = 'child')")
+@query("snk1_upsert", "SELECT id, text FROM (SELECT id, text FROM chunks WHERE id NOT IN (SELECT id + 5 FROM chunks WHERE chunk_type = 'child') UNION ALL SELECT id + 5, replace(text, 'e', 'E') FROM chunks WHERE chunk_type = 'child')")
 def _(t):
-    new = t.chunks.filter("chunk_type = 'child'").select((F.col("id") + 5).alias("id"), F.upper(F.substring("text", 1, 20)).alias("text"))
+    new = t.chunks.filter("chunk_type = 'child'").select((F.col("id") + 5).alias("id"), F.replace("text", F.lit("e"), F.lit("E")).alias("text"))
     return cs.upsert(t.chunks.select("id", "text"), new)
 
 
@@ -77,7 +78,7 @@ def _(t):
     return t.chunks.join(gone, "book_id", "left_semi").select("id", "book_id")
 
 
-@query("snk14_import_annotations", "SELECT 'src1_kindle_' || CAST(i AS STRING) AS id, CASE WHEN highlight <> '' AND note <> '' THEN '[ANNOTATION] ' || highlight || ' | Note: ' || note WHEN highlight <> '' THEN '[ANNOTATION] ' || highlight ELSE '[ANNOTATION_NOTE] ' || note END AS text FROM (SELECT trim(highlight) AS highlight, trim(note) AS note, row_number() OVER (ORDER BY id) - 1 AS i FROM annotations WHERE book_id = 'src1') WHERE highlight <> '' OR note <> ''")
+@query("snk14_import_annotations", "SELECT 'src1_kindle_' || CAST(i AS STRING) AS id, CASE WHEN highlight <> '' AND note <> '' THEN '[ANNOTATION] ' || highlight || ' | Note: ' || note WHEN highlight <> '' THEN '[ANNOTATION] ' || highlight ELSE '[ANNOTATION_NOTE] ' || note END AS text FROM (SELECT regexp_replace(highlight, '^\\s+|\\s+$', '', 'g') AS highlight, regexp_replace(note, '^\\s+|\\s+$', '', 'g') AS note, row_number() OVER (ORDER BY id) - 1 AS i FROM annotations WHERE book_id = 'src1') WHERE highlight <> '' OR note <> ''")
 def _(t):
     own = t.annotations.filter("book_id = 'src1'").select("book_id", F.lit("kindle").alias("source"), "highlight", "note", F.col("id").alias("created"))
     old = t.chunks.select(F.col("id").cast("string").alias("id"), "book_id", "text", "chunk_type", "chunk_index", F.lit("kindle").alias("annotation_source"))
@@ -198,7 +199,11 @@ def _(t):
     return cs.boundaries(t.chunks)
 
 
-@query("qlt7_text_coverage")
+_TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+@query("qlt7_text_coverage", f"""SELECT book, page, round(len(list_filter(w, lambda x: contains(hay, x))) / len(w)::DOUBLE, 4) AS share, len(list_filter(w, lambda x: contains(hay, x))) / len(w)::DOUBLE >= 0.5 AS present FROM
+ (SELECT id AS book, page_number AS page, hay, list_transform(range(0, greatest(len(t) // 8 - 1, 0) + 1), lambda i: array_to_string(t[i * 8 + 1:i * 8 + 8], ' ')) AS w FROM (SELECT id, page_number, {_TOKENS.format('text')} AS t, array_to_string({_TOKENS.format('substr(text, 1, length(text) // 2)')}, ' ') AS hay FROM chunks))""")
 def _(t):
     pages = t.chunks.select(F.col("id").alias("book"), F.col("page_number").alias("page"), "text")
     return cs.text_coverage(pages, t.chunks.select(F.col("id").alias("book"), F.expr("substr(text, 1, length(text) div 2)").alias("text")))
@@ -215,11 +220,22 @@ def _(t):
     return t.chunks.join(tagged, "book_id", "left_anti").select("id")
 
 
-@query("lng1_language_votes")
+def _vote(lang: str) -> str:
+    own = ", ".join(f"'{w}'" for w in STOP_WORDS[lang])
+    return f"len(list_filter(t, lambda x: list_contains([{own}], x)))"
+
+
+_SAID = f"(SELECT *, {_TOKENS.format('text')} AS t FROM documents)"
+
+
+@query("lng1_language_votes", f"""SELECT doc_id, lang, CASE WHEN length(text) >= 50 AND total > 0 AND best >= total * 0.5::DOUBLE THEN CASE best WHEN fr THEN 'fr' WHEN es THEN 'es' WHEN en THEN 'en' ELSE 'de' END END AS found FROM
+ (SELECT *, en + de + fr + es AS total, greatest(en, de, fr, es) AS best FROM (SELECT doc_id, lang, text, {", ".join(f"{_vote(x)} AS {x}" for x in ("en", "de", "fr", "es"))} FROM {_SAID}))""")
 def _(t):
     return t.documents.select("doc_id", "lang", T.detect_language(F.col("text"), share=0.5).alias("found"))
 
 
-@query("lng2_language_candidates")
+@query("lng2_language_candidates", f"""SELECT doc_id, place, lang, round(n / greatest(total, 1)::DOUBLE, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang DESC) - 1 AS place, sum(n) OVER (PARTITION BY doc_id) AS total FROM
+ ({" UNION ALL ".join(f"SELECT doc_id, '{x}' AS lang, {_vote(x)} AS n FROM {_SAID}" for x in STOP_WORDS)})) WHERE place < 3""")
 def _(t):
-    return t.documents.select("doc_id", T.language_votes(F.col("text")).alias("votes"))
+    votes = t.documents.select("doc_id", F.posexplode(T.language_votes(F.col("text"))).alias("place", "v"))
+    return votes.select("doc_id", F.col("place").cast("long").alias("place"), "v.lang", F.round("v.share", 6).alias("share"))

@@ -112,14 +112,14 @@ def _(t):
     return life.catchup_bound(life.catchup(t.books.filter("id % 50 = 0"), t.books.filter("format = 'PDF'"), t.books.filter("rating IS NOT NULL")))
 
 
-@query("wdg6_smart_update", "SELECT id, CASE WHEN book_id = 'src6' AND chunk_type = 'calibre_comment' THEN 'new comment' ELSE substr(text, 1, 10) END AS head FROM chunks")
+@query("wdg6_smart_update", "SELECT id, CASE WHEN book_id = 'src6' AND chunk_type = 'calibre_comment' THEN 'new comment' ELSE text END AS text FROM chunks")
 def _(t):
     """Only the comment rows of a changed book are rewritten."""
     from ..operators import chunkstore as cs
 
-    own = t.chunks.select("id", "book_id", "chunk_type", F.substring("text", 1, 10).alias("head"))
-    new = own.filter("book_id = 'src6' AND chunk_type = 'calibre_comment'").withColumn("head", F.lit("new comment"))
-    return cs.upsert(own, new).select("id", "head")
+    own = t.chunks.select("id", "book_id", "chunk_type", "text")
+    new = own.filter("book_id = 'src6' AND chunk_type = 'calibre_comment'").withColumn("text", F.lit("new comment"))
+    return cs.upsert(own, new).select("id", "text")
 
 
 @query("wdg9_same_period", "SELECT event_id, CAST(ts AS DATE) = DATE '2024-01-10' AS daily, isoyear(ts) = 2024 AND week(ts) = 2 AS weekly FROM events")

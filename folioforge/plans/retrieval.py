@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import filters as flt
 from ..operators import retrieval as ret
 from .registry import query
+from .streams import shared_folder
 from .views import Tables
 
 QUERY, PHRASE, KEYWORDS = "tion ing stand", "of the", ("the", "tion", "nation")
@@ -57,6 +58,12 @@ def _(t):
     return ret.postings(t.chunks)
 
 
+@query("ret2_stored_index", _bm25_sql())
+def _(t):
+    """The same search by a stored index of postings: built in the shared folder, then only the query's terms are read."""
+    return ret.ranked(ret.TextIndex.build(t.chunks, shared_folder(t)).bm25(QUERY), 10)
+
+
 @query("ret3_hybrid_search", _hybrid_sql())
 def _(t):
     """Vector and keyword lists fused by reciprocal ranks."""
@@ -104,7 +111,11 @@ def _(t):
     return ret.rerank(found, QUERY, 10).select("id", "rerank_score", "rank")
 
 
-@query("ret9_service_search")
+_FOUND30 = f"""(SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT h.id, c.book_id, c.text, c.parent_id, c.page_label, c.page_number, round(h.score * CASE WHEN chunk_type = 'calibre_comment' THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN list_has_any(string_split(lower(tags), ', '), ['tion', 'ing', 'stand']) THEN 1.15::DOUBLE ELSE 1 END, 6) AS score FROM ({{}}) h JOIN chunks c ON c.id = h.id))"""
+
+
+@query("ret9_service_search", f"""SELECT id, book_id, rerank_score, row_number() OVER (ORDER BY r2, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY r2, id) AS n FROM (SELECT *, row_number() OVER (ORDER BY rerank_score DESC, r, id) AS r2 FROM
+ (SELECT id, book_id, r, {_SHARE} AS rerank_score FROM {_FOUND30.format(_hybrid_sql("true", 30))} WHERE length(text) >= 100) ORDER BY rerank_score DESC, r, id LIMIT 30)) WHERE n <= 2 ORDER BY r2, id LIMIT 10""")
 def _(t):
     return ret.service_search(t.chunks, t.chunk_vectors, QUERY, query_vector(t)).select("id", "book_id", "rerank_score", "rank")
 
@@ -169,22 +180,30 @@ def _(t):
     return t.chunks.select("id", T.snippet(F.col("text"), "ing than").alias("snippet"))
 
 
-@query("ret18_prompt_rows", "SELECT id, '<document index=\"' || CAST(id AS STRING) || '\">' || replace(replace(replace(replace(replace(substr(text, 1, 50), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</document>' AS document, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS tokens FROM chunks")
+@query("ret18_prompt_rows", "SELECT id, '<document index=\"' || CAST(id AS STRING) || '\">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</document>' AS document, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS tokens FROM chunks")
 def _(t):
-    body = F.concat(F.lit('<document index="'), F.col("id").cast("string"), F.lit('">'), T.escape_xml(F.substring("text", 1, 50)), F.lit("</document>"))
+    body = F.concat(F.lit('<document index="'), F.col("id").cast("string"), F.lit('">'), T.escape_xml(F.col("text")), F.lit("</document>"))
     return t.chunks.select("id", body.alias("document"), T.word_count(F.col("text")).alias("tokens"))
 
 
-@query("ret18_prompt")
+def _esc(x: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{char}', '{entity}')"
+    return x
+
+
+@query("ret18_prompt", f"""SELECT '<documents>' || chr(10) || string_agg('<document index="' || CAST(rank AS STRING) || '" title="' || {_esc("book_id")} || '" page="' || {_esc("coalesce(nullif(page_label, ''), CAST(nullif(page_number, 0) AS STRING), '')")} || '">' || {_esc("context")} || '</document>', chr(10) ORDER BY rank) || chr(10) || '</documents>' || chr(10) || chr(10) || 'What is said?' AS prompt,
+ CAST(sum(len(list_filter(regexp_split_to_array(context, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS tokens FROM (SELECT f.*, coalesce(nullif(p.text, ''), f.text) AS context FROM (SELECT *, row_number() OVER (ORDER BY r, id) AS rank FROM
+ (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY r, id) AS n FROM {_FOUND30.format(_hybrid_sql("true", 25))} WHERE length(text) >= 100) WHERE n <= 2 ORDER BY r, id LIMIT 5) f LEFT JOIN chunks p ON p.id = f.parent_id)""")
 def _(t):
     """The whole prompt of a search: a row."""
     found = ret.search(t.chunks, t.chunk_vectors, QUERY, query_vector(t), 5)
     return ret.prompt(flt.with_citation(ret.expand_context(found, t.chunks)), "What is said?")
 
 
-@query("ret19_highlight_terms", "SELECT id, regexp_replace(regexp_replace(substr(text, 1, 200), '(that)', '**\\1**', 'gi'), '(of)', '**\\1**', 'gi') AS marked FROM chunks")
+@query("ret19_highlight_terms", "SELECT id, regexp_replace(regexp_replace(text, '(that)', '**\\1**', 'gi'), '(of)', '**\\1**', 'gi') AS marked FROM chunks")
 def _(t):
-    return t.chunks.select("id", T.highlight_terms(F.substring("text", 1, 200), ["of", "that"]).alias("marked"))
+    return t.chunks.select("id", T.highlight_terms(F.col("text"), ["of", "that"]).alias("marked"))
 
 
 @query("ret22_score_kinds", "SELECT 'semantic' AS score_type, count(*) AS n, round(sum(score), 4) AS total FROM (" + _vector_sql() + ") UNION ALL SELECT 'keyword', count(*), round(sum(score), 4) FROM (" + _bm25_sql() + ")")
@@ -242,7 +261,8 @@ def _toc_sql() -> str:
     from ..functions.words import TOC_MARKERS
 
     keys = "|".join(TOC_MARKERS)
-    return f"SELECT id, CASE WHEN length(trim(highlight)) < 20 AND trim(note) = '' THEN 'too_short' WHEN length(trim(highlight)) < 50 AND regexp_matches(lower(trim(highlight) || ' ' || trim(note)), '(^|[^\\p{{L}}\\p{{N}}_])({keys})([^\\p{{L}}\\p{{N}}_]|$)') THEN 'toc_markers' WHEN pos_frac * 100 < 5.0 THEN 'first_percent' WHEN spine_index = 0 THEN 'toc_markers' END AS reason FROM annotations"
+    own = "(SELECT id, pos_frac, spine_index, regexp_replace(highlight, '^\\s+|\\s+$', '', 'g') AS h, regexp_replace(note, '^\\s+|\\s+$', '', 'g') AS n FROM annotations)"
+    return f"SELECT id, CASE WHEN length(h) < 20 AND n = '' THEN 'too_short' WHEN length(h) < 50 AND regexp_matches(lower(h || ' ' || n), '(^|[^\\p{{L}}\\p{{N}}_])({keys})([^\\p{{L}}\\p{{N}}_]|$)') THEN 'toc_markers' WHEN pos_frac * 100 < 5.0 THEN 'first_percent' WHEN spine_index = 0 THEN 'toc_markers' END AS reason FROM {own}"
 
 
 @query("flt9_annotation_noise", _toc_sql())
@@ -285,9 +305,9 @@ def _(t):
 
 
 @query("flt14_stop_words", """SELECT id, CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE q END AS clean FROM (SELECT id, q, list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '' AND NOT list_contains(['a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','will','with','or','but','not','this','these'],
- regexp_replace(lower(w), '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g'))) AS k FROM (SELECT id, regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g') AS q FROM chunks))""")
+ regexp_replace(lower(w), '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g'))) AS k FROM (SELECT id, regexp_replace(text, '\\s+', ' ', 'g') AS q FROM chunks))""")
 def _(t):
-    q = F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")
+    q = F.regexp_replace("text", r"\s+", " ")
     return t.chunks.select("id", T.without_stop_words(q, "en").alias("clean"))
 
 

@@ -6,16 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_root
 from ..streaming import incremental as inc
 from .registry import query
 
 
-def _shared(t) -> str:
-    """A folder that all machines share; a local one only where the session names none."""
-    import tempfile
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="folioforge-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def shared_folder(t) -> str:
+    """A new folder below the one that all machines share."""
+    return f"{shared_root(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(t):
@@ -26,7 +24,7 @@ def _events(t):
 @query("strm_tumbling_counts", "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
     """Daily counts; the watermark's own end closes no window, so what is open is added in batch form."""
-    out = _shared(t)
+    out = shared_folder(t)
     schema = "start timestamp, event_type string, n long"
     q = inc.tumbling(_events(t), "ts", "1 day", "event_type").writeStream.outputMode("update").option("checkpointLocation", out + "/c").foreachBatch(lambda b, k: b.write.mode("append").parquet(f"{out}/t/batch={k}")).trigger(availableNow=True).start()
     q.awaitTermination()

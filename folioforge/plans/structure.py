@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.words import BACK_MATTER, FRONT_MATTER
 from ..operators import chunking as ck
 from ..operators import html, vectors
 from ..operators import retrieval as ret
 from ..sources import chats, clippings, notes, prepared
 from .registry import query
-from .retrieval import query_vector
+from .retrieval import _vector_sql, query_vector
+from .streams import shared_folder
 
 CHUNK = "text string, char_start int, char_end int"
 
@@ -61,10 +63,11 @@ def _(t):
     return ck.heading_sections(t.documents.select(F.col("doc_id").alias("id"), said.alias("text")))
 
 
-@query("chk7_dialogue_turns")
+@query("chk7_dialogue_turns", "SELECT conv_id AS id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS chunk_index, upper(role[1]) || role[2:] AS speaker, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations")
 def _(t):
-    said = F.concat_ws("\n\n", F.concat(F.lit("**User:** "), F.substring("text", 1, 80)), F.concat(F.lit("**Assistant:** "), F.expr("substring(text, 81)")))
-    return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), said.alias("text")), lambda x: [{"speaker": a, "text": b} for a, b in ck.dialogue_turns(x)], "speaker string, text string")
+    """Whole conversations as Markdown, cut into turns again."""
+    made = notes.render(t.conversations, F.lit("2024-05-01"), "chat", F.lit("x"))
+    return ck.explode_chunks(made.select(F.col("conv_id").alias("id"), F.col("body").alias("text")), lambda x: [{"speaker": a, "text": b} for a, b in ck.dialogue_turns(x)], "speaker string, text string")
 
 
 _EX = """SELECT conv_id, exchange_id, coalesce(string_agg(CASE WHEN role = 'user' THEN text END, chr(10) || chr(10) ORDER BY turn), '') AS prompt, coalesce(string_agg(CASE WHEN role <> 'user' THEN text END, chr(10) || chr(10) ORDER BY turn), '') AS reply FROM
@@ -116,16 +119,51 @@ def _(t):
     return ck.toc_ranges(toc, t.chunks.select(F.col("book_id").alias("book"), F.col("page_number").alias("page"))).select("book", "page", "title")
 
 
-@query("chk16_section_type", "SELECT id, coalesce(CASE id % 5 WHEN 0 THEN 'back_matter' WHEN 1 THEN 'front_matter' END, 'main_content') AS kind FROM chunks")
+_HEAD = "CASE id % 5 WHEN 0 THEN concat(language, ' Notes, ', book_id) WHEN 1 THEN concat('Vorwort ', book_id) WHEN 2 THEN concat('Banknotes ', language) ELSE book_id END"
+_PAGE = "CASE id % 4 WHEN 0 THEN concat('x', {nl}, {roman}, {nl}, text) WHEN 1 THEN array_to_string(list_transform(string_split(repeat('Name, 12; 14-' || page_label || {nl}, 12), {nl}), lambda x: x), {nl}) ELSE text END"
+
+
+def _any_of(words) -> str:
+    return "regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}_])(" + "|".join(words) + ")([^\\p{L}\\p{N}_]|$)')"
+
+
+_IS_ROMAN = "length(head) > 0 AND regexp_full_match(upper(head), 'M?M?M?(CM|CD|D?C?C?C?)(XC|XL|L?X?X?X?)(IX|IV|V?I?I?I?)')"
+
+
+@query("chk16_section_type", f"""SELECT id, CASE WHEN {_any_of(BACK_MATTER)} THEN 'back_matter' WHEN {_any_of(FRONT_MATTER)} THEN 'front_matter' WHEN len(l) >= 10 AND refs > len(l) * 0.5::DOUBLE AND short > len(l) * 0.7::DOUBLE THEN 'back_matter' WHEN page_number <= greatest(3, 300 * 0.05::DOUBLE) AND {_IS_ROMAN} THEN 'front_matter' ELSE 'main_content' END AS kind FROM
+ (SELECT *, len(list_filter(l, lambda x: regexp_matches(x, '[0-9]\\s*[,;]\\s*[0-9]'))) AS refs, len(list_filter(l, lambda x: length(x) < 80)) AS short, regexp_extract(substr(page, 1, 100), '(?m)^\\s*([ivxlcIVXLC]{{1,8}})\\s*$', 1) AS head FROM
+ (SELECT *, list_filter(list_transform(string_split(page, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM (SELECT id, page_number, {_HEAD} AS title, {_PAGE.format(nl="chr(10)", roman="concat(' ', CASE id % 3 WHEN 0 THEN 'xiv' WHEN 1 THEN 'iiii' ELSE 'VII' END, ' ')")} AS page FROM chunks)))""")
+def _(t):
+    roman = F.when(F.col("id") % 3 == 0, " xiv ").when(F.col("id") % 3 == 1, " iiii ").otherwise(" VII ")
+    listed = F.repeat(F.concat(F.lit("Name, 12; 14-"), "page_label", F.lit("\n")), 12)
+    page = F.when(F.col("id") % 4 == 0, F.concat(F.lit("x\n"), roman, F.lit("\n"), "text")).when(F.col("id") % 4 == 1, listed).otherwise(F.col("text"))
+    return t.chunks.select("id", ck.section_type(F.expr(_HEAD), F.col("page_number"), page, F.lit(300)).alias("kind"))
+
+
+_PAGES = "(SELECT source AS book, doc_id AS page, concat(CASE doc_id % 3 WHEN 0 THEN 'The Title of the Book ' WHEN 1 THEN 'Title of the Book ' ELSE 'Tne Title of the Book ' END, CAST(doc_id AS STRING), chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('Chapter ', lang, chr(10)) ELSE '' END, replace(text, '. ', concat('.', chr(10))), chr(10), lang, ' press edition, page ', CAST(doc_id AS STRING)) AS text FROM documents)"
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_LINES = f"(SELECT book, page, list_filter(list_transform(string_split({_TRIM.format('text')}, chr(10)), lambda x, i: {{'i': i - 1, 'line': x}}), lambda x: {_TRIM.format('x.line')} <> '') AS l FROM {_PAGES})"
+_EDGES = f"(SELECT book, page, x.place AS place, x.i AS i, {_TRIM.format("regexp_replace(regexp_replace(lower(x.line), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')")} AS norm FROM (SELECT book, page, unnest(list_concat(list_transform(l[1:3], lambda x: {{'place': 'header', 'i': x.i, 'line': x.line}}), list_transform(l[greatest(len(l) - 2, 1):], lambda x: {{'place': 'footer', 'i': x.i, 'line': x.line}}))) AS x FROM {_LINES}))"
+_LED = f"""e AS {_EDGES}, n AS (SELECT book, place, norm, count(DISTINCT page) AS n FROM e WHERE length(norm) > 5 GROUP BY ALL),
+ lead AS (SELECT x.book, x.place, x.norm, arg_min(y.norm, (-y.n, y.norm)) AS line FROM n x JOIN n y ON y.book = x.book AND y.place = x.place AND (CASE WHEN abs(length(x.norm) - length(y.norm)) > floor(greatest(length(x.norm), length(y.norm)) * 0.15::DOUBLE + 1e-6) THEN false ELSE levenshtein(x.norm, y.norm) <= floor(greatest(length(x.norm), length(y.norm)) * 0.15::DOUBLE + 1e-6) END OR (y.n >= 3 AND contains(x.norm, y.norm))) GROUP BY ALL),
+ led AS (SELECT e.*, line FROM e JOIN lead ON lead.book = e.book AND lead.place = e.place AND lead.norm = e.norm),
+ led0 AS (SELECT book, place, line, count(DISTINCT page) AS pages FROM led GROUP BY ALL),
+ total AS (SELECT book, count(DISTINCT page) AS all_pages FROM {_PAGES} GROUP BY book), runs AS (SELECT led0.* FROM led0 JOIN total ON total.book = led0.book WHERE pages >= CASE place WHEN 'header' THEN 3 ELSE greatest(10, floor(all_pages / 20::DOUBLE)) END)"""
+
+
+def _pages(t):
+    said = F.expr(_PAGES.split(", doc_id AS page, ")[1].split(" AS text FROM")[0].replace("chr(10)", "'\n'"))
+    return t.documents.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), said.alias("text"))
+
+
+@query("chk17_running_lines", f"WITH {_LED} SELECT * FROM runs")
 def _(t):
-    title = F.when(F.col("id") % 5 == 0, "Notes and Index").when(F.col("id") % 5 == 1, "Vorwort").when(F.col("id") % 5 == 2, "Banknotes").otherwise("Chapter")
-    return t.chunks.select("id", ck.section_type(title, F.lit(9), F.lit("plain\ntext"), F.lit(100)).alias("kind"))
+    return ck.running_lines(_pages(t))
 
 
-@query("chk17_running_lines", "SELECT book, line, count(*) AS pages FROM (SELECT DISTINCT book, page, trim(regexp_replace(lower(line), '[0-9]+', '#', 'g')) AS line FROM (SELECT source AS book, doc_id AS page, unnest(['The Title ' || CAST(doc_id AS STRING), lang]) AS line FROM documents)) GROUP BY book, line HAVING count(*) >= 3")
+@query("chk17_without_running_lines", f"WITH {_LED}, gone AS (SELECT DISTINCT led.book, led.page, led.i FROM led JOIN runs ON runs.book = led.book AND runs.place = led.place AND runs.line = led.line) SELECT book, page, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT EXISTS (SELECT 1 FROM gone g WHERE g.book = z.book AND g.page = z.page AND g.i = z.i)), '') AS text FROM (SELECT book, page, i - 1 AS i, l[i] AS line FROM (SELECT book, page, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT book, page, string_split({_TRIM.format('text')}, chr(10)) AS l FROM {_PAGES}))) z GROUP BY book, page")
 def _(t):
-    said = F.concat(F.lit("The Title "), F.col("doc_id").cast("string"), F.lit("\n"), "lang")
-    return ck.running_lines(t.documents.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), said.alias("text")))
+    return ck.without_running_lines(_pages(t))
 
 
 @query("chk18_page_labels")
@@ -143,17 +181,20 @@ def _(t):
     return t.documents.select(F.col("doc_id").alias("id"), ck.strip_page_numbers(said).alias("text"))
 
 
-@query("chk19_paragraph_breaks")
+@query("chk19_paragraph_breaks", f"""SELECT id, 0 AS chunk_index, array_to_string(list_transform(l, lambda x, i: CASE WHEN {_TRIM.format('x')} <> '' AND i < len(l) AND {_TRIM.format('l[i + 1]')} <> '' AND ((length(x) < usual * 0.75::DOUBLE AND regexp_matches(x, '[.!?:»"”]\\s*$')) OR regexp_matches(l[i + 1], '^\\s\\s+\\S')) THEN x || chr(10) ELSE x END), chr(10)) AS text FROM
+ (SELECT *, coalesce(n[CAST(floor(len(n) * 0.8::DOUBLE) AS INT) + 1], 0) AS usual FROM (SELECT *, list_sort(list_transform(list_filter(l, lambda x: {_TRIM.format('x')} <> ''), lambda x: length(x))) AS n FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents)))""")
 def _(t):
     return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), "text"), lambda x: [{"text": ck.paragraph_breaks(x)}], "text string")
 
 
-@query("chk20_section_numbers", "SELECT id, regexp_extract(title, '^([0-9]+(?:\\.[0-9]+)*)', 1) AS number FROM (SELECT doc_id AS id, CAST(doc_id % 9 AS STRING) || '.' || CAST(doc_id % 4 AS STRING) || ' Title' AS title FROM documents)")
+_NUMBERED = "concat(CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN CAST(doc_id AS STRING) WHEN 2 THEN concat(CAST(doc_id % 30 AS STRING), '.', CAST(n_chars AS STRING)) ELSE concat(CAST(n_chars % 7 AS STRING), '.', CAST(doc_id % 9 AS STRING), '.', CAST(n_chars % 100 AS STRING), '.') END, CASE doc_id % 3 WHEN 0 THEN ' ' ELSE '' END, text)"
+
+
+@query("chk20_section_numbers", f"SELECT id, regexp_extract(title, '^([0-9]+(?:\\.[0-9]+)*)', 1) AS number FROM (SELECT doc_id AS id, {_NUMBERED} AS title FROM documents)")
 def _(t):
     from ..sources.books import section_number
 
-    title = F.concat((F.col("doc_id") % 9).cast("string"), F.lit("."), (F.col("doc_id") % 4).cast("string"), F.lit(" Title"))
-    return t.documents.select(F.col("doc_id").alias("id"), section_number(title).alias("number"))
+    return t.documents.select(F.col("doc_id").alias("id"), section_number(F.expr(_NUMBERED)).alias("number"))
 
 
 @query("chk21_html_extract")
@@ -166,17 +207,25 @@ def _(t):
     return t.pages.select("page_id", F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(?i)<h[1-6][ >]"), F.lit(0))).alias("n"))
 
 
-@query("chk22_text_files")
+_FILE = "concat(CASE doc_id % 3 WHEN 0 THEN {bom} ELSE '' END, CASE doc_id % 4 WHEN 1 THEN concat('---', {nl}, 'title: ', lang, {nl}, '---', {nl}) ELSE '' END, replace(text, {lf}, CASE doc_id % 5 WHEN 0 THEN {cr} WHEN 1 THEN {nl} ELSE {lf} END))"
+
+
+@query("chk22_text_files", "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents")
 def _(t):
+    """Files with marks, front matter and line ends of several kinds come back as the plain texts."""
     from ..sources.books import clean_text_file
 
-    return t.documents.select("doc_id", clean_text_file(F.concat(F.lit("﻿---\ntitle: x\n---\r\n"), "text")).alias("text"))
+    said = F.expr(_FILE.format(bom="'﻿'", nl="'\r\n'", lf="'\n'", cr="'\r'"))
+    return t.documents.select("doc_id", clean_text_file(said).alias("text"))
+
 
+_SPOKEN = "CASE doc_id % 4 WHEN 0 THEN concat(lang, ': ', {nl}, text) WHEN 1 THEN concat(text, {nl}, '**', source, '**: ', lang) WHEN 2 THEN concat('**[', upper(lang), ']**', {nl}, text) ELSE text END"
 
-@query("chk25_chunker_choice", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'dialogue' ELSE 'semantic' END AS chunker FROM documents")
+
+@query("chk25_chunker_choice", f"""SELECT doc_id, CASE WHEN n_chars % 2 = 0 AND len(list_filter(string_split({_SPOKEN.format(nl="chr(10)")}, chr(10)), lambda x: (starts_with(x, '**') AND (contains(substr(x, 3), '**:') OR contains(x, ':**') OR (starts_with(x, '**[') AND ends_with(x, ']**')))) OR (NOT starts_with(x, '**') AND length(rtrim(x)) <= 32 AND regexp_full_match(rtrim(x), '[[:alpha:]][[:alnum:] ]*:')))) > 0 THEN 'dialogue' ELSE 'semantic' END AS chunker FROM documents""")
 def _(t):
-    strategy = F.when(F.col("doc_id") % 2 == 0, "dialogue").otherwise("plain")
-    return t.documents.select("doc_id", ck.choose_chunker(strategy, F.when(F.col("doc_id") % 3 == 0, "**User:** hi\n").otherwise("none")).alias("chunker"))
+    strategy = F.when(F.col("n_chars") % 2 == 0, "dialogue").otherwise("plain")
+    return t.documents.select("doc_id", ck.choose_chunker(strategy, F.expr(_SPOKEN.format(nl="'\n'"))).alias("chunker"))
 
 
 @query("scl2_strip_html")
@@ -184,7 +233,7 @@ def _(t):
     return ck.explode_chunks(t.pages.select(F.col("page_id").alias("id"), "html"), lambda x: [{"text": html.text_of(x)}], "text string", column="html")
 
 
-@query("scl4_accent_folding")
+@query("scl4_accent_folding", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(strip_accents(lower(text)), '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents")
 def _(t):
     from ..functions.fold import fold
 
@@ -209,13 +258,20 @@ def _(t):
     return vectors.IVF.fit(v, v.count()).assign(v).select("id", "list_id")
 
 
-@query("ret20_ivf_search")
+@query("ret20_ivf_search", _vector_sql())
 def _(t):
+    """By lists, exactly: every list that can hold one of the nearest is searched."""
     v = t.chunk_vectors
     ivf = vectors.IVF.fit(v, v.count())
     return ivf.search(ivf.assign(v), query_vector(t), 10)
 
 
+@query("ret20_ivfpq_search")
+def _(t):
+    """By a stored index of product codes, approximately; candidates are scored exactly."""
+    return vectors.VectorIndex.build(t.chunk_vectors, shared_folder(t))(query_vector(t), 10)
+
+
 @query("ret21_incremental_assignment")
 def _(t):
     """New rows go to the lists that older rows made."""
@@ -231,17 +287,30 @@ def _(t):
 
 # --- sources and notes
 
-@query("src12_clippings", "SELECT doc_id, 'Title ' || CAST(doc_id AS STRING) AS book_title, 'A. Author' AS book_author, CASE WHEN doc_id % 2 = 0 THEN 'highlight' ELSE 'note' END AS type, CASE WHEN doc_id % 2 = 1 THEN 12 END AS page, 'loc:100-120' AS location, '2026-03-15 10:23:45' AS created_at, lang AS text FROM documents")
+_DE_MONTHS = "'Januar', 'Februar', 'März', 'April', 'Mai', 'Juni', 'Juli', 'August', 'September', 'Oktober', 'November', 'Dezember'"
+
+
+@query("src12_clippings", f"""SELECT doc_id, 'The ' || source || ' (vol. ' || CAST(doc_id % 5 AS STRING) || ')' AS book_title, 'A. ' || lang AS book_author, CASE WHEN doc_id % 2 = 0 THEN 'highlight' ELSE 'note' END AS type, CASE WHEN doc_id % 2 = 1 THEN CAST(doc_id % 400 AS INT) END AS page, 'loc:' || CAST(n_chars AS STRING) || '-' || CAST(n_chars + 20 AS STRING) AS location, strftime(TIMESTAMP '2023-01-01 03:04:05' + to_hours(CAST(doc_id * 13 AS INT)), '%Y-%m-%d %H:%M:%S') AS created_at,
+ array_to_string(list_filter(string_split({_TRIM.format('text')}, chr(10)), lambda x: {_TRIM.format('x')} <> ''), chr(10)) AS text FROM documents""")
 def _(t):
-    said = F.concat(F.lit("Title "), F.col("doc_id").cast("string"), F.lit(" (A. Author)\n"), F.when(F.col("doc_id") % 2 == 0, "- Ihre Markierung bei Position 100-120 | Hinzugefügt am Montag, 15. März 2026 10:23:45").otherwise("- Your Note on page 12 | Location 100-120 | Added on Sunday, March 15, 2026 10:23:45 AM"), F.lit("\n\n"), "lang", F.lit("\n==========\n"))
+    """Whole texts in clippings of either language, at times that depend on the row."""
+    when = F.expr("timestamp'2023-01-01 03:04:05' + make_interval(0, 0, 0, 0, cast(doc_id * 13 as int))")
+    month = F.expr(f"array({_DE_MONTHS})[month({'timestamp' + chr(39) + '2023-01-01 03:04:05' + chr(39)} + make_interval(0, 0, 0, 0, cast(doc_id * 13 as int))) - 1]")
+    place = F.concat("n_chars", F.lit("-"), F.col("n_chars") + 20)
+    german = F.concat(F.lit("- Ihre Markierung bei Position "), place, F.lit(" | Hinzugefügt am Montag, "), F.dayofmonth(when), F.lit(". "), month, F.lit(" "), F.date_format(when, "yyyy H:mm:ss"))
+    english = F.concat(F.lit("- Your Note on page "), F.col("doc_id") % 400, F.lit(" | Location "), place, F.lit(" | Added on Sunday, "), F.date_format(when, "MMMM d, yyyy h:mm:ss a"))
+    said = F.concat(F.lit("The "), "source", F.lit(" (vol. "), F.col("doc_id") % 5, F.lit(") (A. "), "lang", F.lit(")\n"), F.when(F.col("doc_id") % 2 == 0, german).otherwise(english), F.lit("\n\n"), "text", F.lit("\n==========\n"))
     return clippings.parse(t.documents.select("doc_id", said.alias("content")), "doc_id").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("src15_prepared_files", "SELECT doc_id AS file, CAST(3 AS BIGINT) AS expected, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 3 END AS BIGINT) AS found, doc_id % 4 <> 0 AS whole FROM documents")
+@query("src15_prepared_files", "SELECT concat(source, lang) AS file, count(*) + CASE WHEN count(*) % 3 = 0 THEN 1 ELSE 0 END AS expected, count(*) AS found, count(*) % 3 <> 0 AS whole FROM documents GROUP BY 1")
 def _(t):
-    n = F.when(F.col("doc_id") % 4 == 0, 2).otherwise(3)
-    lines = t.documents.select(F.col("doc_id").alias("file"), F.explode(F.concat(F.array(F.lit('{"_header":true,"chunk_count":3}')), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit('{"text":"x","chunk_index":'), i.cast("string"), F.lit("}"))))).alias("value"))
-    return prepared.completeness(lines)
+    """Files of whole texts, a third of them cut: their headers promise a row more."""
+    name = F.concat("source", "lang").alias("file")
+    lines = t.documents.select(name, F.to_json(F.struct("text", F.col("doc_id").alias("chunk_index"))).alias("value"))
+    n = F.count(F.lit(1))
+    heads = t.documents.groupBy(name).agg((n + F.when(n % 3 == 0, 1).otherwise(0)).alias("n")).select("file", F.to_json(F.struct(F.lit(True).alias("_header"), F.col("n").alias("chunk_count"))).alias("value"))
+    return prepared.completeness(lines.union(heads))
 
 
 @query("src8_note_links", "SELECT doc_id, ['Other', 'Third'] AS links, ['de', 'tag-1'] AS tags FROM documents", lists=("links", "tags"))
@@ -256,12 +325,12 @@ def _(t):
     return made.select("conv_id", "name", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-@query("snk12_slug", "SELECT doc_id, coalesce(nullif(rtrim(substr(trim(regexp_replace(replace(replace(replace(replace(lower(trim(t)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50), '-'), ''), 'untitled') AS slug FROM (SELECT doc_id, substr(text, 1, 70) AS t FROM documents)")
+@query("snk12_slug", "SELECT doc_id, coalesce(nullif(rtrim(substr(trim(regexp_replace(replace(replace(replace(replace(lower(trim(t)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50), '-'), ''), 'untitled') AS slug FROM (SELECT doc_id, text AS t FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", T.slug(F.substring("text", 1, 70)).alias("slug"))
+    return t.documents.select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
-@query("snk11_markdown_results")
+@query("snk11_markdown_results", f"""SELECT h.rank, '## ' || CAST(h.rank AS STRING) || '. ' || c.book_id || chr(10) || chr(10) || '> ' || replace(substr(c.text, 1, 500), chr(10), chr(10) || '> ') || chr(10) || chr(10) || array_to_string(list_transform(list_filter(string_split(c.tags, ', '), lambda x: x <> ''), lambda x: '#' || regexp_replace(x, '[^\\p{{L}}\\p{{N}}_/-]+', '-', 'g')), ' ') || chr(10) AS markdown FROM ({_vector_sql(k=20)}) h JOIN chunks c ON c.id = h.id""")
 def _(t):
     found = ret.vector_search(t.chunk_vectors, query_vector(t), 20).join(t.chunks, "id")
     return notes.markdown_results(found)

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import catalogue as cat
 from ..operators import repair
 from ..sources import annotations as ann
 from ..sources import prepared, readers
+from .lifecycle import _mhash, _mhash_sql
 from .registry import query
 
 
-@query("src13_note_footers", "SELECT doc_id, lang AS text, 'Title ' || source AS title, 'One, A & Two, B' AS author FROM documents")
+@query("src13_note_footers", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, CASE WHEN doc_id % 4 <> 0 THEN 'Title ' || source END AS title, CASE WHEN doc_id % 4 <> 0 THEN 'One, ' || upper(lang) || ' & Two, B' END AS author FROM documents")
 def _(t):
-    said = F.concat("lang", F.lit("\n\nOne, A; Two, B. Title "), "source", F.lit(" (German Edition) (S. 12). Verlag. Kindle-Version. "))
-    own = t.documents.select("doc_id", "lang", said.alias("t"))
+    """Whole texts as notes, most with a footer."""
+    foot = F.concat(F.lit("\n\nOne, "), F.upper("lang"), F.lit("; Two, B. Title "), "source", F.when(F.col("doc_id") % 3 == 0, " (German Edition)").otherwise(""), F.lit(" (S. "), F.col("doc_id") % 700, F.lit("). Verlag. Kindle-Version. "))
+    own = t.documents.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 4 == 0, "").otherwise(foot)).alias("t"))
     f = readers.footer_fields(F.col("t"))
     return own.select("doc_id", readers.strip_note_footer(F.col("t")).alias("text"), f["title"].alias("title"), f["author"].alias("author"))
 
@@ -34,13 +37,19 @@ def _(t):
     return cat.choose_identity(own, files).select("id", "title", "isbn_source")
 
 
-@query("src22_attachments", "SELECT id AS item, CASE WHEN id % 5 IN (0, 1) THEN '/st/k' || CAST(id AS STRING) || '/a.pdf' END AS path, CASE id % 5 WHEN 2 THEN 'web link without a local copy' WHEN 3 THEN 'file is missing' WHEN 4 THEN 'base directory isn''t configured' END AS reason FROM books")
+_MODE = "CASE id % 6 WHEN 2 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 2 ELSE CAST(id % 2 AS INT) END"
+_AT = "CASE id % 6 WHEN 4 THEN concat('attachments:', title, '.pdf') WHEN 5 THEN concat('/abs/', publisher, '/', title, '.pdf') ELSE concat('storage:', title, '.pdf') END"
+_KIND = "CASE rating WHEN 2 THEN 'application/epub+zip' WHEN 4 THEN 'text/html' WHEN 6 THEN 'image/png' ELSE 'application/pdf' END"
+_THERE = "(SELECT concat('/st/k', CAST(id AS STRING), '/', title, '.pdf') AS path FROM books WHERE series <> '7' UNION ALL SELECT concat('/abs/', publisher, '/', title, '.pdf') FROM books WHERE length(title) % 2 = 0)"
+
+
+@query("src22_attachments", f"""SELECT item, CASE WHEN ok THEN at_path END AS path, CASE WHEN ok THEN format END AS format, CASE WHEN NOT ok THEN CASE WHEN mode = 3 THEN 'web link without a local copy' WHEN mode = 2 AND starts_with(said, 'attachments:') THEN 'base directory isn''t configured' WHEN NOT there THEN 'file is missing' ELSE 'format isn''t supported' END END AS reason FROM
+ (SELECT *, coalesce(there AND format IS NOT NULL AND at_path IS NOT NULL, false) AS ok FROM (SELECT *, coalesce(at_path IN (SELECT path FROM {_THERE}), false) AS there, CASE kind WHEN 'application/pdf' THEN 'pdf' WHEN 'application/epub+zip' THEN 'epub' WHEN 'text/html' THEN 'html' END AS format FROM
+ (SELECT id AS item, {_MODE} AS mode, {_AT} AS said, {_KIND} AS kind, CASE WHEN id % 6 IN (0, 1, 3) THEN concat('/st/k', CAST(id AS STRING), '/', title, '.pdf') WHEN id % 6 = 5 THEN concat('/abs/', publisher, '/', title, '.pdf') END AS at_path FROM books)))""")
 def _(t):
-    k = F.concat(F.lit("k"), F.col("id").cast("string"))
-    m = F.col("id") % 5
-    rows = t.books.select(F.col("id").alias("item"), k.alias("key"), F.when(m == 2, 3).when(m == 4, 2).otherwise(m % 2).cast("int").alias("link_mode"), F.when(m == 4, "attachments:x.pdf").otherwise("storage:a.pdf").alias("path"), F.lit("application/pdf").alias("content_type"))
-    files = t.books.filter("id % 5 <> 3").select(F.concat(F.lit("/st/"), k, F.lit("/a.pdf")).alias("path"))
-    return readers.attachments(rows, files, "/st").select("item", "path", "reason")
+    rows = t.books.select(F.col("id").alias("item"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.expr(_MODE).alias("link_mode"), F.expr(_AT).alias("path"), F.expr(_KIND).alias("content_type"))
+    files = t.sql(_THERE[1:-1]).distinct()
+    return readers.attachments(rows, files, "/st").select("item", "path", "format", "reason")
 
 
 @query("src28_catalogue_annotations", "SELECT id AS item, CASE id % 3 WHEN 0 THEN 'highlight' WHEN 1 THEN 'note' ELSE 'underline' END AS type, title AS text, CAST(id % 90 + 1 AS INT) AS page FROM books UNION ALL SELECT id, 'note', publisher, NULL FROM books WHERE id % 2 = 0")
@@ -80,10 +89,13 @@ def _(t):
     return repair.remaining(t.chunks.select("book_id").distinct(), t.chunks.filter("id % 97 = 0"))
 
 
-@query("snk18_unmatched_annotations", "SELECT id FROM books WHERE id % 2 = 0")
+_SPELT = "CASE id % 4 WHEN 0 THEN concat(title, ' zz') WHEN 1 THEN upper(title) WHEN 2 THEN concat('The ', title, '!') ELSE replace(title, 'e', '') END"
+_PLAIN = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("snk18_unmatched_annotations", f"SELECT id FROM books WHERE regexp_replace({_PLAIN.format(_SPELT)}, '^the ', '') NOT IN (SELECT {_PLAIN.format('title')} FROM books)")
 def _(t):
-    title = F.when(F.col("id") % 2 == 0, F.concat("title", F.lit(" zz"))).otherwise(F.col("title"))
-    entries = t.books.select(F.col("id").alias("entry"), title.alias("title"), F.lit("").alias("author"), F.lit(None).cast("string").alias("asin"))
+    entries = t.books.select(F.col("id").alias("entry"), F.expr(_SPELT).alias("title"), F.lit("").alias("author"), F.lit(None).cast("string").alias("asin"))
     found = cat.match_books(entries, t.books.select("id", "title", F.lit("x").alias("author"), F.lit("none").alias("asin")))
     return found.filter("book IS NULL").select(F.col("entry").alias("id"))
 
@@ -100,10 +112,13 @@ def _(t):
     return repair.refresh_comments(t.chunks.select("id", "book_id", "chunk_type"), new).select("id", "book_id")
 
 
-@query("qlt10_unstable_hashes", "SELECT id AS book_id, 'a' AS metadata_hash, 'b' AS again FROM books WHERE id % 31 = 0")
+@query("qlt10_unstable_hashes", f"SELECT * FROM (SELECT id AS book_id, {_mhash_sql('title')} AS metadata_hash, {_mhash_sql("(CASE WHEN length(title) % 3 = 0 THEN replace(title, ' ', '  ') ELSE title END)")} AS again FROM books) WHERE metadata_hash <> again")
 def _(t):
-    one = t.books.select(F.col("id").alias("book_id"), F.lit("a").alias("metadata_hash"))
-    return repair.unstable_hashes(one, one.withColumn("metadata_hash", F.when(F.col("book_id") % 31 == 0, "b").otherwise("a")))
+    """Hashes of the same books, once with tags in another order, which doesn't count, and some titles spaced wider, which does."""
+    one = t.books.select(F.col("id").alias("book_id"), _mhash(F.col("title")).alias("metadata_hash"))
+    wide = F.when(F.length("title") % 3 == 0, F.replace("title", F.lit(" "), F.lit("  "))).otherwise(F.col("title"))
+    two = t.books.select(F.col("id").alias("book_id"), T.metadata_hash(F.col("publisher"), F.col("title"), F.col("publisher"), F.array("format", "tag"), wide).alias("metadata_hash"))
+    return repair.unstable_hashes(one, two)
 
 
 @query("qlt11_admission", "SELECT book_id AS book, avg(CASE WHEN page_label <> '' THEN 1 ELSE 0 END) AS share, count(*) AS pages, avg(CASE WHEN page_label <> '' THEN 1 ELSE 0 END) >= 0.75 AS admitted FROM chunks GROUP BY book_id")

@@ -23,8 +23,8 @@ VIEWS: dict[str, str] = {
  CASE p_partkey % 3 WHEN 0 THEN 'PDF' WHEN 1 THEN 'EPUB' ELSE 'MOBI' END AS format, CAST(p_size AS STRING) AS series, o.pubdate
  FROM part LEFT JOIN (SELECT l_partkey, min(o_orderdate) AS pubdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey) o ON l_partkey = p_partkey""",
     "authors": "SELECT s_suppkey AS id, s_name AS name FROM supplier",
-    "annotations": """SELECT doc_id AS id, source AS book_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, 1, CAST(doc_id % 90 AS INT)) END AS highlight,
- CASE WHEN doc_id % 3 = 0 THEN substr(text, 5, 30) ELSE '' END AS note, CASE doc_id % 3 WHEN 0 THEN 'note' WHEN 1 THEN 'highlight' ELSE 'bookmark' END AS kind,
+    "annotations": """SELECT doc_id AS id, source AS book_id, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN lang WHEN doc_id % 11 = 0 THEN concat('Chapter ', source) ELSE text END AS highlight,
+ CASE WHEN doc_id % 3 = 0 THEN concat(source, ' says ', text) ELSE '' END AS note, CASE doc_id % 3 WHEN 0 THEN 'note' WHEN 1 THEN 'highlight' ELSE 'bookmark' END AS kind,
  CAST(doc_id % 100 AS DOUBLE) / 100 AS pos_frac, CAST(doc_id % 8 AS INT) AS spine_index FROM documents""",
     "turns": "SELECT conv_id, turn, role, text FROM conversations",
 }

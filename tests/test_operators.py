@@ -19,6 +19,7 @@ from folioforge.operators import filters as flt
 from folioforge.operators import html
 from folioforge.operators import lifecycle as life
 from folioforge.operators import retrieval as ret
+from folioforge.operators import tables, vectors
 from folioforge.operators.vectors import IVF, embed_texts, hashed_embedder
 from folioforge.sources import annotations, books, chats, clippings, folders, notes, prepared, sqlite
 from folioforge.streaming import incremental as inc
@@ -88,8 +89,8 @@ def test_store_round_trip(spark, tmp_path, chunks):
     path = f"{tmp_path}/store"
     cs.swap_in(chunks, path, ["chunk_type"])
     new = chunks.filter("id = 'c1'").withColumn("text", F.lit("new"))
-    cs.swap_in(cs.upsert(spark.read.parquet(path), new), path, ["chunk_type"])
-    back = spark.read.parquet(path)
+    cs.swap_in(cs.upsert(cs.read_chunks(spark, path), new), path, ["chunk_type"])
+    back = cs.read_chunks(spark, path)
     assert back.count() == 8 and back.filter("id = 'c1'").first()["text"] == "new"
     cs.swap_in(cs.without(cs.read_chunks(spark, path), F.col("book_id") == "b1"), path)
     assert cs.read_chunks(spark, path).count() == 5
@@ -97,6 +98,145 @@ def test_store_round_trip(spark, tmp_path, chunks):
         cs.update_metadata(back, "b1", {"text": "no"})
 
 
+def test_versions_of_a_table(spark, tmp_path):
+    """A reader sees the old version or the new one; versions past the retention go; buckets that no new row falls into stay."""
+    import os
+
+    path, rows = f"{tmp_path}/t", spark.range(100).withColumn("v", F.lit(1))
+    tables.publish(rows, path)
+    first, before = tables.current(spark, path), tables.read(spark, path)
+    tables.publish(rows.limit(3), path)
+    assert before.count() == 100 and tables.read(spark, path).count() == 3 and os.path.isdir(first)
+    rows.write.parquet(f"{path}/v-broken")  # what a writer that died left
+    assert tables.read(spark, path).count() == 3
+    tables.publish(rows.limit(5), path, retain=0)
+    assert tables.read(spark, path).count() == 5 and not os.path.isdir(first)
+    own = f"{tmp_path}/b"
+    tables.change_buckets(rows, own, cs.upsert, buckets=8)
+    kept = {n: tables.current(spark, f"{own}/{n}") for n in os.listdir(own) if n.startswith("b-")}
+    tables.change_buckets(spark.createDataFrame([(7, 2)], "id long, v int"), own, cs.upsert, buckets=8)
+    moved = [n for n in kept if tables.current(spark, f"{own}/{n}") != kept[n]]
+    assert len(moved) == 1 and {r["id"]: r["v"] for r in tables.read_buckets(spark, own).collect()} == {k: 2 if k == 7 else 1 for k in range(100)}
+
+
+def test_stored_text_index_scores_as_a_scan(spark, tmp_path, chunks):
+    index = ret.TextIndex.build(chunks.filter("id <> 'c3'"), f"{tmp_path}/index")
+    index.add(chunks.filter("id IN ('c3', 'c1')"))
+    for query in ("Kant reason", "filler the of", "nothing here", "..."):
+        want = {r["id"]: r["score"] for r in ret.bm25(chunks, query).collect()}
+        assert {r["id"]: r["score"] for r in index.bm25(query).collect()} == want
+    few = chunks.filter("book_id = 'b1'").select("id")
+    assert {r["id"] for r in index.bm25("Kant", few).collect()} == {r["id"] for r in ret.bm25(chunks, "Kant", F.col("book_id") == "b1").collect()}
+    plan = index.bm25("Kant")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,kant)" in plan and "text:string" not in plan
+
+
+def test_library_searches_its_stored_indexes(spark, tmp_path, chunks):
+    lib = Library(chunks, embed_texts(chunks.select("id", "text")))
+    for mode in ("hybrid", "semantic", "keyword"):
+        lib.vector_index = lib.text_index = None
+        plain = [(r["id"], r["score"]) for r in lib.search("Kant reason", mode=mode).collect()]
+        lib.build_indexes(f"{tmp_path}/{mode}")
+        assert [(r["id"], r["score"]) for r in lib.search("Kant reason", mode=mode).collect()] == plain
+
+
+def product_recall(spark, v, queries, k=10):
+    index = vectors.IVFPQ.fit(v, v.count())
+    coded = index.encode(v).cache()
+    found = 0
+    for q in queries:
+        want = {r["id"] for r in ret.vector_search(v, q, k).collect()}
+        found += len(want & {r["id"] for r in index.search(coded, v, q, k).collect()})
+    assert coded.count() == v.count() and all(len(r["code"]) == vectors.SUB_VECTORS for r in coded.limit(5).collect())
+    return found / (k * len(queries)), index
+
+
+def test_product_codes_recall(spark):
+    """On the embeddings table, whose vectors have little structure, and on clustered ones with new queries."""
+    import numpy as np
+    import os
+
+    if os.path.isdir("/root/testdata/sf0.1"):
+        v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector").cache()
+        own = [[float(x) for x in r["vector"]] for r in v.filter("id % 50 = 0").limit(20).collect()]
+        r = np.random.default_rng(1)
+        mixed = [list(map(float, 0.7 * np.array(a) + 0.3 * np.array(b) + r.normal(0, 0.02, len(a)))) for a, b in zip(own, own[1:] + own[:1], strict=True)]
+        recall, index = product_recall(spark, v, own[:10] + mixed[:10])
+        assert recall >= 0.9 and index.probes <= len(index.lists.centroids)
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(30, 40))
+    x = (centres[r.integers(0, 30, 3000)] + r.normal(0, 0.3, (3000, 40))).astype(np.float32)
+    v = spark.createDataFrame([(k, [float(a) for a in row]) for k, row in enumerate(x)], "id long, vector array<float>").cache()
+    recall, index = product_recall(spark, v, [[float(a) for a in centres[k] + r.normal(0, 0.3, 40)] for k in range(12)])
+    assert recall >= 0.9 and index.probes < len(index.lists.centroids)
+
+
+def test_vector_index_takes_new_rows(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(k, [float(a) for a in r.normal(size=8)]) for k in range(400)]
+    v = spark.createDataFrame(rows, "id long, vector array<float>")
+    index = vectors.VectorIndex.build(v.filter("id < 300"), f"{tmp_path}/v")
+    index.add(v)
+    assert index(rows[350][1], 1).first()["id"] == 350 and index(rows[10][1], 1, v.filter("id = 20").select("id")).first()["id"] == 20
+    small = vectors.VectorIndex.build(v.filter("id < 100"), f"{tmp_path}/s")
+    assert small.index is None and small(rows[7][1], 1).first()["id"] == 7
+
+
+def test_close_titles_are_all_pairs_within_the_bound(spark):
+    import random
+
+    r = random.Random(4)
+    texts = {"".join(r.choice("abc ") for _ in range(r.randrange(1, 14))) for _ in range(150)} | {"", "a"}
+    by = [(t, "x") for t in texts] + [(t, "y") for t in list(texts)[:40]]
+    x = spark.createDataFrame(by, "__x string, g string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    for share in (0.15, 0.3, 0.45):
+        got = {(p["g"], p["__x"], p["__y"]) for p in cat.close_titles(x, x.withColumnRenamed("__x", "__y"), share, ["g"]).collect()}
+        want = {(g, a, b) for a, g in by for b, h in by if g == h and a and b and edits(a, b) <= max(len(a), len(b), 1) * share + 1e-6}
+        assert {p for p in got if p[1] and p[2]} == want
+
+
+def test_running_lines_are_grouped_and_removed(spark):
+    pages = [("b", k, f"{'The History of Rome' if k % 3 else 'The Hist0ry of Rome'} {k}\nbody {'x' * k} of page\n\nmore text {k * 7}\nlast words {chr(97 + k % 26) * 9}\nVerlag Beispiel, {k}") for k in range(1, 13)]
+    pages += [("c", 1, "The History of Rome 1\ntext"), ("c", 2, "other\nThe History of Rome 2"), ("d", 1, "")]
+    df = spark.createDataFrame(pages, "book string, page int, text string")
+    got = {(r["book"], r["place"], r["line"]): r["pages"] for r in ck.running_lines(df).collect()}
+    assert got[("b", "header", "the history of rome #")] == 12 and got[("b", "footer", "verlag beispiel, #")] == 12 and not any(b == "c" for b, *_ in got)
+    left = {(r["book"], r["page"]): r["text"] for r in ck.without_running_lines(df).collect()}
+    assert left["b", 5].startswith("body") and "Verlag" not in left["b", 5] and left["c", 1] == pages[12][2] and left["d", 1] == ""
+
+
+def test_page_labels_roman_and_gaps():
+    assert ck.page_labels(["i", "ii", None, "iv", "1", "2", None, "4", "5", "6", "7", "8", None, "10", "11", None]) == ["i", "ii", "3", "iv", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12"]
+    assert ck.page_labels([None, None]) == [None, None] and ck.page_labels([None, "5", None]) == ["4", "5", "6"] and ck.page_labels([]) == []
+    assert [ck._roman(x) for x in ("XIV", "iiii", "MCMXC", "vx", "IX")] == [14, None, 1990, None, 9]
+
+
+def test_dialogue_markers():
+    assert ck.dialogue_turns("**User:** hi\nthere\n\n**Claude**: yo\nUser:\n") == [("User", "hi\nthere"), ("Claude", "yo\nUser:")]
+    assert ck.dialogue_turns("**[YOU]**\nabc\n**[BOT 2]**\nx") == [("You", "abc"), ("Bot 2", "x")]
+    assert ck.dialogue_turns("User:\nhey\nAI model:\nok\nnot a marker: x") == [("User", "hey"), ("AI model", "ok\nnot a marker: x")]
+    assert ck.dialogue_turns("2nd:\nx\n**a*b**: y\n" + "x" * 40 + ":\n") == [] and ck.dialogue_turns(None) == []
+
+
+def test_messages():
+    from folioforge.functions import messages as m
+
+    assert m.say("books", "de_AT.UTF-8", n=3) == "3 Bücher" and m.say("comment", "de") == "Comment" and m.say("no such key", "fr") == "no such key"
+    assert m.say("no_results", None, query="x") == "Nothing was found for 'x'." and m.say("books", "en") == "{n} books"
+    assert m.ocr_codes("de, fr,xx,de") == "deu+fra" and m.ocr_codes("") == "eng"
+
+
 def test_orphan_bound(spark):
     ids = lambda a, b: spark.range(a, b).selectExpr("cast(id as string) id")
     bound = lambda *a, **k: life.orphan_bound(*a, **k).first()["allowed"]
@@ -158,13 +298,11 @@ def test_dialogues(text):
 def test_dialogue_query_reads_whole_texts(spark, tmp_path):
     from folioforge import catalog
 
-    text = " ".join(f"w{k}" for k in range(900)) + "\n\n**User:** late question"
-    rows = [(1, text), (2, "short"), (3, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got: dict = {}
-    for r in catalog.QUERIES["chk7_dialogue_turns"](spark, str(tmp_path)).collect():
-        got.setdefault(r["id"], set()).add((r["speaker"], r["text"]))
-    assert got[1] == {("User", text[:80].strip()), ("Assistant", text[80:].split("\n\n")[0].strip()), ("User", "late question")}
+    long = " ".join(f"w{k}" for k in range(900))
+    rows = [(1, 0, "user", long + " end"), (1, 1, "assistant", "short\n\nand more"), (2, 0, "system", "x"), (2, 1, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["id"], r["chunk_index"]): (r["speaker"], r["text"]) for r in catalog.QUERIES["chk7_dialogue_turns"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): ("User", long + " end"), (1, 1): ("Assistant", "short\n\nand more"), (2, 0): ("System", "x"), (2, 1): ("User", "")}
 
 
 def test_hierarchy_and_pages():
@@ -384,8 +522,8 @@ def test_stream_ingest_and_windows(spark, tmp_path):
         if n == 12:
             spark.createDataFrame([(k, f"newer {k}") for k in range(8, 12)], "id long, text string").write.mode("append").parquet(src)
         inc.ingest(inc.watch(spark, src, docs.schema), lambda b: b, table, f"{tmp_path}/cp").awaitTermination()
-        assert spark.read.parquet(table).count() == n
-    assert spark.read.parquet(table).filter("text LIKE 'newer%'").count() == 4
+        assert tables.read_buckets(spark, table).count() == n
+    assert tables.read_buckets(spark, table).filter("text LIKE 'newer%'").count() == 4
     ev = spark.createDataFrame([("u", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for m in (0, 30, 61, 5000)], "u string, ts timestamp")
     ev.write.parquet(f"{tmp_path}/ev")
     inc.run_to_files(inc.session_windows(inc.watch(spark, f"{tmp_path}/ev", ev.schema), "u", "ts", late="1 hour"), f"{tmp_path}/out", f"{tmp_path}/cp2")

@@ -115,8 +115,12 @@ def fit(texts: list[bytes | None], labels: np.ndarray, bag_rounds: int = 40, pas
     if not some.any() or len(np.unique(y[some])) < 2:
         return Model(np.zeros(1 << BUCKET_BITS), 0.0)
     _, pick, word = np.unique(bags.h, return_index=True, return_inverse=True)
-    sub, begin = bags.bag(pick)
-    sub_word = np.repeat(np.arange(len(pick)), bags.size[pick])
+    # n-grams of each different word once: a text of the vocabulary is much shorter than the texts
+    w = bags.w
+    vocabulary = Bags([b"\n".join(w.data[a:b].tobytes() for a, b in zip(w.starts[pick], w.ends[pick], strict=True))])
+    sub, begin = vocabulary.bag(np.arange(len(pick)))
+    sub, word = sub.astype(np.int32), word.astype(np.int32)
+    sub_word = np.repeat(np.arange(len(pick), dtype=np.int32), vocabulary.size)
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)  # of the classes
@@ -124,6 +128,8 @@ def fit(texts: list[bytes | None], labels: np.ndarray, bag_rounds: int = 40, pas
     weight = np.where(y > 0, 0.5 / max(1, (y[some] > 0).sum()), 0.5 / max(1, (y[some] == 0).sum())) * some
     size = np.concatenate(([0], np.cumsum(bags.size)))
     a, b, off = passages(bags.first)
+    first = bags.first
+    del bags, vocabulary, w
     starts, live = off[:-1][some], np.flatnonzero(some)
     adam = [(np.zeros_like(x), np.zeros_like(x)) for x in (emb, soft, bias)]
     for step in range(bag_rounds + passage_rounds):
@@ -131,7 +137,7 @@ def fit(texts: list[bytes | None], labels: np.ndarray, bag_rounds: int = 40, pas
         per_word = np.add.reduceat((emb @ w)[sub], begin)
         s = np.concatenate(([0.0], np.cumsum(per_word[word], dtype=np.float64)))
         if step < bag_rounds:
-            lo, hi = bags.first[:-1][some], bags.first[1:][some]
+            lo, hi = first[:-1][some], first[1:][some]
         else:
             v = (s[b] - s[a]) / (size[b] - size[a])
             top = np.maximum.reduceat(v, starts)

@@ -70,4 +70,46 @@ def quality() -> str:
  (SELECT r.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {over}) AS rules FROM r JOIN c ON c.lang IS NOT DISTINCT FROM r.lang AND c.source IS NOT DISTINCT FROM r.source)"""
 
 
-ORACLES = {"op3_decontaminate": DECONTAMINATE, "op4_near_dup": NEAR_DUP, "op10_quality_rules": quality()}
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ o AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+ kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+ c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ every AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.n AS lang_n FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+ p AS (SELECT *, 1 + CAST(CAST(1000000000 AS HUGEINT) * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p,
+ 1 + CAST(CAST(1000000000 AS HUGEINT) * (lang_n + 2) // (sum(lang_n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS q FROM every),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(pairs.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+ term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ r AS (SELECT 'pair' AS part, *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair UNION ALL SELECT 'term', *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+MIXTURE = f"""WITH d AS (SELECT doc_id, source, CAST(len({_TOKENS.format("coalesce(text, '')")}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source),
+ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+ o AS (SELECT *, row_number() OVER (ORDER BY CAST(size AS DOUBLE) / weight, source NULLS LAST) AS k, CAST(sum(size) OVER () AS BIGINT) AS total FROM w),
+ u AS (SELECT *, CAST(sum(size) OVER (ORDER BY k) AS BIGINT) - size AS before, CAST(sum(weight) OVER (ORDER BY k DESC) AS BIGINT) AS others FROM o),
+ f AS (SELECT *, weight * (3 * total - 4 * before) > 4 * CAST(size AS HUGEINT) * others AS stopped FROM u),
+ l AS (SELECT 3 * any_value(total) - 4 * coalesce(sum(size) FILTER (stopped), 0) AS num, 2 * sum(weight) FILTER (NOT stopped) AS den FROM f),
+ t AS (SELECT source, size AS source_size, CASE WHEN stopped THEN CAST(2 * size AS DOUBLE) ELSE CAST(weight * num AS DOUBLE) / CAST(den AS DOUBLE) END AS target FROM f, l),
+ b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS whole FROM t),
+ x AS (SELECT *, CAST(floor(target) AS BIGINT) - whole * source_size AS rest FROM b),
+ r AS (SELECT d.*, x.source_size, x.target, x.whole, x.rest, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto, CAST(sum(d.size) OVER (PARTITION BY d.source, h) AS BIGINT) AS tie FROM d JOIN x ON x.source IS NOT DISTINCT FROM d.source)
+ SELECT doc_id, size, source_size, target, CAST(whole * size + CASE WHEN upto <= rest THEN size WHEN upto - tie < rest THEN CAST(size AS HUGEINT) * (rest - upto + tie) // tie ELSE 0 END AS BIGINT) AS taken FROM r"""
+
+COLLOCATIONS = f"""WITH p AS (SELECT k, lang, j, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT k, lang, unnest(pieces) AS piece, unnest(range(len(pieces))) AS j FROM
+ (SELECT row_number() OVER () AS k, coalesce(lang, 'und') AS lang, string_split_regex({_LOW}, '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents))),
+ n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+ f AS (SELECT lang, size, x, count(*) AS f FROM (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS x FROM p, (VALUES (1), (2), (3)) s(size)) GROUP BY ALL HAVING count(*) >= 10),
+ c AS (SELECT lang, size, x AS phrase, f AS a, string_split(x, ' ') AS w FROM f WHERE size > 1),
+ cuts AS (SELECT c.lang, c.phrase, c.a, s.k, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS score FROM c JOIN (VALUES (1), (2)) s(k) ON s.k < c.size
+ JOIN f l ON l.lang = c.lang AND l.size = s.k AND l.x = array_to_string(c.w[1:s.k], ' ') JOIN f r ON r.lang = c.lang AND r.size = c.size - s.k AND r.x = array_to_string(c.w[s.k + 1:], ' ')),
+ best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ inner_ AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE size = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE size = 3),
+ most AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL),
+ kept AS (SELECT best.* FROM best LEFT JOIN most ON most.lang = best.lang AND most.phrase = best.phrase WHERE coalesce(100 * longer < 50 * best.a, true)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+ORACLES = {"op3_decontaminate": DECONTAMINATE, "op4_near_dup": NEAR_DUP, "op10_quality_rules": quality(), "op11_source_divergence": DIVERGENCE, "op12_mixture": MIXTURE}

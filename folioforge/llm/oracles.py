@@ -97,13 +97,14 @@ MIXTURE = f"""WITH d AS (SELECT doc_id, source, CAST(len({_TOKENS.format("coales
  r AS (SELECT d.*, x.source_size, x.target, x.whole, x.rest, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto, CAST(sum(d.size) OVER (PARTITION BY d.source, h) AS BIGINT) AS tie FROM d JOIN x ON x.source IS NOT DISTINCT FROM d.source)
  SELECT doc_id, size, source_size, target, CAST(whole * size + CASE WHEN upto <= rest THEN size WHEN upto - tie < rest THEN CAST(size AS HUGEINT) * (rest - upto + tie) // tie ELSE 0 END AS BIGINT) AS taken FROM r"""
 
-COLLOCATIONS = f"""WITH p AS (SELECT k, lang, j, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT k, lang, unnest(pieces) AS piece, unnest(range(len(pieces))) AS j FROM
+COLLOCATIONS = f"""WITH p AS MATERIALIZED (SELECT k, lang, j, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT k, lang, unnest(pieces) AS piece, unnest(range(len(pieces))) AS j FROM
  (SELECT row_number() OVER () AS k, coalesce(lang, 'und') AS lang, string_split_regex({_LOW}, '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents))),
  n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
- f AS (SELECT lang, size, x, count(*) AS f FROM (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS x FROM p, (VALUES (1), (2), (3)) s(size)) GROUP BY ALL HAVING count(*) >= 10),
- c AS (SELECT lang, size, x AS phrase, f AS a, string_split(x, ' ') AS w FROM f WHERE size > 1),
- cuts AS (SELECT c.lang, c.phrase, c.a, s.k, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS score FROM c JOIN (VALUES (1), (2)) s(k) ON s.k < c.size
- JOIN f l ON l.lang = c.lang AND l.size = s.k AND l.x = array_to_string(c.w[1:s.k], ' ') JOIN f r ON r.lang = c.lang AND r.size = c.size - s.k AND r.x = array_to_string(c.w[s.k + 1:], ' ')),
+ o AS MATERIALIZED (SELECT lang, w, lead(w, 1) OVER (PARTITION BY k, j ORDER BY i) AS w2, lead(w, 2) OVER (PARTITION BY k, j ORDER BY i) AS w3 FROM (SELECT k, lang, j, unnest(w) AS w, unnest(range(len(w))) AS i FROM p)),
+ f AS MATERIALIZED (SELECT lang, size, x, count(*) AS f FROM (SELECT lang, 1 AS size, w AS x FROM o UNION ALL SELECT lang, 2, w || ' ' || w2 FROM o UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM o) WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+ c AS MATERIALIZED (SELECT lang, size, x AS phrase, f AS a, string_split(x, ' ') AS w FROM f WHERE size > 1),
+ two AS (SELECT lang, phrase, a, 1 AS k, w[1] AS x, array_to_string(w[2:size], ' ') AS y FROM c UNION ALL SELECT lang, phrase, a, 2, array_to_string(w[1:2], ' '), w[3] FROM c WHERE size = 3),
+ cuts AS (SELECT two.lang, phrase, a, k, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS score FROM two JOIN f l ON l.lang = two.lang AND l.x = two.x JOIN f r ON r.lang = two.lang AND r.x = two.y),
  best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
  inner_ AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE size = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE size = 3),
  most AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL),
@@ -112,4 +113,4 @@ COLLOCATIONS = f"""WITH p AS (SELECT k, lang, j, regexp_extract_all(piece, '[^\\
  SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
 
 
-ORACLES = {"op3_decontaminate": DECONTAMINATE, "op4_near_dup": NEAR_DUP, "op10_quality_rules": quality(), "op11_source_divergence": DIVERGENCE, "op12_mixture": MIXTURE}
+ORACLES = {"op3_decontaminate": DECONTAMINATE, "op4_near_dup": NEAR_DUP, "op10_quality_rules": quality(), "op11_source_divergence": DIVERGENCE, "op12_mixture": MIXTURE, "op13_collocations": COLLOCATIONS}

@@ -325,7 +325,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = ts.settle(docs.withColumn(number, F.monotonically_increasing_id()))
     found = _scan_in_passes(rows.select(F.col(number).alias("doc_id"), "text"), chain(((depth, sent), more), passes))
     bad = found.filter("contaminated").select(F.col("doc_id").alias("bad"))
-    return rows.alias("d").join(bad.alias("b"), F.col(f"d.{number}") == F.col("b.bad"), "left_anti").select(*[F.col(f"`{c}`") for c in rest])
+    return rows.alias("d").join(bad.alias("b"), F.col(f"d.{number}") == F.col("b.bad"), "left_anti").select(*ts.quoted(rest))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,7 +264,6 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
         of_class = of_class.join(reps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", "rows_of_key", F.coalesce("component", "rep").alias("component"))
         linked = ts.spread_join(narrow.filter("doc_id IS NOT NULL AND n > 0"), of_class, ["n", "s1", "s2"], n_rows)
         found = linked.select("doc_id", "n", "component").unionByName(narrow.filter("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
-    ts.slim(spark)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
@@ -272,15 +271,25 @@ def with_verdict(found: DataFrame) -> DataFrame:
     return found.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
+#: Ids of documents to drop that are broadcast at most; of more, rows meet them by a shuffle.
+MOST_SENT = 1 << 20
+
+
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs of the least doc_id of each group of near-duplicates, with all their columns.
 
-    Of rows that share a doc_id all are kept or none, but for exact repeats of a row, of which one stays.
+    Of rows that share a doc_id all are kept or none, but for exact repeats of a row, of which one stays (rows without a
+    doc_id too). Rows repeat each other if all their columns read the same as JSON, so columns may be of any type. Rows
+    without a doc_id are joined with nothing.
     """
-    gone = with_verdict(components(docs, width, num, den)).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")
+    gone, n = ts.settled(with_verdict(components(docs, width, num, den)).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), NARROW)
+    own = docs.filter("doc_id IS NOT NULL").alias("d").join(F.broadcast(gone) if n <= MOST_SENT else gone, F.col("d.doc_id") == F.col("gone"), "left_anti")
+    kept = own.union(docs.filter("doc_id IS NULL"))
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates()
+    if repeated.isEmpty():
+        return kept
+    row = ts.free_name(docs, "row_digest")
+    return kept.withColumn(row, F.sha2(F.to_json(F.struct(*ts.quoted(docs.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)).dropDuplicates([row]).drop(row)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,7 +192,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     judged by itself, also where doc_ids are null or repeated, and no text is shuffled.
     """
     cut, groups = ts.settled(thresholds(ts.settle(rated_rows(docs))))
-    ts.slim(docs.sparkSession)
     names = [ts.free_name(docs, n) for n in ("metrics", "cut")]
     with_cut = docs.alias("d").join(_sized(cut.withColumnRenamed("cut", names[1]), groups).alias("c"), F.expr("CAST(d.lang AS STRING) <=> c.lang AND CAST(d.source AS STRING) <=> c.source"), "left").select("d.*", f"c.{names[1]}")
     metrics = T.StructType.fromDDL(_METRIC_FIELDS)
@@ -203,7 +202,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(_metrics_of(texts), names=list(METRICS))], names=[*part.schema.names, names[0]])
 
     measured = ts.map_batches(with_cut, run, T.StructType([*with_cut.schema.fields, T.StructField(names[0], metrics)]))
-    rows = measured.select(F.struct(*docs.columns).alias("row"), f"{names[0]}.*", F.col(names[1]).alias("cut"))
+    rows = measured.select(F.struct(*ts.quoted(docs.columns)).alias("row"), f"{names[0]}.*", F.col(names[1]).alias("cut"))
     return rows.withColumns(rates()).filter(~_base_failed() & (F.size(_broken()) == 0)).select("row.*")
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -144,8 +143,26 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def plain_names(names: list[str]) -> dict[str, str]:
+    """Other names for those that Spark would read as paths or quotes."""
+    taken, out = {n.lower() for n in names}, {}
+    for k, n in enumerate(n for n in dict.fromkeys(names) if "." in n or "`" in n):
+        own = f"column{k}"
+        while own in taken:
+            own += "_"
+        taken.add(own)
+        out[n] = own
+    return out
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns of these very names, whatever stands in them."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow, after which the worker is slim again."""
+    """mapInArrow, after which the worker is slim again. Columns may have any names; fn sees those with dots and quotes under others."""
+    given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -153,7 +170,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
         yield from fn(batches)
         give_back()
 
-    return df.mapInArrow(run, schema)
+    if not (other := plain_names([*df.columns, *given.names])):
+        return df.mapInArrow(run, given)
+    inside = T.StructType([T.StructField(other.get(f.name, f.name), f.dataType, f.nullable) for f in given.fields])
+    return df.toDF(*[other.get(c, c) for c in df.columns]).mapInArrow(run, inside).toDF(*given.names)
 
 
 def map_blocks(docs: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes | None]], dict], schema: str, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -209,10 +229,6 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="folioforge-"))
 
 
-#: Rows of a settled table from which on its shuffle files are worth a collection on the driver.
-FREED_FROM = 50_000
-
-
 def settled(df: DataFrame, rows_each: int = 100_000) -> tuple[DataFrame, int]:
     """A checkpoint of df in about as many files as its rows fill, and its rows; partitions are only ever joined.
 
@@ -224,11 +240,6 @@ def settled(df: DataFrame, rows_each: int = 100_000) -> tuple[DataFrame, int]:
     n = kept.count()
     out = kept.coalesce(max(1, -(-n // rows_each))).checkpoint()
     kept.unpersist()
-    if n >= FREED_FROM:
-        # Spark drops the shuffle files behind df, which nothing reads any more, when the driver's garbage is collected
-        del kept
-        gc.collect()
-        out.sparkSession.sparkContext._jvm.System.gc()
     return out, n
 
 
@@ -236,12 +247,6 @@ def settle(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
     return settled(df, rows_each)[0]
 
 
-def slim(spark: SparkSession) -> None:
-    """Asks the executors' JVMs to hand unused heap back: shuffles have grown it, and Python workers need the room next."""
-    n = spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
-
-
 #: A key is hot if it holds more rows than this and than one in HOT_SHARE of all: there are fewer than HOT_SHARE such keys.
 HOT_ROWS, HOT_SHARE = 256, 10_000
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..functions.fold import fold
+from . import tables
 
 
 def ordered_names(links: DataFrame, names: DataFrame, book: str, link: str, alias: str) -> DataFrame:
@@ -139,30 +142,17 @@ def token_sort(text: Column) -> Column:
     return F.array_join(F.array_sort(T.words(T.normalize_title(text))), " ")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """100 less the share of edits between two texts with their words sorted."""
-    return _alike(token_sort(a), token_sort(b))
-
-
-def _alike(x: Column, y: Column) -> Column:
-    return F.lit(100.0) * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)))
-
-
 #: Different q-grams whose counts are sent to all tasks; those of more are joined by a shuffle.
 MOST_GRAMS = 200_000
 
 
-def close_titles(x: DataFrame, y: DataFrame, share: float, by: Sequence[str] = ()) -> DataFrame:
-    """All pairs of an __x and a __y with at most `share` edits to a character of the longer, and equal values in the columns `by`.
+def _sharing_rare_grams(x: DataFrame, y: DataFrame, by: Sequence[str], q: int, lost: Callable[[Column], Column], near: Column) -> DataFrame:
+    """by, __x, __x_grams, __y, __y_grams of pairs that have one of their rarest padded q-grams in common, and are `near`.
 
-    Both frames hold distinct texts for each value of `by`. An edit touches q of a text's padded q-grams at most. So such pairs
-    have q-grams in common while q * share < 1, and, in any one order of q-grams, both have one of those among their first
-    q * edits + 1: only the rarest q-grams are joined. And all but q * edits of a text's different q-grams are in the other one:
-    pairs for which that fails are never compared letter by letter.
+    lost(length): how many of its different q-grams a text of that length can lack in a text that it is close to. The rarest
+    q-gram that both have is then, in any one order, among the first lost + 1 of either: only those are joined.
     """
-    if not 0 <= share < 1:
-        raise ValueError(f"not a share of edits: {share}")
-    q, by = next(q for q in (3, 2, 1) if q * share < 1), list(by)
+    by = list(by)
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         chars = F.split(F.concat(F.lit("^" * (q - 1)), F.col(key), F.lit("$" * (q - 1))), "")
@@ -177,30 +167,113 @@ def close_titles(x: DataFrame, y: DataFrame, share: float, by: Sequence[str] = (
         counts = F.broadcast(counts)
 
     def rarest(df: DataFrame, key: str) -> DataFrame:
-        n = F.lit(q) * F.floor(F.length(key) * (share / (1 - share)) + 1e-6).cast("int") + 1
         ordered = df.select(*by, key, F.explode(f"{key}_grams").alias("__g")).join(counts, "__g").groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("__c", "__g"))).alias("__gs"))
-        return ordered.select(*by, key, F.explode(F.transform(F.slice("__gs", F.lit(1), n), lambda s: s["__g"])).alias("__g"))
+        return ordered.select(*by, key, F.explode(F.transform(F.slice("__gs", F.lit(1), lost(F.length(key)) + 1), lambda s: s["__g"])).alias("__g"))
+
+    pairs = rarest(gx, "__x").join(rarest(gy, "__y"), [*by, "__g"]).filter(near).select(*by, "__x", "__y").distinct()
+    return pairs.join(gx, [*by, "__x"]).join(gy, [*by, "__y"])
 
+
+
+def close_titles(x: DataFrame, y: DataFrame, share: float, by: Sequence[str] = ()) -> DataFrame:
+    """All pairs of an __x and a __y with at most `share` edits to a character of the longer, and equal values in the columns `by`.
+
+    Both frames hold distinct texts for each value of `by`. An edit touches q of a text's padded q-grams at most, so such pairs
+    have q-grams in common while q * share < 1, and all but q * edits of a text's different q-grams are in the other one: pairs
+    for which that fails are never compared letter by letter.
+    """
+    if not 0 <= share < 1:
+        raise ValueError(f"not a share of edits: {share}")
+    q = next(q for q in (3, 2, 1) if q * share < 1)
     most = F.floor(F.greatest(F.length("__x"), F.length("__y"), F.lit(1)) * share + 1e-6).cast("int")
-    pairs = rarest(gx, "__x").join(rarest(gy, "__y"), [*by, "__g"]).filter(F.abs(F.length("__x") - F.length("__y")) <= most).select(*by, "__x", "__y").distinct()
-    both = pairs.join(gx, [*by, "__x"]).join(gy, [*by, "__y"])
+    lost = lambda n: F.lit(q) * F.floor(n * (share / (1 - share)) + 1e-6).cast("int")
+    both = _sharing_rare_grams(x, y, by, q, lost, F.abs(F.length("__x") - F.length("__y")) <= most)
     enough = F.size(F.array_intersect("__x_grams", "__y_grams")) >= F.greatest(F.size("__x_grams"), F.size("__y_grams")) - q * most
     # one expression, or the costly part would be moved ahead of the joins
     return both.filter(F.when(enough, F.levenshtein("__x", "__y") <= most).otherwise(False)).select(*by, "__x", "__y")
 
 
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """100 times twice the longest common subsequence of two texts, to a character of both. Spark has no expression for it."""
+
+    def common(x: str, y: str) -> int:
+        places: dict[str, int] = {}
+        for k, c in enumerate(x):
+            places[c] = places.get(c, 0) | 1 << k
+        every = open_ = (1 << len(x)) - 1  # a bit is cleared where the subsequence grows
+        for c in y:
+            hit = open_ & places.get(c, 0)
+            open_ = ((open_ + hit) | (open_ - hit)) & every
+        return len(x) - open_.bit_count()
+
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([200.0 * common(x, y) / (len(x) + len(y)) if x and y else 0.0 for x, y in zip(xs, ys, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
+def close_by_ratio(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """All pairs of an __x and a __y, both distinct and not empty, whose `ratio` is `least` or more, which must be above 200 / 3; with it.
+
+    Of texts of m and n characters, such pairs have a common subsequence of L >= least / 200 * (m + n). Each of the m - L
+    characters that only the first has takes two of its padded bigrams away, and each of the n - L that only the second has parts
+    two characters and takes one: 2 m + n - 3 L of its m + 1 at most. That is most where the second is within the first, with
+    n = m * r / (2 - r) for r = least / 100: 4 m (1 - r) / (2 - r), which is fewer than m + 1, so a bigram is shared.
+    """
+    r = least / 100
+    if not 2 / 3 < r <= 1:
+        raise ValueError(f"no bound on pairs of ratio {least}")
+    m, n = F.length("__x"), F.length("__y")
+    near = F.least(m, n) * (2 - r) >= F.greatest(m, n) * r - 1e-6
+    both = _sharing_rare_grams(x, y, (), 2, lambda k: F.floor(k * (4 * (1 - r) / (2 - r)) + 1e-6).cast("int"), near)
+    shared, common = F.size(F.array_intersect("__x_grams", "__y_grams")), F.ceil((m + n) * (r / 2) - 1e-6)
+    enough = (shared >= F.size("__x_grams") - (2 * m + n - 3 * common)) & (shared >= F.size("__y_grams") - (2 * n + m - 3 * common))
+    return both.filter(enough).select("__x", "__y", ratio("__x", "__y").alias("ratio")).filter(F.col("ratio") >= least - 1e-9)
+
+
+def match_key(text: Column) -> Column:
+    """Lower case without accents, punctuation as blanks, blanks collapsed."""
+    return T.strip(F.regexp_replace(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+
+
+def without_edition(title: Column) -> Column:
+    """The title without a last parenthesis that names an edition."""
+    return F.regexp_replace(title, r"(?iU)\s*\([\w\s]+edition\)\s*$", "")
+
+
+def _sorted_words(key: str) -> Column:
+    return F.array_join(F.array_sort(F.split(key, " ")), " ")
+
+
+TITLE_SHARE = 0.7
+
+
 def fuzzy_match(entries: DataFrame, books: DataFrame, least: float = 80.0) -> DataFrame:
-    """entry, book and score (0.7 title, 0.3 author) of the best of all books; of equal ones the least id.
+    """entry, book, score and how of the best of all books (id, title, author) for entries (entry, title, author); of equal ones the least id.
 
-    With equal authors a title has to reach (least - 30) / 0.7, which bounds its edits; `close_titles` finds all within the bound.
+    Titles and authors are compared without case, accents and punctuation, entries' titles also without the name of an edition, and
+    words are sorted. Equal titles whose authors contain one another, or lack, are `exact`, with a score of 100. Else the score is 0.7
+    of the titles' ratio and 0.3 of the authors', and the titles' alone where either has no author. A weighted mean that reaches
+    `least` has a part that does: so close titles and close authors give all candidates (`close_by_ratio`), whatever the other part.
     """
-    keys = lambda d, t, a: d.select("*", token_sort(F.col("title")).alias(t), token_sort(F.coalesce("author", F.lit(""))).alias(a))
-    e = keys(entries, "__x", "__xa").select("entry", "__x", "__xa")
-    b = keys(books, "__y", "__ya").groupBy("__y", "__ya").agg(F.min("id").alias("book"))
-    close = close_titles(e.select("__x").distinct(), b.select("__y").distinct(), 1 - (least - 30.0) / 70.0)
-    score = F.round(_alike(F.col("__x"), F.col("__y")) * 0.7 + _alike(F.col("__xa"), F.col("__ya")) * 0.3, 4)
-    scored = e.join(close, "__x").join(b, "__y").withColumn("score", score).filter(F.col("score") >= least)
-    return scored.groupBy("entry").agg(F.max_by("book", F.struct("score", -F.col("book"))).alias("book"), F.max("score").alias("score"))
+    def keyed(df: DataFrame, title: Column, name: str) -> DataFrame:
+        own = df.withColumn(f"__{name}", match_key(title)).withColumn(f"__{name}a", match_key(F.col("author")))
+        return own.filter(F.col(f"__{name}") != "").withColumn(f"__{name}s", _sorted_words(f"__{name}")).withColumn(f"__{name}as", _sorted_words(f"__{name}a"))
+
+    e = keyed(entries, without_edition(F.coalesce("title", F.lit(""))), "x").select("entry", "__x", "__xa", "__xs", "__xas")
+    b = keyed(books, F.col("title"), "y").groupBy("__y", "__ya", "__ys", "__yas").agg(F.min("id").alias("book"))
+    e, b = tables.settle(e), tables.settle(b)
+    values = lambda df, c, to: df.select(F.col(c).alias(to)).filter(F.col(to) != "").distinct()
+    titles = tables.settle(close_by_ratio(values(e, "__xs", "__x"), values(b, "__ys", "__y"), least).select(F.col("__x").alias("__xs"), F.col("__y").alias("__ys")))
+    authors = tables.settle(close_by_ratio(values(e, "__xas", "__x"), values(b, "__yas", "__y"), least).select(F.col("__x").alias("__xas"), F.col("__y").alias("__yas")))
+    pairs = e.join(titles, "__xs").join(b, "__ys").unionByName(e.join(authors, "__xas").join(b, "__yas")).distinct()
+    exact = (F.col("__x") == F.col("__y")) & (F.col("__ya").contains(F.col("__xa")) | F.col("__xa").contains(F.col("__ya")))
+    alone = (F.col("__xa") == "") | (F.col("__ya") == "")
+    title, author = F.col("__t"), F.col("__a")
+    scored = pairs.withColumn("__t", ratio("__xs", "__ys")).withColumn("__a", ratio("__xas", "__yas"))
+    scored = scored.select("entry", "book", exact.alias("exact"), F.when(exact, 100.0).when(alone, title).otherwise(title * TITLE_SHARE + author * (1 - TITLE_SHARE)).alias("score")).filter(F.col("score") >= least - 1e-9)
+    best = scored.groupBy("entry").agg(F.max_by(F.struct("book", "exact", "score"), F.struct("exact", F.round("score", 4), -F.col("book"))).alias("b"))
+    return best.select("entry", "b.book", F.round("b.score", 4).alias("score"), F.when(F.col("b.exact"), "exact").otherwise("fuzzy").alias("how"))
 
 
 # --- bibliography

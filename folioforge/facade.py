@@ -51,6 +51,26 @@ class Library:
             self.vector_index = VectorIndex.build(self.vectors, f"{path}/vectors")
         self.text_index = ret.TextIndex.build(self.chunks, f"{path}/text")
 
+    def open_indexes(self, path: str) -> None:
+        """Takes up indexes that were stored before, in this session or another."""
+        if self.vectors is not None:
+            self.vector_index = VectorIndex.open(self.vectors.sparkSession, f"{path}/vectors")
+        self.text_index = ret.TextIndex.open(self.chunks.sparkSession, f"{path}/text")
+
+    def update_indexes(self, chunks: DataFrame | None = None, vectors: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """New and changed rows come into the stored indexes, ids that are gone leave them; what is stored isn't rewritten."""
+        for index, rows, leave in ((self.text_index, chunks, "drop"), (self.vector_index, vectors, "delete")):
+            if index is not None and rows is not None:
+                index.add(rows)
+            if index is not None and gone is not None:
+                getattr(index, leave)(gone.select("id"))
+
+    def merge_indexes(self) -> None:
+        """The periodic job that puts the indexes' batches together."""
+        for index in (self.text_index, self.vector_index):
+            if index is not None:
+                index.merge()
+
     def search_with_citations(self, query: str, **kw) -> tuple[str, DataFrame]:
         """The prompt with its documents, and the rows it was made of."""
         rows = ret.expand_context(self.search(query, **kw), self.chunks)

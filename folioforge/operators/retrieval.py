@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from . import filters as flt
 from . import tables
+from .segments import Segments
 
 K1, B, RRF_K = 1.2, 0.75, 60
 COMMENT_BOOST, TAG_BOOST, INTEREST_BOOST = 1.2, 1.15, 0.15
@@ -70,58 +71,213 @@ def bm25(chunks: DataFrame, query: str, where: Column | None = None) -> DataFram
     return hit.crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score"))  # stats is one row
 
 
+#: Postings in a block, steps of impact that blocks of a term are sorted into, and ids that are written into a scan's filter.
+BLOCK, STEPS, IN_FILTER = 1024, 16, 1000
+NUMBERS = "chunks long, texts long, tokens long"
+
+
 class TextIndex:
-    """A stored full-text index: postings in buckets by term, and the corpus's size and average length.
+    """A stored full-text index that a top-k search reads in part.
 
-    A query reads its terms' buckets and no text. `add` brings in new chunks by rewriting the buckets of their terms; chunks
-    that are replaced or gone are taken out with `drop` first.
+    Postings of a term are kept in blocks of about BLOCK, by falling impact (what they add to a score, but for the term's rarity):
+    a block is a row with its ids, and its greatest frequency and least length, which bound what any of its postings adds at any
+    average length. Beside them are each chunk's own terms, by id, document frequencies as sums of changes, and the corpus's
+    size and tokens, one row. All three tables are `Segments` with the same batches, and the last to be written says which of them
+    count: `add` and `drop` write what is new and name what is gone, in the buckets concerned, and `merge` puts batches together.
+
+    `top` reads the blocks of highest impact first, which gives a k-th score at least, and from it how far each term's list has to
+    be read so that no unread posting can matter; what is then a candidate is scored from its own terms. The result is that of a scan.
     """
 
     BUCKETS = 256
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.blocks = Segments(spark, f"{path}/blocks", "bucket", "block_key", ["term", "step"])
+        self.own = Segments(spark, f"{path}/own", "bucket")
+        self.frequencies = Segments(spark, f"{path}/frequencies", "bucket", "term")
+        self._numbers: tuple[int, tuple[int, int, int]] | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str) -> TextIndex:
         index = cls(chunks.sparkSession, path)
-        rows = postings(chunks).withColumn("bucket", tables.bucket_of("term", cls.BUCKETS))
-        tables.publish(rows.repartition("bucket").sortWithinPartitions("bucket", "term", "id"), f"{path}/postings", ["bucket"])
-        index._count(chunks.select("id", F.size(tokens(F.col("text"))).alias("dl")))
+        index._change(chunks, None, whole=True)
         return index
 
-    def _count(self, lengths: DataFrame) -> None:
-        tables.publish(lengths, f"{self.path}/lengths")
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TextIndex:
+        """The index that was stored there, in this session or another."""
+        return cls(spark, path)
 
     def add(self, chunks: DataFrame) -> None:
-        """New chunks beside those that are there; chunks that are there already are replaced."""
-        old = tables.read(self.spark, f"{self.path}/postings")
-        kept = old.join(chunks.select("id"), "id", "left_anti").select("term", "id", "tf", "dl")
-        rows = kept.unionByName(postings(chunks)).withColumn("bucket", tables.bucket_of("term", self.BUCKETS))
-        tables.publish(rows.repartition("bucket").sortWithinPartitions("bucket", "term", "id"), f"{self.path}/postings", ["bucket"])
-        lengths = tables.read(self.spark, f"{self.path}/lengths").join(chunks.select("id"), "id", "left_anti")
-        self._count(lengths.unionByName(chunks.select("id", F.size(tokens(F.col("text"))).alias("dl"))))
-
-    def bm25(self, query: str, among: DataFrame | None = None) -> DataFrame:
-        """id and score, as `bm25` gives them; `among` (id) picks candidates."""
-        terms = query_terms(query)
-        rows = tables.read(self.spark, f"{self.path}/postings")
-        if not terms:
-            return rows.select("id", F.lit(0.0).alias("score")).limit(0)
+        """New chunks beside those that are there, and changed ones in their place."""
+        self._change(chunks, chunks.select("id"))
+
+    def drop(self, ids: DataFrame) -> None:
+        """Chunks (id) that are gone."""
+        self._change(None, ids)
+
+    def merge(self) -> None:
+        """Batches put together: postings of what is gone are left out and blocks made anew."""
+        live = self.own.live()
+        if live is not None:
+            live, batch, numbers = tables.settle(live.drop("batch")), self.own.state().last + 1, self.numbers()
+            self._count(numbers, batch)
+            self.blocks.merge(lambda _: self._in_blocks(self._postings(live), self._average(numbers)), batch=batch)
+            self.frequencies.merge(lambda d: d.groupBy("bucket", "term").agg(F.sum("n").alias("n")).filter("n <> 0"), batch=batch)
+            self.own.merge(batch=batch)
+
+    def _count(self, numbers: tuple[int, int, int], batch: int) -> None:
+        self.spark.createDataFrame([numbers], NUMBERS).write.mode("overwrite").parquet(f"{self.path}/numbers/batch={batch}")
+
+    def numbers(self) -> tuple[int, int, int]:
+        """Chunks of the corpus, those that have a text, and tokens."""
+        last = self.own.state().last
+        if self._numbers is None or self._numbers[0] != last:
+            self._numbers = last, tuple(self.spark.read.parquet(f"{self.path}/numbers/batch={last}").first()) if last else (0, 0, 0)
+        return self._numbers[1]
+
+    @staticmethod
+    def _average(numbers: tuple[int, int, int]) -> float:
+        return numbers[2] / numbers[1] if numbers[1] else 1.0
+
+    def _own(self, chunks: DataFrame) -> DataFrame:
+        """id, dl, the terms with their frequencies, and a bucket of the id, of each chunk."""
+        t = chunks.select("id", tokens(F.col("text")).alias("t"))
+        counted = t.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        held = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("terms"))  # the terms of one chunk
+        out = t.select("id", F.size("t").alias("dl")).join(held, "id", "left")
+        return out.withColumn("bucket", tables.bucket_of("id", self.BUCKETS))
+
+    def _postings(self, own: DataFrame) -> DataFrame:
+        return own.select("id", "dl", F.explode("terms").alias("term", "tf")).withColumn("bucket", tables.bucket_of("term", self.BUCKETS))
+
+    def _in_blocks(self, postings: DataFrame, average: float) -> DataFrame:
+        """Blocks of postings: by bucket, term and step of impact; a step of many postings is dealt into several blocks, so that no list meets in a task."""
+        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
+        stepped = tables.settle(postings.withColumn("step", F.floor(impact * STEPS).cast("int")))
+        many = stepped.groupBy("term", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).filter("blocks > 1")
+        dealt = stepped.join(many, ["term", "step"], "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
+        list_of = F.collect_list(F.struct("id", "tf", "dl"))
+        made = dealt.groupBy("bucket", "term", "step", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), list_of.alias("postings"))
+        return made.withColumn("block_key", F.xxhash64("term", "step", "block")).drop("block")
+
+    def _change(self, chunks: DataFrame | None, ids: DataFrame | None, whole: bool = False) -> None:
+        own = tables.settle(self._own(chunks)) if chunks is not None else None
+        old = self._owned(ids) if ids is not None else None
+        numbers = self.numbers() if not whole else (0, 0, 0)
+        batch, changes = self.own.state().last + 1, []
+        for d, sign in ((own, 1), (old, -1)):
+            if d is not None:
+                numbers = tuple(a + sign * b for a, b in zip(numbers, d.agg(F.count(F.lit(1)), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first(), strict=True))
+                changes.append(self._postings(d).select("bucket", "term", F.lit(sign).alias("n")))
+        self._count(numbers, batch)
+        self.frequencies.change(reduce(DataFrame.union, changes).groupBy("bucket", "term").agg(F.sum("n").alias("n")).filter("n <> 0") if changes else None, batch=batch, whole=whole)
+        self.blocks.change(self._in_blocks(self._postings(own), self._average(numbers)) if own is not None else None, batch=batch, whole=whole)
+        self.own.change(own, ids, batch=batch, whole=whole)
+
+    def _owned(self, ids: DataFrame) -> DataFrame | None:
+        """The stored rows of some ids; their buckets prune folders, and a few ids reach the scan."""
+        stored = self.own.stored()
+        if stored is None:
+            return None
+        ids = tables.settle(ids.select("id").distinct())
+        buckets = sorted(r[0] for r in ids.select(tables.bucket_of("id", self.BUCKETS)).distinct().collect())  # BUCKETS at most
+        stored = stored.filter(F.col("bucket").isin(buckets))
+        few = ids.limit(IN_FILTER + 1).collect()
+        if len(few) <= IN_FILTER:
+            stored = stored.filter(F.col("id").isin([r["id"] for r in few]))
+        return tables.settle(self.own.without_gone(stored).join(ids, "id", "left_semi").drop("batch"))
+
+    def _blocks_of(self, terms: list[str]) -> DataFrame | None:
+        stored = self.blocks.stored(self.own.state().last)
+        if stored is None:
+            return None
         wanted = self.spark.createDataFrame([(t,) for t in terms], "term string")
         buckets = [r[0] for r in wanted.select(tables.bucket_of("term", self.BUCKETS)).distinct().collect()]
         # the bucket prunes folders, the term reaches the scan
-        own = rows.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-        df = own.groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
-        stats = tables.read(self.spark, f"{self.path}/lengths").agg(F.count(F.lit(1)).alias("__n"), F.avg("dl").alias("__avg"))
-        if among is not None:
-            own = own.join(among.select("id"), "id", "left_semi")
-        order = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))])
-        part = _weight(F.col("tf").cast("double"), F.col("__df").cast("double"), F.col("__n"), F.col("dl"), F.col("__avg"))
-        scored = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).select("id", order[F.col("term")].alias("i"), part.alias("w"))  # a row for each term; one row
-        # the terms' parts are added in the query's order, so scores are the same to the last digit
-        total = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), F.lit(0.0), lambda s, w: s + w)
-        return scored.groupBy("id").agg(F.round(total, 6).alias("score"))
+        return stored.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+    def _rarity(self, terms: list[str]) -> dict[str, float]:
+        """The number of chunks that hold each term."""
+        rows = self.frequencies.stored(self.own.state().last)
+        wanted = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        buckets = [r[0] for r in wanted.select(tables.bucket_of("term", self.BUCKETS)).distinct().collect()]
+        found = rows.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).groupBy("term").agg(F.sum("n").alias("n")).collect()
+        return {r["term"]: float(r["n"]) for r in found if r["n"] > 0}
+
+    def _read(self, blocks: DataFrame, among: DataFrame | None) -> DataFrame:
+        """term, id, tf and dl of the postings in blocks that are still there."""
+        rows = self.own.without_gone(blocks.select("term", "batch", F.inline("postings")))
+        return rows.join(among.select("id"), "id", "left_semi") if among is not None else rows
+
+    def _weights(self, df: dict[str, float], terms: list[str]) -> Callable[[int, Column, Column], Column]:
+        n, average = F.lit(float(self.numbers()[0])), F.lit(self._average(self.numbers()))
+        return lambda i, tf, dl: _weight(tf.cast("double"), F.lit(df.get(terms[i], 0.0)), n, dl, average)
+
+    def _scored(self, postings: DataFrame, terms: list[str], weight: Callable[[int, Column, Column], Column]) -> DataFrame:
+        """id and score: the terms' parts added in the query's order, so that scores are the same to the last digit."""
+        tf = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"__tf{i}") for i, t in enumerate(terms)]
+        rows = postings.groupBy("id").agg(F.max("dl").alias("dl"), *tf)
+        return rows.select("id", F.round(sum((weight(i, F.coalesce(f"__tf{i}", F.lit(0)), F.col("dl")) for i in range(len(terms))), F.lit(0.0)), 6).alias("score"))
+
+    def bm25(self, query: str, among: DataFrame | None = None) -> DataFrame:
+        """id and score of all chunks that hold a query term, as `bm25` gives them; `among` (id) picks candidates."""
+        terms, blocks = query_terms(query), None
+        if terms:
+            blocks = self._blocks_of(terms)
+        if blocks is None:
+            return self.own.stored().select("id", F.lit(0.0).alias("score")).limit(0) if self.own.stored() is not None else self.spark.createDataFrame([], "id long, score double")
+        return self._scored(self._read(blocks, among), terms, self._weights(self._rarity(terms), terms))
+
+    def steps(self, blocks: DataFrame, terms: list[str], df: dict[str, float]) -> dict[str, list[tuple[int, int, float]]]:
+        """For each term its steps from the highest: step, postings, and a bound on what one of them adds. No posting is read."""
+        weight = self._weights(df, terms)
+        bound = F.coalesce(*[F.when(F.col("term") == t, weight(i, F.col("most"), F.col("shortest"))) for i, t in enumerate(terms)])
+        rows = blocks.groupBy("term", "step").agg(F.sum("n").alias("n"), F.max(bound).alias("bound")).collect()  # STEPS * (K1 + 1) a term at most
+        out: dict[str, list[tuple[int, int, float]]] = {}
+        for r in sorted(rows, key=lambda r: -r["step"]):
+            out.setdefault(r["term"], []).append((r["step"], r["n"], r["bound"]))
+        return out
+
+    def top(self, query: str, k: int, among: DataFrame | None = None) -> DataFrame:
+        """id, score and rank of the k best: those of `bm25`, without reading blocks that can't hold one."""
+        terms = query_terms(query)
+        blocks = self._blocks_of(terms) if terms else None
+        if blocks is None:
+            return ranked(self.bm25(query, among), k)
+        df = self._rarity(terms)
+        steps, weight = self.steps(blocks, terms, df), self._weights(df, terms)
+        # the first steps of each list, of a few times k postings: the k-th of their scores, as far as they are known, is one that counts
+        least: dict[str, int] = {}
+        for t, own in steps.items():
+            held = 0
+            for step, n, _ in own:
+                if held < 4 * k:
+                    least[t], held = step, held + n
+        at_least = lambda cut: reduce(or_, [(F.col("term") == t) & (F.col("step") >= s) for t, s in cut.items()], F.lit(False))
+        first = ranked(self._scored(self._read(blocks.filter(at_least(least)), among), terms, weight), k).select("score").collect()
+        floor = min(r["score"] for r in first) - 2e-6 if len(first) == k else 0.0  # scores are rounded
+        # lists are cut from below, the longest first, while all that is unread of them together stays under it
+        cut, unread = {t: own[-1][0] for t, own in steps.items()}, dict.fromkeys(steps, 0.0)
+        for t in sorted(steps, key=lambda t: -sum(n for _, n, _ in steps[t])):
+            best = 0.0
+            for j in range(len(steps[t]) - 1, -1, -1):
+                best = max(best, steps[t][j][2])
+                if sum(v for o, v in unread.items() if o != t) + best >= floor:
+                    break
+                unread[t] = best
+                cut[t] = steps[t][j - 1][0] if j else steps[t][0][0] + 1
+        seen = self._read(blocks.filter(at_least(cut)), among)
+        if not any(unread.values()):
+            return ranked(self._scored(seen, terms, weight), k)
+        # what is read, and at most what is unread of the other lists
+        partly = seen.groupBy("id").agg(*[F.max(F.when(F.col("term") == t, weight(i, F.col("tf"), F.col("dl")))).alias(f"__w{i}") for i, t in enumerate(terms)])
+        most = sum((F.coalesce(f"__w{i}", F.lit(unread.get(t, 0.0))) for i, t in enumerate(terms)), F.lit(0.0))
+        ids = partly.filter(most >= floor).select("id")
+        own = self._owned(ids)
+        full = own.select("id", "dl", F.explode("terms").alias("term", "tf")).filter(F.col("term").isin(terms))
+        return ranked(self._scored(full, terms, weight), k)
 
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
@@ -159,16 +315,17 @@ def _near(vectors: DataFrame | Nearest, vector: Sequence[float], k: int, own: Da
     return vector_search(vectors.join(own, "id", "left_semi") if own is not None else vectors, vector, k)
 
 
-def _said(chunks: DataFrame, query: str, where: Column | None, index: TextIndex | None) -> DataFrame:
+def _said(chunks: DataFrame, query: str, where: Column | None, index: TextIndex | None, k: int) -> DataFrame:
+    """id, score and rank of the k best by words."""
     if index is None:
-        return bm25(chunks, query, where)
-    return index.bm25(query, chunks.filter(where).select("id") if where is not None else None)
+        return ranked(bm25(chunks, query, where), k)
+    return index.top(query, k, chunks.filter(where).select("id") if where is not None else None)
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame | Nearest, query: str, vector: Sequence[float], k: int, where: Column | None = None, index: TextIndex | None = None) -> DataFrame:
     """Nearest by vector and best by words, fused. vectors is a table or the search of a stored index; `index` a stored text index."""
     near = _near(vectors, vector, k, chunks.filter(where).select("id") if where is not None else chunks.select("id"))
-    return fuse(near, ranked(_said(chunks, query, where, index), k), k)
+    return fuse(near, _said(chunks, query, where, index, k), k)
 
 
 def boost(results: DataFrame, query: str) -> DataFrame:
@@ -241,7 +398,7 @@ def search(chunks: DataFrame, vectors: DataFrame | Nearest | None, query: str, v
     if phrase:
         found = exact_phrase(own, query, many)
     elif mode == "keyword" or vectors is None or vector is None:
-        found = ranked(_said(chunks, clean, where, index), many)
+        found = _said(chunks, clean, where, index, many)
     elif mode == "semantic":
         found = _near(vectors, vector, many, own.select("id"))
     else:

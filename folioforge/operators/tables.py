@@ -89,7 +89,8 @@ class _Files:
 
     def move(self, a: str, b: str) -> None:
         self.fs.mkdirs(self.path(b).getParent())
-        self.fs.rename(self.path(a), self.path(b))
+        if not self.fs.rename(self.path(a), self.path(b)):
+            raise OSError(f"cannot move {a} to {b}")
 
 
 def current(spark: SparkSession, path: str) -> str | None:
@@ -120,6 +121,14 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), retain:
     _point(_Files(df.sparkSession, path), path, version, retain)
 
 
+def drop_old(spark: SparkSession, path: str, names: Sequence[str], retain: float) -> None:
+    """Deletes the named folders below a path that were last changed more than `retain` seconds ago."""
+    files, old = _Files(spark, path), time.time() - retain
+    for name, changed in files.folders(path):
+        if name in names and changed / 1000 < old:
+            files.delete(f"{path}/{name}")
+
+
 def bucket_of(key: str, buckets: int):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 

@@ -73,7 +73,9 @@ def bm25(chunks: DataFrame, query: str, where: Column | None = None) -> DataFram
 
 #: Postings in a block, steps of impact that blocks of a term are sorted into, and ids that are written into a scan's filter.
 BLOCK, STEPS, IN_FILTER = 1024, 16, 1000
-NUMBERS = "chunks long, texts long, tokens long"
+NUMBERS = "chunks long, texts long, tokens long, buckets long"
+#: Chunks for each bucket of an index that is made, which has MOST_BUCKETS at most.
+PER_BUCKET, MOST_BUCKETS = 5_000, 256
 
 
 class TextIndex:
@@ -89,14 +91,12 @@ class TextIndex:
     be read so that no unread posting can matter; what is then a candidate is scored from its own terms. The result is that of a scan.
     """
 
-    BUCKETS = 256
-
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.blocks = Segments(spark, f"{path}/blocks", "bucket", "block_key", ["term", "step"])
         self.own = Segments(spark, f"{path}/own", "bucket")
         self.frequencies = Segments(spark, f"{path}/frequencies", "bucket", "term")
-        self._numbers: tuple[int, tuple[int, int, int]] | None = None
+        self._numbers: tuple[int, tuple[int, ...]] | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str) -> TextIndex:
@@ -123,34 +123,34 @@ class TextIndex:
         if live is not None:
             live, batch, numbers = tables.settle(live.drop("batch")), self.own.state().last + 1, self.numbers()
             self._count(numbers, batch)
-            self.blocks.merge(lambda _: self._in_blocks(self._postings(live), self._average(numbers)), batch=batch)
+            self.blocks.merge(lambda _: self._in_blocks(self._postings(live, numbers[3]), self._average(numbers)), batch=batch)
             self.frequencies.merge(lambda d: d.groupBy("bucket", "term").agg(F.sum("n").alias("n")).filter("n <> 0"), batch=batch)
             self.own.merge(batch=batch)
 
-    def _count(self, numbers: tuple[int, int, int], batch: int) -> None:
+    def _count(self, numbers: tuple[int, ...], batch: int) -> None:
         self.spark.createDataFrame([numbers], NUMBERS).write.mode("overwrite").parquet(f"{self.path}/numbers/batch={batch}")
 
-    def numbers(self) -> tuple[int, int, int]:
-        """Chunks of the corpus, those that have a text, and tokens."""
+    def numbers(self) -> tuple[int, ...]:
+        """Chunks of the corpus, those that have a text, tokens, and the index's buckets."""
         last = self.own.state().last
         if self._numbers is None or self._numbers[0] != last:
-            self._numbers = last, tuple(self.spark.read.parquet(f"{self.path}/numbers/batch={last}").first()) if last else (0, 0, 0)
+            self._numbers = last, tuple(self.spark.read.parquet(f"{self.path}/numbers/batch={last}").first()) if last else (0, 0, 0, 1)
         return self._numbers[1]
 
     @staticmethod
-    def _average(numbers: tuple[int, int, int]) -> float:
+    def _average(numbers: tuple[int, ...]) -> float:
         return numbers[2] / numbers[1] if numbers[1] else 1.0
 
-    def _own(self, chunks: DataFrame) -> DataFrame:
+    def _own(self, chunks: DataFrame, buckets: int) -> DataFrame:
         """id, dl, the terms with their frequencies, and a bucket of the id, of each chunk."""
         t = chunks.select("id", tokens(F.col("text")).alias("t"))
         counted = t.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         held = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("terms"))  # the terms of one chunk
         out = t.select("id", F.size("t").alias("dl")).join(held, "id", "left")
-        return out.withColumn("bucket", tables.bucket_of("id", self.BUCKETS))
+        return out.withColumn("bucket", tables.bucket_of("id", buckets))
 
-    def _postings(self, own: DataFrame) -> DataFrame:
-        return own.select("id", "dl", F.explode("terms").alias("term", "tf")).withColumn("bucket", tables.bucket_of("term", self.BUCKETS))
+    def _postings(self, own: DataFrame, buckets: int) -> DataFrame:
+        return own.select("id", "dl", F.explode("terms").alias("term", "tf")).withColumn("bucket", tables.bucket_of("term", buckets))
 
     def _in_blocks(self, postings: DataFrame, average: float) -> DataFrame:
         """Blocks of postings: by bucket, term and step of impact; a step of many postings is dealt into several blocks, so that no list meets in a task."""
@@ -163,17 +163,19 @@ class TextIndex:
         return made.withColumn("block_key", F.xxhash64("term", "step", "block")).drop("block")
 
     def _change(self, chunks: DataFrame | None, ids: DataFrame | None, whole: bool = False) -> None:
-        own = tables.settle(self._own(chunks)) if chunks is not None else None
+        numbers = self.numbers() if not whole else (0, 0, 0, max(1, min(MOST_BUCKETS, chunks.count() // PER_BUCKET)))
+        buckets = numbers[3]
+        own = tables.settle(self._own(chunks, buckets)) if chunks is not None else None
         old = self._owned(ids) if ids is not None else None
-        numbers = self.numbers() if not whole else (0, 0, 0)
         batch, changes = self.own.state().last + 1, []
         for d, sign in ((own, 1), (old, -1)):
             if d is not None:
-                numbers = tuple(a + sign * b for a, b in zip(numbers, d.agg(F.count(F.lit(1)), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first(), strict=True))
-                changes.append(self._postings(d).select("bucket", "term", F.lit(sign).alias("n")))
+                more = d.agg(F.count(F.lit(1)), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+                numbers = (*(a + sign * b for a, b in zip(numbers[:3], more, strict=True)), buckets)
+                changes.append(self._postings(d, buckets).select("bucket", "term", F.lit(sign).alias("n")))
         self._count(numbers, batch)
         self.frequencies.change(reduce(DataFrame.union, changes).groupBy("bucket", "term").agg(F.sum("n").alias("n")).filter("n <> 0") if changes else None, batch=batch, whole=whole)
-        self.blocks.change(self._in_blocks(self._postings(own), self._average(numbers)) if own is not None else None, batch=batch, whole=whole)
+        self.blocks.change(self._in_blocks(self._postings(own, buckets), self._average(numbers)) if own is not None else None, batch=batch, whole=whole)
         self.own.change(own, ids, batch=batch, whole=whole)
 
     def _owned(self, ids: DataFrame) -> DataFrame | None:
@@ -182,7 +184,7 @@ class TextIndex:
         if stored is None:
             return None
         ids = tables.settle(ids.select("id").distinct())
-        buckets = sorted(r[0] for r in ids.select(tables.bucket_of("id", self.BUCKETS)).distinct().collect())  # BUCKETS at most
+        buckets = sorted(r[0] for r in ids.select(tables.bucket_of("id", self.numbers()[3])).distinct().collect())  # MOST_BUCKETS at most
         stored = stored.filter(F.col("bucket").isin(buckets))
         few = ids.limit(IN_FILTER + 1).collect()
         if len(few) <= IN_FILTER:
@@ -194,7 +196,7 @@ class TextIndex:
         if stored is None:
             return None
         wanted = self.spark.createDataFrame([(t,) for t in terms], "term string")
-        buckets = [r[0] for r in wanted.select(tables.bucket_of("term", self.BUCKETS)).distinct().collect()]
+        buckets = [r[0] for r in wanted.select(tables.bucket_of("term", self.numbers()[3])).distinct().collect()]
         # the bucket prunes folders, the term reaches the scan
         return stored.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
@@ -202,7 +204,7 @@ class TextIndex:
         """The number of chunks that hold each term."""
         rows = self.frequencies.stored(self.own.state().last)
         wanted = self.spark.createDataFrame([(t,) for t in terms], "term string")
-        buckets = [r[0] for r in wanted.select(tables.bucket_of("term", self.BUCKETS)).distinct().collect()]
+        buckets = [r[0] for r in wanted.select(tables.bucket_of("term", self.numbers()[3])).distinct().collect()]
         found = rows.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).groupBy("term").agg(F.sum("n").alias("n")).collect()
         return {r["term"]: float(r["n"]) for r in found if r["n"] > 0}
 

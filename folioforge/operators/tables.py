@@ -93,6 +93,10 @@ class _Files:
             raise OSError(f"cannot move {a} to {b}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _Files(spark, path).exists(path)
+
+
 def current(spark: SparkSession, path: str) -> str | None:
     """The folder of the version that counts; none if there is no table."""
     files = _Files(spark, path)

@@ -61,7 +61,19 @@ def _(t):
 @query("ret2_stored_index", _bm25_sql())
 def _(t):
     """The same search by a stored index of postings: built in the shared folder, then only the query's terms are read."""
-    return ret.ranked(ret.TextIndex.build(t.chunks, shared_folder(t)).bm25(QUERY), 10)
+    return ret.TextIndex.build(t.chunks, shared_folder(t)).top(QUERY, 10)
+
+
+@query("ret21_text_index_upkeep", _bm25_sql().replace("FROM chunks)", "FROM (SELECT * FROM chunks WHERE id % 97 <> 3))"))
+def _(t):
+    """An index that was built of what was there, some of it in other words and some of it not yet; then new, changed and deleted chunks come in, and
+    it is opened anew. The result is that of a scan of what there is now."""
+    path = shared_folder(t)
+    before = t.chunks.filter("id % 97 <> 1").withColumn("text", F.when(F.col("id") % 97 == 2, F.reverse("text")).otherwise(F.col("text")))
+    index = ret.TextIndex.build(before, path)
+    index.add(t.chunks.filter("id % 97 IN (1, 2)"))
+    index.drop(t.chunks.filter("id % 97 = 3").select("id"))
+    return ret.TextIndex.open(t.spark, path).top(QUERY, 10)
 
 
 @query("ret3_hybrid_search", _hybrid_sql())

@@ -36,3 +36,15 @@ def _(t):
 def _(t):
     """Sessions in batch form: the same function runs on a stream (see the tests)."""
     return inc.session_windows(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
+
+
+@query("strm_strict_runs", "SELECT CAST(user_id AS VARCHAR) AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS end, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 1800000000 THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s")
+def _(t):
+    """Runs of each user as a stream: one more event, long after all others, moves the watermark on, so that the last runs end as well."""
+    out = shared_folder(t)
+    end = t.events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    end.select(F.lit("-").alias("user_id"), "ts").write.parquet(out + "/end")
+    events = _events(t).select(F.col("user_id").cast("string").alias("user_id"), "ts").unionByName(inc.watch(t.spark, out + "/end", "user_id string, ts timestamp"))
+    inc.run_to_files(inc.strict_runs(events, "user_id", "ts"), out + "/t", out + "/c")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return t.spark.read.schema(inc.RUNS).parquet(out + "/t").select("key", stamp("start"), stamp("end"), "n")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalogue as cat
 from ..operators import repair
+from ..operators.tables import shared_root
 from ..sources import annotations as ann
 from ..sources import prepared, readers
 from .lifecycle import _mhash, _mhash_sql
@@ -123,7 +126,42 @@ def _(t):
 
 @query("qlt11_admission", "SELECT book_id AS book, avg(CASE WHEN page_label <> '' THEN 1 ELSE 0 END) AS share, count(*) AS pages, avg(CASE WHEN page_label <> '' THEN 1 ELSE 0 END) >= 0.75 AS admitted FROM chunks GROUP BY book_id")
 def _(t):
-    return repair.admission(t.chunks.select(F.col("book_id").alias("book"), "page_number", (F.col("page_label") != "").alias("present")), 0.75)
+    return repair.admission(t.chunks.select(F.col("book_id").alias("book"), "page_number", (F.col("page_label") != "").alias("present")), 0.75).drop("reasons")
+
+
+# whole texts with note markers and bodies at their ends: some without a partner, some bodies before their markers
+_NOTED = """SELECT book_id AS book, id AS k, CASE id % 7 WHEN 0 THEN text || ' [^' || (id % 50) || ']' WHEN 3 THEN text || chr(10) || '[^' || (id % 50) || ']: a note' WHEN 5 THEN text || ' [^' || (id % 11) || '] and [^x' || id || ']' || chr(10) || ' [^' || (id % 11) || ']: its note' ELSE text END AS text FROM chunks"""
+_PLACES = f"""(SELECT book, k, unnest(list_distinct(regexp_extract_all(text, '\\[\\^([^\\]\\s]+)\\](?:[^:]|$)', 1))) AS note, 'marker' AS kind FROM ({_NOTED}) UNION ALL SELECT book, k, unnest(list_distinct(regexp_extract_all(text, '(?m)^[ \\t]*\\[\\^([^\\]\\s]+)\\]:', 1))), 'body' FROM ({_NOTED}))"""
+_LOST = f"SELECT book, note, k, CASE kind WHEN 'marker' THEN 'unresolved' ELSE 'orphaned' END AS reason FROM {_PLACES} p WHERE NOT EXISTS (SELECT 1 FROM {_PLACES} o WHERE o.book = p.book AND o.note = p.note AND o.kind <> p.kind AND CASE WHEN p.kind = 'marker' THEN o.k >= p.k ELSE o.k <= p.k END)"
+
+
+@query("qlt11_unmatched_notes", _LOST)
+def _(t):
+    """Markers without a later body and bodies without an earlier marker, in whole texts."""
+    return repair.unmatched_notes(t.sql(_NOTED.replace("chr(10)", "'\\n'")))
+
+
+@query("qlt11_admission_by_notes", f"""SELECT c.book, share, pages, definitions, unresolved, orphaned, share >= 0.7 AND unresolved = 0 AND orphaned = 0 AS admitted FROM (SELECT book_id AS book, avg(CASE WHEN page_label <> '' THEN 1 ELSE 0 END) AS share, count(*) AS pages FROM chunks GROUP BY 1) c
+ LEFT JOIN (SELECT book, count(*) AS definitions FROM {_PLACES} WHERE kind = 'body' GROUP BY 1) d ON d.book = c.book LEFT JOIN (SELECT book, count(*) FILTER (reason = 'unresolved') AS unresolved, count(*) FILTER (reason = 'orphaned') AS orphaned FROM ({_LOST}) GROUP BY 1) l ON l.book = c.book""")
+def _(t):
+    pages = t.chunks.select(F.col("book_id").alias("book"), "page_number", (F.col("page_label") != "").alias("present"))
+    return repair.admission(pages, 0.7, t.sql(_NOTED.replace("chr(10)", "'\\n'"))).drop("reasons")
+
+
+@query("snk17_ledger", "SELECT id AS key, CASE WHEN tag LIKE '%TIN' THEN 'failed' ELSE 'done' END AS status, CASE WHEN tag LIKE '%TIN' THEN 0 ELSE length(title) END AS rows FROM books")
+def _(t):
+    """All books in batches; books of one kind fail halfway and are rows of the ledger. A second run finds nothing left to do."""
+    path = f"{shared_root(t.spark)}/drive-{uuid.uuid4().hex}"
+
+    def work(rows):
+        letters = rows.select("id", "tag", F.posexplode(F.split("title", "")).alias("k", "letter"))
+        return letters.select("id", "k", "letter", F.when(F.col("tag").endswith("TIN") & (F.col("k") == 2), F.lit("unreadable")).alias("error"))
+
+    queue, half = t.books.select("id", "title", "tag"), t.books.count() // 3 + 1
+    repair.drive(queue, "id", work, path, half)
+    said = repair.drive(queue, "id", work, path, half)
+    rows = repair.driven_rows(t.spark, path).groupBy(F.col("id").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("made"))
+    return said.join(rows, "key", "left").select(F.col("key").cast("long").alias("key"), "status", F.coalesce("made", F.lit(0)).alias("rows"))
 
 
 @query("qlt12_toc_report", "SELECT e.book_id, e.title, e.page, coalesce(a.n, 0) AS by_title, coalesce(b.n, 0) AS by_page FROM (SELECT DISTINCT book_id, section_type AS title, CAST(id % 20 AS INT) AS page FROM chunks) e LEFT JOIN (SELECT book_id, section_type, count(*) AS n FROM chunks GROUP BY 1, 2) a ON a.book_id = e.book_id AND a.section_type = e.title LEFT JOIN (SELECT book_id, page_number, count(*) AS n FROM chunks GROUP BY 1, 2) b ON b.book_id = e.book_id AND b.page_number = e.page")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import tables
+
 ROLES = {"human": "user", "user": "user", "assistant": "assistant", "ai": "assistant", "model": "assistant", "bot": "assistant", "grok": "assistant"}
 
 
@@ -23,21 +25,28 @@ def clean_rich_tags(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)<(grok|x|xai):[a-z]+[^>]*>.*?</\1:[a-z]+>", ""), r"</?(?:grok|x|xai):[a-z]+[^>]*/?>", "")
 
 
-def flatten_tree(nodes: DataFrame, most: int = 10_000) -> DataFrame:
+def flatten_tree(nodes: DataFrame) -> DataFrame:
     """conv_id, depth, role and text along each conversation's thread: from the root to the last child each time.
 
-    nodes: conv_id, node, parent (the root's is no node), role, text. The recursion follows one child
-    for each node, so it is as deep as the longest thread and never wider than the table.
+    nodes: conv_id, node, parent (the root's is no node), role, text. Each node that is its parent's last child points to it, and
+    pointers double: after r rounds a node knows who stands 2**r links above it, so a thread of any length takes as many rounds as
+    its length has binary digits. Until a pointer has come to a top no two nodes point to the same one, so no row is hot. The
+    thread is what points to the conversation's first root. Nodes in a ring come to no top and are in no thread.
     """
-    spark = nodes.sparkSession
-    ids = nodes.select("conv_id", F.col("node").alias("__n"))
-    roots = nodes.join(ids, (nodes["conv_id"] == ids["conv_id"]) & (nodes["parent"] == ids["__n"]), "left_anti")
-    last = nodes.groupBy("conv_id", F.col("parent").alias("from")).agg(F.max("node").alias("to"))
-    first = roots.groupBy("conv_id").agg(F.min("node").alias("node"))
-    path = spark.sql(
-        f"WITH RECURSIVE walk(conv_id, node, depth) MAX RECURSION LEVEL {most} AS (SELECT conv_id, node, 0 FROM {{first}} UNION ALL SELECT w.conv_id, l.to, w.depth + 1 FROM walk w JOIN {{last}} l ON l.conv_id = w.conv_id AND l.from = w.node) SELECT * FROM walk",
-        first=first, last=last,
-    )
+    nodes = tables.settle(nodes)
+    ids = nodes.select("conv_id", "node").filter("node IS NOT NULL").distinct()
+    last = nodes.groupBy("conv_id", F.col("parent").alias("at")).agg(F.max("node").alias("node"))
+    links = last.join(ids.withColumnRenamed("node", "at"), ["conv_id", "at"]).select("conv_id", "node", "at", F.lit(1).cast("long").alias("steps"), F.lit(False).alias("top"))
+    tops = ids.join(links.select("conv_id", "node"), ["conv_id", "node"], "left_anti").select("conv_id", "node", F.col("node").alias("at"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("top"))
+    state = tables.settle(links.union(tops))
+    n, rounds = state.count(), 0
+    while 2**rounds <= n and not state.filter("NOT top").isEmpty():
+        above = state.select("conv_id", F.col("node").alias("at"), F.col("at").alias("__at"), F.col("steps").alias("__steps"), F.col("top").alias("__top"))
+        moved = state.filter("NOT top").join(above, ["conv_id", "at"]).select("conv_id", "node", F.col("__at").alias("at"), (F.col("steps") + F.col("__steps")).alias("steps"), F.col("__top").alias("top"))
+        state, rounds = tables.settle(state.filter("top").union(moved)), rounds + 1
+    rootless = nodes.join(ids.withColumnRenamed("node", "parent"), ["conv_id", "parent"], "left_anti")
+    first = rootless.groupBy("conv_id").agg(F.min("node").alias("at"))
+    path = state.filter("top").join(first, ["conv_id", "at"]).select("conv_id", "node", F.col("steps").cast("int").alias("depth"))
     return path.join(nodes.select("conv_id", "node", "role", "text"), ["conv_id", "node"]).filter(F.col("role").isin("user", "assistant")).select("conv_id", "depth", "role", "text")
 
 

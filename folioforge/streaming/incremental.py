@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -46,28 +47,44 @@ def newest_once(rows: DataFrame, ts: str, *keys: str, late: str = "1 day") -> Da
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-RUNS = "key string, run long, start timestamp, n long"
+RUNS = "key string, start timestamp, end timestamp, n long"
 
 
-def strict_runs(events: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> DataFrame:
-    """Runs of each key as they end: state holds the open run only. Rows are taken in order of time within a batch."""
+def strict_runs(events: DataFrame, key: str, ts: str, gap_minutes: int = 30, late: str = "1 day") -> DataFrame:
+    """key, start, end and n of each key's runs, which a gap of more than gap_minutes parts; each comes once it has ended.
+
+    A run has ended when the watermark (`late` behind the latest event) is past its gap: no row that still counts can then join
+    it. A timer on that moment ends a key's last run too, and a key without open runs has no state. State holds the runs
+    that are open, so rows may come in any order, also rows that join two runs. Rows later than the watermark are dropped, rows
+    without a time too.
+    """
+    gap = gap_minutes * 60_000_000
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        run, start, last, n = state.get if state.exists else (0, None, None, 0)
-        out = []
-        times = sorted(t for b in batches for t in b[ts].dropna())
-        for t in times:
-            if last is not None and t - pd.Timestamp(last) > pd.Timedelta(minutes=gap_minutes):
-                out.append((str(k[0]), run, pd.Timestamp(start), n))
-                run, start, n = run + 1, None, 0
-            start = start if start is not None else t.isoformat()
-            last, n = t.isoformat(), n + 1
-        state.update((run, start, last, n))
-        yield pd.DataFrame(out, columns=["key", "run", "start", "n"])
+        runs = json.loads(state.get[0]) if state.exists else []
+        now = state.getCurrentWatermarkMs() * 1000
+        for b in [] if state.hasTimedOut else batches:
+            t = b[ts].dropna().to_numpy("datetime64[us]").astype("int64")
+            runs += [[int(x), int(x), 1] for x in t if x >= now]
+        joined: list[list[int]] = []
+        for start, end, n in sorted(runs):
+            if joined and start - joined[-1][1] <= gap:
+                joined[-1][1:] = [max(joined[-1][1], end), joined[-1][2] + n]
+            else:
+                joined.append([start, end, n])
+        ended = [r for r in joined if r[1] + gap < now]
+        if left := joined[len(ended) :]:
+            state.update((json.dumps(left),))
+            state.setTimeoutTimestamp(max((left[0][1] + gap) // 1000 + 1, now // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        time = lambda c: pd.to_datetime([r[c] for r in ended], unit="us")
+        yield pd.DataFrame({"key": [str(k[0])] * len(ended), "start": time(0), "end": time(1), "n": [r[2] for r in ended]})
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return events.groupBy(key).applyInPandasWithState(step, RUNS, "run long, start string, last string, n long", "append", GroupStateTimeout.NoTimeout)
+    kept = events.filter(F.col(key).isNotNull()).withWatermark(ts, late)
+    return kept.groupBy(key).applyInPandasWithState(step, RUNS, "runs string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

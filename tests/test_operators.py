@@ -18,6 +18,7 @@ from folioforge.operators import chunkstore as cs
 from folioforge.operators import filters as flt
 from folioforge.operators import html
 from folioforge.operators import lifecycle as life
+from folioforge.operators import repair
 from folioforge.operators import retrieval as ret
 from folioforge.operators import segments, tables, vectors
 from folioforge.operators.vectors import IVF, embed_texts, hashed_embedder
@@ -147,7 +148,7 @@ def test_text_index_is_kept_up_and_read_in_part(spark, tmp_path, monkeypatch):
     import random
 
     monkeypatch.setattr(ret, "BLOCK", 8)
-    monkeypatch.setattr(ret.TextIndex, "BUCKETS", 4)
+    monkeypatch.setattr(ret, "PER_BUCKET", 75)
     monkeypatch.setattr(segments, "FILE_ROWS", 20)
     r = random.Random(6)
     text = lambda: " ".join(r.choice(["the"] * 6 + ["of"] * 3 + [f"w{j}" for j in range(40)]) for _ in range(r.randrange(1, 60)))
@@ -681,8 +682,86 @@ def test_stream_ingest_and_windows(spark, tmp_path):
     got = sorted((r["start"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     batch = sorted((r["start"], r["n"]) for r in inc.session_windows(ev, "u", "ts").collect())
     assert got == batch[:2] and [n for _, n in batch] == [2, 1, 1]
-    inc.run_to_files(inc.strict_runs(inc.watch(spark, f"{tmp_path}/ev", ev.schema), "u", "ts"), f"{tmp_path}/out3", f"{tmp_path}/cp3")
-    assert sorted(r["n"] for r in spark.read.parquet(f"{tmp_path}/out3").collect()) == [1, 2]
+
+
+def test_runs_of_a_stream_are_those_of_a_batch(spark, tmp_path):
+    """Files in several batches, rows out of order and rows that join two runs; the last run of a key ends by its timer."""
+    import random
+
+    r = random.Random(12)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"u{r.randrange(4)}", start + dt.timedelta(minutes=r.randrange(6000))) for _ in range(260)] + [("u0", start), ("u0", start + dt.timedelta(minutes=30)), ("u0", start + dt.timedelta(minutes=60, seconds=1)), ("u9", None)]
+    r.shuffle(rows)
+    kind = "u string, ts timestamp"
+    for k in range(0, len(rows), 90):
+        spark.createDataFrame(rows[k : k + 90], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ev")
+    end = [("end", start + dt.timedelta(days=60))]
+    run = lambda: inc.run_to_files(inc.strict_runs(inc.watch(spark, f"{tmp_path}/ev", kind, files_at_once=1), "u", "ts", late="10 days"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    run()
+    assert spark.read.schema(inc.RUNS).parquet(f"{tmp_path}/out").isEmpty()  # nothing can have ended yet
+    spark.createDataFrame(end, kind).write.mode("append").parquet(f"{tmp_path}/ev")
+    run()
+    want = []
+    for u in {u for u, t in rows if t}:
+        times = sorted(t for v, t in rows if v == u and t)
+        own = [[times[0], times[0], 1]]
+        for t in times[1:]:
+            if t - own[-1][1] > dt.timedelta(minutes=30):
+                own.append([t, t, 1])
+            else:
+                own[-1][1:] = [t, own[-1][2] + 1]
+        want += [(u, *x) for x in own]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(want)
+
+
+def test_long_threads_and_broken_trees(spark):
+    nodes = "conv_id string, node string, parent string, role string, text string"
+    long = spark.range(50_000).selectExpr("'long' conv_id", "lpad(id, 6, '0') node", "CASE WHEN id > 0 THEN lpad(id - 1, 6, '0') END parent", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END role", "string(id) text")
+    odd = spark.createDataFrame([("b", "r", None, "system", "s"), ("b", "c1", "r", "user", "old"), ("b", "c2", "r", "user", "new"), ("b", "d1", "c1", "assistant", "x"), ("b", "d2", "c2", "assistant", "y"), ("b", "lone", "nowhere", "user", "z"), ("ring", "p", "q", "user", "1"), ("ring", "q", "p", "user", "2"), (None, "n", None, "user", "3")], nodes)
+    got = chats.flatten_tree(long.union(odd))
+    assert sorted(tuple(r) for r in got.filter("conv_id <> 'long'").collect()) == [("b", 0, "user", "z")]
+    deep = got.filter("conv_id = 'long'").agg(F.count(F.lit(1)), F.max("depth"), F.count_if(F.col("depth") != F.col("text").cast("int"))).first()
+    assert tuple(deep) == (50_000, 49_999, 0)
+    tree = chats.flatten_tree(odd.filter("node <> 'lone'"))
+    assert sorted(tuple(r) for r in tree.filter("conv_id = 'b'").collect()) == [("b", 1, "user", "new"), ("b", 2, "assistant", "y")]
+
+
+def test_notes_are_matched_in_order(spark):
+    parts = [("v", 1, "One[^1] and two [^a] here.\n\n[^1]: first body"), ("v", 2, "[^b]: too early\nthen [^b] and [^1]"), ("v", 3, "  [^1]: again\n[^z]: nobody's"), ("w", 1, "[^z] elsewhere"), ("w", 2, None)]
+    df = spark.createDataFrame(parts, "book string, k int, text string")
+    got = {tuple(r) for r in repair.unmatched_notes(df).collect()}
+    assert got == {("v", "a", 1, "unresolved"), ("v", "z", 3, "orphaned"), ("w", "z", 1, "unresolved")}
+    pages = spark.createDataFrame([("v", 1, True), ("v", 2, True), ("w", 1, True), ("x", 1, True), ("x", 2, False)], "book string, page int, present boolean")
+    profile = spark.createDataFrame([("v", 9, 0.9, 0.0), ("w", 0, None, 0.1), ("x", None, 0.2, 0.7)], "book string, certain int, attested double, inherited double")
+    out = {r["book"]: r for r in repair.admission(pages, 0.95, df, profile).collect()}
+    assert out["v"]["reasons"] == ["1 unresolved notes", "1 orphaned notes", "4 definitions of 9"] and not out["v"]["admitted"]
+    assert out["w"]["reasons"] == ["1 unresolved notes", "attested share unknown"] and out["x"]["reasons"] == ["coverage 0.5", "attested 0.2", "inherited 0.7"]
+    assert repair.admission(pages.filter("book <> 'x'")).filter("admitted").count() == 2
+
+
+def test_a_run_that_was_cut_off_leaves_each_book_once(spark, tmp_path):
+    queue = spark.createDataFrame([(k, f"b{k}") for k in range(40)] + [(3, "again")], "book long, title string")
+    calls = []
+
+    def work(rows, die=99):
+        calls.append(1)
+        if len(calls) == die:
+            raise OSError("killed")
+        return rows.select("book", F.explode(F.array(F.lit(1), F.lit(2))).alias("part"), F.when((F.col("book") % 10 == 7) & F.rand(1).isNotNull(), F.lit("no text")).alias("error"))
+
+    path = f"{tmp_path}/run"
+    with pytest.raises(OSError, match="killed"):
+        repair.drive(queue, "book", lambda r: work(r, 3), path, size=10)
+    half = repair.driven_rows(spark, path).count()
+    assert 0 < half < 72
+    said = repair.drive(queue, "book", work, path, size=10)
+    assert said.count() == 40 and {r["key"] for r in said.filter("status = 'failed'").collect()} == {"7", "17", "27", "37"}
+    rows = repair.driven_rows(spark, path)
+    assert rows.filter("book <> 3").groupBy("book").count().filter("count <> 2").isEmpty() and rows.select("book").distinct().count() == 36
+    n = len(calls)
+    assert repair.drive(queue, "book", work, path, size=10).count() == 40 and len(calls) == n
+    more = repair.drive(queue.union(spark.createDataFrame([(99, "new")], queue.schema)), "book", work, path, size=10)
+    assert more.count() == 41 and len(calls) == n + 1
 
 
 def exth(records):

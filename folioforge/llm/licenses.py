@@ -5,7 +5,8 @@ regions that may be left out, and replaceable regions of up to n words. The auto
 templates and the four base phrases run together as one set of states, started only where a word
 stands that some template can begin with and, for its mandatory opening, only where the next
 mandatory word follows. A text gets a template's label where some run reaches its end. A template
-that ends in `<<id>>` names a licence by an identifier: the identifier read there makes the label.
+that ends in `<<id>>` names licences by an expression: each identifier of the expression that follows on its line makes a label. Of
+licence texts of which one is within another only the longer counts.
 
 Null text counts as empty: no words, no labels, score 0. Each row is judged on its own, so
 repeated rows get equal results, and rows without a doc_id too. Where a template's runs end in several
@@ -15,6 +16,7 @@ places the longest counts. An empty table gives no rows. Columns other than doc_
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +27,37 @@ from .templates import TEMPLATES
 
 #: Base phrases and their labels.
 PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
+#: More words than any template matches.
+LONGEST = 2_000
 _WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
-_IDENTIFIER = re.compile(rb"[^0-9A-Za-z\n]{0,8}?([0-9A-Za-z][0-9A-Za-z.+-]*)")
+_BEFORE = re.compile(rb"[\x20\t:=\"']*+")
+_PIECE = re.compile(rb"[\x20\t]*+(?:(?P<open>\()|(?P<close>\))|(?P<op>AND|OR|WITH)(?![0-9A-Za-z.+:-])|(?P<id>[0-9A-Za-z][0-9A-Za-z.+:-]*+))")
+
+
+def identifiers(text: bytes) -> list[str]:
+    """The licences of the expression that a text begins with: identifiers joined by AND, OR and parentheses, each with its exception.
+
+    The expression ends where the text no longer goes on as one; it stays on its line.
+    """
+    at, depth, out, wants, excepted = _BEFORE.match(text).end(), 0, [], True, False
+    while m := _PIECE.match(text, at):
+        if m["open"] and wants and not excepted:
+            depth += 1
+        elif m["close"] and not wants and depth:
+            depth -= 1
+        elif m["op"] and not wants:
+            wants, excepted = True, m["op"] == b"WITH"
+        elif m["id"] and wants:
+            name = m["id"].decode().rstrip(".-:").lower()
+            if excepted:
+                out[-1] += f" with {name}"
+            else:
+                out.append(name)
+            wants = excepted = False
+        else:
+            break
+        at = m.end()
+    return out
 
 
 class Automaton:
@@ -165,6 +196,7 @@ class Scanner:
         kinds: list[set[str]] = [set() for _ in texts]
         own: list[set[str]] = [set() for _ in texts]
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        whole: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         for k, d in zip(places.tolist(), doc.tolist(), strict=True):
             word, a, b = self.openers[int(h[k])], int(w.first[d]), int(w.first[d + 1])
             words = _Lazy(w.data, w.starts[a:b], w.ends[a:b])
@@ -175,13 +207,18 @@ class Scanner:
                 spans[d].append((k, end))
                 if label in self.automaton.named:
                     stop = int(w.ends[a + end - 1])
-                    if m := _IDENTIFIER.match(data[stop : off[d + 1]].tobytes()):
-                        own[d].add(f"{label}:{m[1].decode().rstrip('.-').lower()}")
+                    line = data[stop : off[d + 1]]
+                    line = line[: int(np.argmax(line == 10))]  # a block ends each text with a line feed
+                    own[d] |= {f"{label}:{name}" for name in identifiers(line.tobytes())}
                 elif label.startswith("base:"):
                     base[d].append(k)
                     kinds[d].add(label[5:])
+                elif label.startswith("text:"):
+                    whole[d].append((k, end, label))
                 else:
                     own[d].add(label)
+        for d, found in enumerate(map(sorted, whole)):
+            own[d] |= {label for a, b, label in found if not any(x <= a and b <= y and y - x > b - a for x, y, _ in _around(found, a))}
         return {
             "n_words": w.counts.tolist(), "n_base": [len(x) for x in base], "first_word": [min(x, default=None) for x in base], "last_word": [max(x, default=None) for x in base],
             "base_labels": [",".join(sorted(x)) for x in kinds], "labels": [",".join(sorted(x | y)) for x, y in zip(kinds, own, strict=True)],
@@ -189,6 +226,11 @@ class Scanner:
         }
 
 
+def _around(found: list[tuple[int, int, str]], at: int) -> list[tuple[int, int, str]]:
+    """Matches, by where they begin, that may hold one that begins at a word: no template matches more than LONGEST words."""
+    return found[bisect_left(found, (at - LONGEST,)) : bisect_right(found, (at, 1 << 60))]
+
+
 def _covered(spans: list[tuple[int, int]]) -> int:
     """Words in any of the spans."""
     total = upto = 0

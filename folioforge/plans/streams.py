@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.tables import shared_root
+from ..sources.changes import watch_changes
 from ..streaming import incremental as inc
 from .registry import query
 
@@ -48,3 +49,18 @@ def _(t):
     inc.run_to_files(inc.strict_runs(events, "user_id", "ts"), out + "/t", out + "/c")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return t.spark.read.schema(inc.RUNS).parquet(out + "/t").select("key", stamp("start"), stamp("end"), "n")
+
+
+@query("src7_changed_since_stream", "SELECT lang, CASE WHEN lang = (SELECT min(lang) FROM documents) THEN 2 ELSE 1 END AS changes, count(*) AS documents FROM documents GROUP BY lang")
+def _(t):
+    """A file of each language's documents; one changes after the first run. The second run, from the checkpoint, sees that one alone."""
+    out = shared_folder(t)
+    docs = t.documents.select("lang", "doc_id")
+    docs.repartition("lang").write.partitionBy("lang").parquet(out + "/files")
+    run = lambda: inc.run_to_files(watch_changes(t.spark, out + "/files", suffixes=(".parquet",)), out + "/t", out + "/c")
+    run()
+    least = docs.agg(F.min("lang")).first()[0]
+    docs.filter(F.col("lang") == least).drop("lang").coalesce(1).write.mode("overwrite").parquet(f"{out}/files/lang={least}")
+    run()
+    seen = t.spark.read.parquet(out + "/t").groupBy(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")).agg(F.count(F.lit(1)).alias("changes"))
+    return seen.join(t.spark.read.parquet(out + "/files").groupBy("lang").agg(F.count(F.lit(1)).alias("documents")), "lang")

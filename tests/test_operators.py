@@ -714,6 +714,36 @@ def test_runs_of_a_stream_are_those_of_a_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(want)
 
 
+def test_each_changed_file_comes_once(spark, tmp_path):
+    import os
+
+    from folioforge.sources.changes import local, watch_changes
+
+    root = tmp_path / "lib"
+    (root / "a").mkdir(parents=True)
+    (root / ".git").mkdir()
+    for name in ("a/one.md", "two.md", ".git/x.md", "_tmp.md", "three.txt"):
+        (root / name).write_text(name)
+    seen = lambda: sorted(r["path"].rsplit("/", 1)[1] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    run = lambda: inc.run_to_files(watch_changes(spark, f"file://{root}", suffixes=(".md",)), f"{tmp_path}/out", f"{tmp_path}/cp")
+    run()
+    assert seen() == ["one.md", "two.md"]
+    run()
+    assert seen() == ["one.md", "two.md"]  # nothing has changed
+    (root / "four.md").write_text("4")
+    (root / "two.md").write_text("changed")
+    run()
+    assert seen() == ["four.md", "one.md", "two.md", "two.md"]
+    os.remove(root / "four.md")
+    run()
+    assert len(seen()) == 4 and {r["size"] for r in spark.read.parquet(f"{tmp_path}/out").filter("path LIKE '%two.md'").collect()} == {6, 7}
+    os.utime(root / "a/one.md", (1e9, 1e9))
+    inc.run_to_files(watch_changes(spark, str(root), since="2020-01-01T00:00:00"), f"{tmp_path}/out2", f"{tmp_path}/cp2")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in spark.read.parquet(f"{tmp_path}/out2").collect()) == ["three.txt", "two.md"]
+    with pytest.raises(ValueError, match="mounted"):
+        local("s3a://bucket/x")
+
+
 def test_long_threads_and_broken_trees(spark):
     nodes = "conv_id string, node string, parent string, role string, text string"
     long = spark.range(50_000).selectExpr("'long' conv_id", "lpad(id, 6, '0') node", "CASE WHEN id > 0 THEN lpad(id - 1, 6, '0') END parent", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END role", "string(id) text")

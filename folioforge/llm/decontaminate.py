@@ -33,6 +33,8 @@ from . import textscan as ts
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
+#: The same where rows are carried along with all their columns, beside the suffix array.
+ROWS_SHARD_BYTES = 2 << 20
 #: Text of a block of items, and of all blocks that are broadcast at a time.
 ITEM_BYTES, SENT_BYTES = 16 << 20, 256 << 20
 
@@ -319,7 +321,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             shard = _marked(texts, depth, sent)
             return ~_is_contaminated(ts.seg_sum(shard.hit, shard.w.first), shard.w.counts)
 
-        return ts.keep_rows(docs, clean, SHARD_BYTES)
+        return ts.keep_rows(docs, clean, ROWS_SHARD_BYTES)
     # a benchmark of several passes: rows are numbered in a written table
     number, rest = ts.free_name(docs, "number"), docs.columns
     rows = ts.settle(docs.withColumn(number, F.monotonically_increasing_id()))

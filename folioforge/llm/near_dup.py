@@ -283,7 +283,8 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     without a doc_id are joined with nothing.
     """
     gone, n = ts.settled(with_verdict(components(docs, width, num, den)).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), NARROW)
-    own = docs.filter("doc_id IS NOT NULL").alias("d").join(F.broadcast(gone) if n <= MOST_SENT else gone, F.col("d.doc_id") == F.col("gone"), "left_anti")
+    gone = (F.broadcast(gone) if n <= MOST_SENT else gone).alias("g")
+    own = docs.filter("doc_id IS NOT NULL").alias("d").join(gone, F.col("d.doc_id") == F.col("g.gone"), "left_anti")
     kept = own.union(docs.filter("doc_id IS NULL"))
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     if repeated.isEmpty():

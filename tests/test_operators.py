@@ -346,9 +346,10 @@ def test_dialogue_markers():
 def test_messages():
     from folioforge.functions import messages as m
 
-    assert m.say("books", "de_AT.UTF-8", n=3) == "3 Bücher" and m.say("comment", "de") == "Comment" and m.say("no such key", "fr") == "no such key"
+    assert m.say("books", "de_AT.UTF-8", n=3) == "3 Bücher" and m.say("comment", "de") == "Kommentar" and m.say("comment", "fr") == "Comment" and m.say("no such key", "fr") == "no such key"
     assert m.say("no_results", None, query="x") == "Nothing was found for 'x'." and m.say("books", "en") == "{n} books"
-    assert m.ocr_codes("de, fr,xx,de") == "deu+fra" and m.ocr_codes("") == "eng"
+    assert m.ocr_codes("de, fr,xx,de") == "deu+fra" and m.ocr_codes("") == "eng" and m.ocr_codes("zh,ja,ko") == "chi_sim+jpn+kor"
+    assert m.MESSAGES["de"].keys() == m.MESSAGES["en"].keys()
 
 
 def test_orphan_bound(spark):

@@ -34,7 +34,7 @@ from . import textscan as ts
 WINDOW = 13
 SHARD_BYTES = 4 << 20
 #: The same where rows are carried along with all their columns, beside the suffix array.
-ROWS_SHARD_BYTES = 2 << 20
+ROWS_SHARD_BYTES = 1 << 20
 #: Text of a block of items, and of all blocks that are broadcast at a time.
 ITEM_BYTES, SENT_BYTES = 16 << 20, 256 << 20
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, chunks, lifecycle, retrieval, streams, structure, upkeep  # noqa: F401  they register themselves
+from .plans import catalogue, chunks, exchange, lifecycle, retrieval, streams, structure, upkeep  # noqa: F401  they register themselves
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "ret3_hybrid_search"

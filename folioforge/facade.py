@@ -101,6 +101,10 @@ class Library:
             raise ValueError(f"no such method: {method}")
         return cat.duplicates(self.books, keys[method]())
 
+    def duplicate_tag_instructions(self) -> DataFrame:
+        """The commands that tag every later book of those with the same title and authors."""
+        return cat.tag_instructions(self.books, cat.title_author_key(F.col("title"), F.col("authors")), DUPLICATE_TAG)
+
     def duplicate_tag_instruction(self, book_id) -> str:
         return f"calibredb set_metadata {book_id} --field tags:+{DUPLICATE_TAG}"
 

@@ -268,3 +268,8 @@ def selection(text: Column, count: Column) -> Column:
     every = F.sequence(F.lit(0), count - 1)
     picked = F.array_sort(F.array_distinct(F.filter(F.flatten(ranges), lambda i: (i >= 0) & (i < count))))
     return F.when(F.lower(F.trim(text)) == "all", F.when(count > 0, every).otherwise(F.array().cast("array<int>"))).otherwise(picked)
+
+
+def url_decoded(text: Column) -> Column:
+    """Percent escapes read; a percent sign that begins none stays."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))

@@ -106,6 +106,14 @@ def duplicates(books: DataFrame, key: Column) -> DataFrame:
     return k.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
 
 
+def tag_instructions(books: DataFrame, key: Column, tag: str = "duplicate") -> DataFrame:
+    """id, key and the command that tags each book but the first of those that share a key; books are counted, not gathered."""
+    keyed = books.select("id", key.alias("key")).filter("key IS NOT NULL AND key <> ''")
+    first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = keyed.join(first, "key").filter("id <> first")
+    return later.select("id", "key", F.concat(F.lit("calibredb set_metadata "), F.col("id").cast("string"), F.lit(f" --field tags:+{tag}")).alias("command"))
+
+
 def duplicate_pairs(identifiers: DataFrame) -> DataFrame:
     """Pairs of books that share an identifier's type and value, the lesser first."""
     a, b = identifiers.alias("a"), identifiers.alias("b")

@@ -19,6 +19,12 @@ def resolve_book_id(value: str | int) -> tuple[str | None, int | None, str]:
     return (None, int(s), s) if s.isdigit() else (s, None, s)
 
 
+def resolved_book_ids(value: Column) -> Column:
+    """resolve_book_id for a column: a struct of text, number and name. Digits beyond a long's range stay a text."""
+    number = F.when(value.rlike("^[0-9]+$"), value.try_cast("long"))
+    return F.struct(F.when(number.isNull(), value).alias("book_id"), number.alias("number"), value.alias("name"))
+
+
 def chunk_filter(book_id: str | None = None, source_id: str | None = None, calibre_id: int | None = None, section: str | None = None, chunk_type: str | None = None, language: str | None = None) -> Column:
     """Conjunction of the given conditions; virtual names stand for several stored values, and languages may be a list with commas."""
     parts: list[Column] = []

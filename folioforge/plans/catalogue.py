@@ -207,9 +207,9 @@ def _(t):
     return cat.books_by_author(t.books, t.books_authors, t.authors, "0001", year_from=1993).select("id", "title", "year")
 
 
-@query("agg15_bibliography_selection", f"SELECT id, title, year FROM {_FULL} WHERE year BETWEEN 1992 AND 1993 ORDER BY title, id LIMIT 50")
+@query("agg15_bibliography_selection", f"SELECT id, title, year FROM {_FULL} WHERE year BETWEEN 1992 AND 1993")
 def _(t):
-    return full_books(t).filter("year BETWEEN 1992 AND 1993").select("id", "title", "year").orderBy("title", "id").limit(50)
+    return full_books(t).filter("year BETWEEN 1992 AND 1993").select("id", "title", "year")
 
 
 @query("agg18_available_tags", "SELECT DISTINCT trim(x) AS tag FROM (SELECT unnest(string_split(tags, ',')) AS x FROM chunks)")

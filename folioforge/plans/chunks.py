@@ -18,9 +18,9 @@ def _(t):
     return t.chunks.filter("page_number <= 50").select("id", "book_id", "chunk_type")
 
 
-@query("src2_by_book", "SELECT id, chunk_index FROM chunks WHERE book_id = 'src5' ORDER BY chunk_index, id LIMIT 100")
+@query("src2_by_book", "SELECT id, chunk_index FROM chunks WHERE book_id = 'src5'")
 def _(t):
-    return t.chunks.filter("book_id = 'src5'").select("id", "chunk_index").orderBy("chunk_index", "id").limit(100)
+    return t.chunks.filter("book_id = 'src5'").select("id", "chunk_index")
 
 
 @query("src2_by_id", "SELECT id, md5(text) AS md5 FROM chunks WHERE id = 42")

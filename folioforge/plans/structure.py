@@ -57,10 +57,15 @@ def _(t):
     return ck.explode_chunks(t.documents.select(F.col("doc_id").alias("id"), _paras().alias("text")), ck.semantic_chunks, CHUNK)
 
 
-@query("chk6_heading_sections", "SELECT id, section, level, body FROM (SELECT doc_id AS id, 0 AS section, 0 AS level, 'intro' || chr(10) AS body FROM documents UNION ALL SELECT doc_id, 1, 1, '# One' || chr(10) || lang || chr(10) FROM documents UNION ALL SELECT doc_id, 2, 3, '### Two' || chr(10) || source FROM documents)")
+_MARKED = "list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN length(x) % 5 = 0 THEN repeat('#', CAST(length(x) % 6 + 1 AS INT)) || ' ' || x ELSE x END)"
+
+
+@query("chk6_heading_sections", f"""SELECT id, CAST(s - least_s AS INT) AS section, CAST(length(regexp_extract(body, '^(#{{1,6}})\\s', 1)) AS INT) AS level, body FROM (SELECT id, s, 0 AS least_s, string_agg(line || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY i) AS body FROM
+ (SELECT *, sum(CASE WHEN regexp_matches(line || chr(10), '^#{{1,6}}\\s') AND i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS s FROM (SELECT id, n, unnest(range(1, n + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id AS id, {_MARKED} AS l, len({_MARKED}) AS n FROM documents))) GROUP BY id, s) WHERE trim(body) <> ''""")
 def _(t):
-    said = F.concat(F.lit("intro\n# One\n"), "lang", F.lit("\n### Two\n"), "source")
-    return ck.heading_sections(t.documents.select(F.col("doc_id").alias("id"), said.alias("text")))
+    """Whole texts in which every line of a length that five divides is a heading."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) % 5 == 0, F.concat(F.repeat(F.lit("#"), (F.length(x) % 6 + 1).cast("int")), F.lit(" "), x)).otherwise(x))
+    return ck.heading_sections(t.documents.select(F.col("doc_id").alias("id"), F.array_join(lines, "\n").alias("text")))
 
 
 @query("chk7_dialogue_turns", "SELECT conv_id AS id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS chunk_index, upper(role[1]) || role[2:] AS speaker, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations")
@@ -240,9 +245,11 @@ def _(t):
     return t.documents.select("doc_id", fold("text").alias("text"))
 
 
-@query("scl10_rich_tags", "SELECT doc_id, 'a ' || lang AS text FROM documents")
+@query("scl10_rich_tags", "SELECT doc_id, text || ' ' || lang || ' ' || text AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", chats.clean_rich_tags(F.concat(F.lit("a <grok:render type=\"x\">\ncard</grok:render>"), "lang")).alias("text"))
+    """Whole texts around a card, and within a tag that stands alone."""
+    said = F.concat("text", F.lit(" <grok:render type=\"x\">\n"), "source", F.lit("</grok:render>"), "lang", F.lit("<x:br/> </xai:b>"), "text")
+    return t.documents.select("doc_id", chats.clean_rich_tags(said).alias("text"))
 
 
 # --- vectors

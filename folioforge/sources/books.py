@@ -11,6 +11,8 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: File extensions in order of preference.
 PREFERENCE = ("pdf", "epub", "mobi", "azw3", "djvu", "txt", "md", "html", "htm", "docx", "rtf")
 
@@ -76,6 +78,47 @@ def section_number(title: Column) -> Column:
     return F.regexp_extract(title, r"^(\d+(?:\.\d+)*)", 1)
 
 
+def split_by_headings(rows: DataFrame) -> DataFrame:
+    """id, section, heading and text of texts (id, text, headings), cut before each paragraph that is one of their headings.
+
+    White space within a paragraph doesn't matter. What comes before the first heading is a section without one; a text
+    without headings is one section. Each text is cut in its row, in one pass.
+    """
+    flat = lambda x: T.strip(F.regexp_replace(x, r"(?U)\s+", " "))
+    paras = F.split(F.coalesce("text", F.lit("")), "\n\n")
+    known = F.transform(F.coalesce("headings", F.array().cast("array<string>")), flat)
+    cut = rows.select("id", paras.alias("p"), known.alias("h"))
+    starts = F.filter(F.transform("p", lambda x, i: F.when(F.array_contains("h", flat(x)), i)), lambda x: x.isNotNull())
+    cut = cut.withColumn("s", starts)
+    # a section from each start to the next; one from 0 if no heading stands there
+    cut = cut.withColumn("s", F.when((F.size("s") > 0) & (F.get("s", 0) == 0), F.col("s")).otherwise(F.concat(F.array(F.lit(0)), "s")))
+    end = lambda i: F.coalesce(F.get("s", i + 1), F.size("p"))
+    parts = F.transform("s", lambda a, i: F.struct(F.when(F.array_contains("h", flat(F.get("p", a))), T.strip(F.get("p", a))).alias("heading"), F.array_join(F.slice("p", a + 1, end(i) - a), "\n\n").alias("text")))
+    return cut.select("id", F.posexplode(parts).alias("section", "x")).select("id", "section", "x.heading", "x.text")
+
+
+def split_by_anchors(rows: DataFrame) -> DataFrame:
+    """id, section, heading and text of pages (id, html, anchors: array of title and anchor), cut at the elements with these ids.
+
+    Anchors that the page doesn't have are left out; of several at one place the first names the section. What comes before the
+    first is a section without heading; sections without text are left out. Text is that of `clean_html`.
+    """
+    def at(a: Column) -> Column:
+        """How many characters stand before the tag that has the id."""
+        found = F.greatest(*[F.position(F.concat(F.lit(f" id={q}"), a["anchor"], F.lit(q)), F.col("html")) for q in "\"'"])
+        before = F.col("html").substr(F.lit(1), found)
+        return F.when(found > 0, F.greatest(F.length(before) - F.length(F.substring_index(before, "<", -1)) - 1, F.lit(0)))
+
+    held = F.filter(F.transform("anchors", lambda a, i: F.struct(at(a).alias("at"), i.alias("i"), a["title"].alias("title"))), lambda c: c["at"].isNotNull())
+    cut = rows.select("id", F.coalesce("html", F.lit("")).alias("html"), "anchors").select("id", "html", F.array_sort(F.coalesce(held, F.array().cast("array<struct<at:int,i:int,title:string>>"))).alias("c"))
+    cut = cut.withColumn("c", F.filter("c", lambda c, i: (i == 0) | (F.get("c", i - 1)["at"] != c["at"])))
+    start = F.array(F.struct(F.lit(0).alias("at"), F.lit(-1).alias("i"), F.lit(None).cast("string").alias("title")))
+    cut = cut.withColumn("c", F.concat(start, "c"))
+    end = lambda i: F.coalesce(F.get("c", i + 1)["at"], F.length("html"))
+    parts = F.transform("c", lambda c, i: F.struct(c["title"].alias("heading"), T.clean_html(F.col("html").substr(c["at"] + 1, end(i) - c["at"])).alias("text")))
+    return cut.select("id", F.posexplode(F.filter(parts, lambda x: x["text"] != "")).alias("section", "x")).select("id", "section", "x.heading", "x.text")
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import filters as flt
 from ..operators import retrieval as ret
-from .registry import query
+from .registry import ORACLES, query
 from .streams import shared_folder
 from .views import Tables
 
@@ -94,6 +94,23 @@ def _(t):
     return found.select("id", "book_id", "score", "rank")
 
 
+@query("ret3_hybrid_stored", _hybrid_sql())
+def _(t):
+    """As ret3_hybrid_search, the words' list read from a stored index: the same rows."""
+    return ret.hybrid(t.chunks, t.chunk_vectors, QUERY, query_vector(t), 10, index=ret.TextIndex.build(t.chunks, shared_folder(t)))
+
+
+@query("ret4_search_stored")
+def _(t):
+    """As ret4_search by a stored index, with its filters: they reach the index as the ids that may be found."""
+    index = ret.TextIndex.build(t.chunks, shared_folder(t))
+    found = ret.search(t.chunks, t.chunk_vectors, QUERY, query_vector(t), 10, where=flt.chunk_filter(section="main", chunk_type="content"), index=index)
+    return found.select("id", "book_id", "score", "rank")
+
+
+ORACLES["ret4_search_stored"] = ORACLES["ret4_search"]
+
+
 _NORM = "regexp_replace(lower(text), '\\s+', ' ', 'g')"
 
 

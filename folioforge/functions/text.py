@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -233,21 +233,37 @@ def _among(words: Iterable[str]):
     return lambda w: w.isin(*words)
 
 
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is worked out once for a row, however often fn names it."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def _stop_word_counts(text: Column, languages: Iterable[str]) -> Column:
+    """How many of the text's words are stop words of each language: a list in the languages' order. The text is cut into words once."""
+    lists = [STOP_WORDS[x] for x in languages]
+    known = F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), _among(sorted({w for own in lists for w in own})))
+    return _once(known, lambda t: F.array(*[F.size(F.filter(t, _among(own))) for own in lists]))
+
+
+def _sum(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda s, n: s + n)
+
+
 def detect_language(text: Column, least: int = 50, share: float = 0.9) -> Column:
     """Language by a vote of stop words, null for short texts or votes under `share`."""
-    tokens = F.split(F.lower(text), r"(?U)[^\w]+")
-    votes = {x: F.size(F.filter(tokens, _among(own))) for x, own in ((x, STOP_WORDS[x]) for x in ("en", "de", "fr", "es"))}
-    total = sum(votes.values(), F.lit(0))
-    best = F.array_max(F.array(*[F.struct(v.alias("n"), F.lit(x).alias("lang")) for x, v in votes.items()]))
-    return F.when((F.length(text) >= least) & (total > 0) & (best["n"] >= total * share), best["lang"])
+    languages = ("en", "de", "fr", "es")
+    best = lambda c: F.array_max(F.array(*[F.struct(c[i].alias("n"), F.lit(x).alias("lang")) for i, x in enumerate(languages)]))
+    found = lambda c: F.when((_sum(c) > 0) & (best(c)["n"] >= _sum(c) * share), best(c)["lang"])
+    return F.when(F.length(text) >= least, _once(_stop_word_counts(text, languages), found))
 
 
 def language_votes(text: Column) -> Column:
     """Languages with their share of the vote, greatest first."""
-    tokens = F.split(F.lower(text), r"(?U)[^\w]+")
-    votes = {x: F.size(F.filter(tokens, _among(own))) for x, own in STOP_WORDS.items()}
-    total = F.greatest(sum(votes.values(), F.lit(0)), F.lit(1))
-    return F.slice(F.sort_array(F.array(*[F.struct((v / total).alias("share"), F.lit(x).alias("lang")) for x, v in votes.items()]), asc=False), 1, 3)
+    def shares(counts: Column) -> Column:
+        total = F.greatest(_sum(counts), F.lit(1))
+        return F.array(*[F.struct((counts[i] / total).alias("share"), F.lit(x).alias("lang")) for i, x in enumerate(STOP_WORDS)])
+
+    return F.slice(F.sort_array(_once(_stop_word_counts(text, STOP_WORDS), shares), asc=False), 1, 3)
 
 
 def toc_marker_reason(highlight: Column, note: Column, pos_frac: Column, spine_index: Column, least: int = 20, first_percent: float = 5.0) -> Column:

@@ -97,3 +97,13 @@ def test_folding(spark):
 
 def test_years(spark):
     assert [one(spark, T.first_year(F.col("t")), t=x) for x in ("2020-01-15", "c. 1987, repr.", "n.d.", None)] == [2020, 1987, None, None]
+
+
+def test_votes_cut_a_text_once(spark):
+    """Each language's count and share once was worked out from a cut of its own."""
+    df = spark.createDataFrame([("the cat and le chat et la souris",), ("",), (None,)], "t string")
+    for col in (T.language_votes(F.col("t")), T.detect_language(F.col("t"), least=5, share=0.3)):
+        assert df.select(col.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("split(lower") == 1
+    rows = [[(v["share"] and round(v["share"], 4), v["lang"]) for v in r["x"]] for r in df.select(T.language_votes(F.col("t")).alias("x")).collect()]
+    assert rows == [[(0.3333, "fr"), (0.2222, "it"), (0.2222, "en")], [(0.0, "ru"), (0.0, "pt"), (0.0, "nl")], [(None, "ru"), (None, "pt"), (None, "nl")]]
+    assert one(spark, T.detect_language(F.col("t"), least=5, share=0.3), t="der Hund und die Katze") == "de"

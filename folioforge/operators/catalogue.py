@@ -135,14 +135,17 @@ def prefix_match(paths: DataFrame, roots: DataFrame) -> DataFrame:
 def match_books(entries: DataFrame, books: DataFrame) -> DataFrame:
     """Entries (entry, title, author, asin) with the book they are of: by asin, else by normalised title with the author's name.
 
-    Of several books the least id wins. Equi-joins only; `fuzzy_match` handles what is left.
+    Of several books the least id wins. Equi-joins only, and on either side a row for each different title and author, however many
+    entries and books have them; `fuzzy_match` handles what is left.
     """
-    keyed = entries.withColumn("__t", T.normalize_title(F.col("title")))
-    by_asin = keyed.join(books.filter("asin IS NOT NULL").groupBy("asin").agg(F.min("id").alias("__a")), "asin", "left")
-    titles = books.select(F.col("id").alias("__bid"), T.normalize_title(F.col("title")).alias("__t"), F.lower("author").alias("__bauthor"))
-    both = by_asin.join(titles, "__t", "left")
-    ok = F.col("author").isNull() | (F.col("author") == "") | F.col("__bauthor").contains(F.lower("author")) | F.lower("author").contains(F.col("__bauthor"))
-    best = both.groupBy("entry").agg(F.min("__a").alias("__a"), F.min(F.when(ok, F.col("__bid"))).alias("__b"))
+    none = F.lit(None).cast(books.schema["id"].dataType)
+    by_asin = entries.filter("asin IS NOT NULL").join(books.filter("asin IS NOT NULL").groupBy("asin").agg(F.min("id").alias("__a")), "asin")
+    keyed = entries.select("entry", T.normalize_title(F.col("title")).alias("__t"), F.coalesce(F.lower("author"), F.lit("")).alias("__author"))
+    titles = books.groupBy(T.normalize_title(F.col("title")).alias("__t"), F.lower("author").alias("__bauthor")).agg(F.min("id").alias("__bid"))
+    ok = (F.col("__author") == "") | F.col("__bauthor").contains(F.col("__author")) | F.col("__author").contains(F.col("__bauthor"))
+    by_title = keyed.select("__t", "__author").distinct().join(titles, "__t").filter(ok).groupBy("__t", "__author").agg(F.min("__bid").alias("__b"))
+    both = keyed.join(by_title, ["__t", "__author"], "left").select("entry", none.alias("__a"), "__b").unionByName(by_asin.select("entry", "__a", none.alias("__b")))
+    best = both.groupBy("entry").agg(F.min("__a").alias("__a"), F.min("__b").alias("__b"))
     return best.select("entry", F.coalesce("__a", "__b").alias("book"), F.when(F.col("__a").isNotNull(), "asin").when(F.col("__b").isNotNull(), "title").alias("how"))
 
 

@@ -20,3 +20,18 @@ def spark(tmp_path_factory):
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield s
     s.stop()
+
+
+def most_rows(spark, df):
+    """The rows of df, and the most rows that any step of its plan put out."""
+    rows = df.collect()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    at = runs.apply(runs.size() - 1)
+    values = store.executionMetrics(at.executionId())
+    counts, it = [0], values.valuesIterator()
+    while it.hasNext():
+        v = it.next().replace(",", "")
+        if v.isdigit():
+            counts.append(int(v))
+    return rows, max(counts)

@@ -24,6 +24,7 @@ from folioforge.operators import segments, tables, vectors
 from folioforge.operators.vectors import IVF, embed_texts, hashed_embedder
 from folioforge.sources import annotations, books, chats, clippings, folders, notes, prepared, sqlite
 from folioforge.streaming import incremental as inc
+from tests.conftest import most_rows
 
 CHUNK = "id string, book_id string, text string, chunk_type string, section_type string, language string, tags string, chunk_index int, parent_id string, page_number int, page_label string, indexed_at string, metadata_hash string, annotation_hash string"
 
@@ -573,6 +574,18 @@ def test_chats(spark, tmp_path):
     assert [(r["role"], r["ts"]) for r in chats.read_flat(spark, f"{tmp_path}/f.json").collect()] == [("user", dt.datetime(2024, 1, 1))]
 
 
+def test_matching_does_not_pair_entries_with_all_books_of_a_title(spark):
+    """One title of many entries and books: a row for each pair was made. Authors still count, and the least id wins."""
+    n = 1000
+    lib = spark.range(n).select("id", F.lit("Works").alias("title"), F.when(F.col("id") % 2 == 0, "Ann Ba").otherwise("Cy Do").alias("author"), F.lit(None).cast("string").alias("asin"))
+    author = F.element_at(F.array(F.lit("Ba"), F.lit(""), F.lit("do"), F.lit("nobody"), F.lit(None)), (F.col("id") % 5 + 1).cast("int"))
+    e = spark.range(n).select(F.col("id").alias("entry"), F.lit("The Works!").alias("title"), author.alias("author"), F.when(F.col("id") == 7, "a").alias("asin"))
+    rows, most = most_rows(spark, cat.match_books(e, lib.unionByName(spark.createDataFrame([(2000, "Else", "X", "a")], lib.schema))))
+    want = {0: (0, "title"), 1: (0, "title"), 2: (1, "title"), 3: (None, None), 4: (0, "title")}
+    assert {r["entry"]: (r["book"], r["how"]) for r in rows} == {k: (2000, "asin") if k == 7 else want[k % 5] for k in range(n)}
+    assert most <= 4 * n
+
+
 def test_notes(spark, tmp_path):
     (tmp_path / "n.md").write_text("---\ntitle: A\ntags: [x, y]\n---\n# Head\n\nFirst para [[Link|l]] #tag/sub\n")
     (tmp_path / "bad.md").write_text("---\n: [\n---\nText")

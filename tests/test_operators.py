@@ -586,6 +586,14 @@ def test_matching_does_not_pair_entries_with_all_books_of_a_title(spark):
     assert most <= 4 * n
 
 
+def test_unmatched_entries_are_found_without_pairs(spark):
+    n = 1000
+    lib = spark.range(n).select("id", F.lit("Works").alias("title"), F.lit("x").alias("author"), F.lit("none").alias("asin"))
+    e = spark.range(n).select(F.col("id").alias("entry"), F.when(F.col("id") % 2 == 0, "WORKS").otherwise("Works zz").alias("title"), F.lit("").alias("author"), F.lit(None).cast("string").alias("asin"))
+    rows, most = most_rows(spark, cat.match_books(e, lib).filter("book IS NULL"))
+    assert sorted(r["entry"] for r in rows) == list(range(1, n, 2)) and most <= 4 * n
+
+
 def test_notes(spark, tmp_path):
     (tmp_path / "n.md").write_text("---\ntitle: A\ntags: [x, y]\n---\n# Head\n\nFirst para [[Link|l]] #tag/sub\n")
     (tmp_path / "bad.md").write_text("---\n: [\n---\nText")

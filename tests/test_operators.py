@@ -851,3 +851,37 @@ def test_language_lists_and_tagless_boost(spark, chunks):
     assert {r["id"] for r in mixed.filter(flt.chunk_filter(language="de, fr")).collect()} == {"c1", "c2"}
     tagged = chunks.filter("id = 'c2'").withColumns({"score": F.lit(1.0), "tags": F.lit("Kant")})
     assert [ret.interest_boost(tagged, ["Kant"], include_tags=x).first()["score"] for x in (True, False)] == [1.15, 1.0]
+
+
+def test_edits_are_counted_up_to_a_bound():
+    import random
+
+    r = random.Random(9)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abä") for _ in range(r.randrange(12))) for _ in range(2))
+        most = r.randrange(8)
+        assert cat.edits_at_most(a, b, most) == (edits(a, b) <= most)
+
+
+def test_running_lines_pair_only_lines_that_share_a_segment(spark):
+    """Lines of the same common letters, none alike: each pair was a row of a shuffle."""
+    import random
+
+    r = random.Random(3)
+    n = 600
+    said = [" ".join("".join(r.choice("etaoin") for _ in range(6)) for _ in range(8)) for _ in range(n)]
+    rows = [("b", k, f"{said[k]}\nthe book of runs {k}\nx") for k in range(n)]
+    df = spark.createDataFrame(rows, "book string, page int, text string")
+    got, most = most_rows(spark, ck.running_lines(df))
+    assert {(x["place"], x["line"], x["pages"]) for x in got} == {(p, "the book of runs #", n) for p in ("header", "footer")}
+    lines = spark.createDataFrame([(x, k, 0) for k, x in enumerate(said)], "__t string, __id long, __b long")
+    assert cat.sharing_segments(lines, lines, 0.15).filter("__l <> __s").count() < n * n / 100

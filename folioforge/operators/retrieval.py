@@ -38,8 +38,9 @@ def _is(term: str) -> Callable[[Column], Column]:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """term, id, tf and the chunk's length: an index to store bucketed by term."""
-    t = chunks.select("id", tokens(F.col("text")).alias("t"))
-    return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    # a chunk's words are counted where its text is: texts are shuffled, which are shorter than their postings
+    t = chunks.select("id", "text").repartition("id").select("id", tokens(F.col("text")).alias("t"))
+    return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def _weight(tf: Column, df: Column, n: Column, dl: Column, average: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from . import filters as flt
 from . import tables
-from .segments import Segments
+from .segments import MOST_SENT, Segments
 
 K1, B, RRF_K = 1.2, 0.75, 60
 COMMENT_BOOST, TAG_BOOST, INTEREST_BOOST = 1.2, 1.15, 0.15
@@ -77,6 +77,8 @@ BLOCK, STEPS, IN_FILTER = 1024, 16, 1000
 NUMBERS = "chunks long, texts long, tokens long, buckets long"
 #: Chunks for each bucket of an index that is made, which has MOST_BUCKETS at most.
 PER_BUCKET, MOST_BUCKETS = 5_000, 256
+#: Tasks that a bucket's rows are dealt over.
+FILES = 4
 
 
 class TextIndex:
@@ -143,12 +145,13 @@ class TextIndex:
         return numbers[2] / numbers[1] if numbers[1] else 1.0
 
     def _own(self, chunks: DataFrame, buckets: int) -> DataFrame:
-        """id, dl, the terms with their frequencies, and a bucket of the id, of each chunk."""
-        t = chunks.select("id", tokens(F.col("text")).alias("t"))
-        counted = t.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        held = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("terms"))  # the terms of one chunk
-        out = t.select("id", F.size("t").alias("dl")).join(held, "id", "left")
-        return out.withColumn("bucket", tables.bucket_of("id", buckets))
+        """id, dl, the terms with their frequencies, and a bucket of the id, of each chunk. Texts are dealt by bucket, and nothing else is shuffled."""
+        key = ["bucket", "__file", "id"]
+        dealt = chunks.select("id", "text", tables.bucket_of("id", buckets).alias("bucket"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FILES)).alias("__file")).repartition("bucket", "__file")
+        t = dealt.select(*key, tokens(F.col("text")).alias("t"))
+        counted = t.select(*key, F.size("t").alias("dl"), F.explode_outer("t").alias("term")).groupBy(*key, "term").agg(F.count("term").cast("int").alias("tf"), F.max("dl").alias("dl"))
+        held = F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))))  # the terms of one chunk
+        return counted.groupBy(*key).agg(F.max("dl").alias("dl"), held.alias("terms")).select("id", "dl", "terms", "bucket")
 
     def _postings(self, own: DataFrame, buckets: int) -> DataFrame:
         return own.select("id", "dl", F.explode("terms").alias("term", "tf")).withColumn("bucket", tables.bucket_of("term", buckets))
@@ -156,19 +159,24 @@ class TextIndex:
     def _in_blocks(self, postings: DataFrame, average: float) -> DataFrame:
         """Blocks of postings: by bucket, term and step of impact; a step of many postings is dealt into several blocks, so that no list meets in a task."""
         impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
-        stepped = tables.settle(postings.withColumn("step", F.floor(impact * STEPS).cast("int")))
-        many = stepped.groupBy("term", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).filter("blocks > 1")
-        dealt = stepped.join(many, ["term", "step"], "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
+        stepped = postings.withColumn("step", F.floor(impact * STEPS).cast("int"))
+        many = tables.settle(stepped.groupBy("term", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).filter("blocks > 1"))
+        if many.count() <= MOST_SENT:  # a row for BLOCK postings
+            many = F.broadcast(many)
+        dealt = stepped.join(many, ["term", "step"], "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
+        dealt = dealt.withColumn("__file", F.pmod(F.xxhash64("term", "step", "block"), F.lit(FILES))).repartition("bucket", "__file")
         list_of = F.collect_list(F.struct("id", "tf", "dl"))
-        made = dealt.groupBy("bucket", "term", "step", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), list_of.alias("postings"))
-        return made.withColumn("block_key", F.xxhash64("term", "step", "block")).drop("block")
+        made = dealt.groupBy("bucket", "__file", "term", "step", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), list_of.alias("postings"))
+        return made.withColumn("block_key", F.xxhash64("term", "step", "block")).drop("block", "__file")
 
     def _change(self, chunks: DataFrame | None, ids: DataFrame | None, whole: bool = False) -> None:
         numbers = self.numbers() if not whole else (0, 0, 0, max(1, min(MOST_BUCKETS, chunks.count() // PER_BUCKET)))
         buckets = numbers[3]
-        own = tables.settle(self._own(chunks, buckets)) if chunks is not None else None
-        old = self._owned(ids) if ids is not None else None
         batch, changes = self.own.state().last + 1, []
+        # written once, and read again for the rest: it counts when the last table is written
+        has = chunks is not None and self.own.put(self._own(chunks, buckets), batch)
+        own = self.own.batch(batch) if has else None
+        old = self._owned(ids) if ids is not None else None
         for d, sign in ((own, 1), (old, -1)):
             if d is not None:
                 more = d.agg(F.count(F.lit(1)), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
@@ -176,8 +184,8 @@ class TextIndex:
                 changes.append(self._postings(d, buckets).select("bucket", "term", F.lit(sign).alias("n")))
         self._count(numbers, batch)
         self.frequencies.change(reduce(DataFrame.union, changes).groupBy("bucket", "term").agg(F.sum("n").alias("n")).filter("n <> 0") if changes else None, batch=batch, whole=whole)
-        self.blocks.change(self._in_blocks(self._postings(own, buckets), self._average(numbers)) if own is not None else None, batch=batch, whole=whole)
-        self.own.change(own, ids, batch=batch, whole=whole)
+        self.blocks.change(self._in_blocks(self._postings(own, buckets), self._average(numbers)) if own is not None else None, batch=batch, whole=whole, dealt=True)
+        self.own.change(None, ids, batch=batch, whole=whole, written=has)
 
     def _owned(self, ids: DataFrame) -> DataFrame | None:
         """The stored rows of some ids; their buckets prune folders, and a few ids reach the scan."""

@@ -69,11 +69,25 @@ class Segments:
         dealt.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(self.part).parquet(f"{self.path}/rows/batch={batch}")
         return not rows.isEmpty()
 
-    def change(self, rows: DataFrame | None, gone: DataFrame | None = None, retain: float = tables.RETAIN, batch: int | None = None, whole: bool = False) -> None:
-        """rows come in; older rows of the keys in `gone` are no longer there, or none if the rows are the whole table."""
+    def put(self, rows: DataFrame, batch: int) -> bool:
+        """rows as a batch that doesn't count yet; each part's rows are dealt over few tasks already. Whether there were any."""
+        at = f"{self.path}/rows/batch={batch}"
+        rows.sortWithinPartitions(self.part, *self.order).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(self.part).parquet(at)
+        return tables.has_parts(self.spark, at, self.part)
+
+    def batch(self, batch: int) -> DataFrame:
+        """The rows of one batch, whether it counts or not."""
+        at = f"{self.path}/rows/batch={batch}"
+        return self.spark.read.option("basePath", at).parquet(at)
+
+    def change(self, rows: DataFrame | None, gone: DataFrame | None = None, retain: float = tables.RETAIN, batch: int | None = None, whole: bool = False, dealt: bool = False, written: bool = False) -> None:
+        """rows come in; older rows of the keys in `gone` are no longer there, or none if the rows are the whole table.
+
+        dealt: the rows are as `put` wants them; written: rows of this batch were put there before.
+        """
         s = self.state()
         batch = batch or s.last + 1
-        has = rows is not None and self._write(rows, batch)
+        has = written or (rows is not None and (self.put if dealt else self._write)(rows, batch))
         n = 0
         if gone is not None:
             gone = tables.settle(gone.select(self.key).distinct())

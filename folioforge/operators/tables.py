@@ -97,6 +97,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _Files(spark, path).exists(path)
 
 
+def has_parts(spark: SparkSession, path: str, part: str) -> bool:
+    """Whether a folder has folders of a partition column: rows were written."""
+    return any(name.startswith(f"{part}=") for name, _ in _Files(spark, path).folders(path))
+
+
 def current(spark: SparkSession, path: str) -> str | None:
     """The folder of the version that counts; none if there is no table."""
     files = _Files(spark, path)

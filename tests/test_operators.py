@@ -885,3 +885,23 @@ def test_running_lines_pair_only_lines_that_share_a_segment(spark):
     assert {(x["place"], x["line"], x["pages"]) for x in got} == {(p, "the book of runs #", n) for p in ("header", "footer")}
     lines = spark.createDataFrame([(x, k, 0) for k, x in enumerate(said)], "__t string, __id long, __b long")
     assert cat.sharing_segments(lines, lines, 0.15).filter("__l <> __s").count() < n * n / 100
+
+
+def test_indexes_shuffle_texts_and_each_posting_once(spark, tmp_path):
+    """Postings of 400 chunks of 200 different words: they went through a shuffle four times in a build, once in a list of postings."""
+    n, words = 400, 200
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda k: F.concat(F.lit("w"), ((k + F.col("id")) % 500).cast("string"))), " ")
+    chunks = spark.range(n).select("id", text.alias("text")).unionByName(spark.createDataFrame([(n, ""), (n + 1, None)], "id long, text string"))
+
+    def shuffled(run):
+        store = spark._jvm.org.apache.spark.SparkContext.getOrCreate().statusStore()
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        total = lambda: sum(s.shuffleWriteRecords() for s in (stages.apply(i) for stages in [store.stageList(None, False, False, none, None)] for i in range(stages.size())))
+        before = total()
+        return run(), total() - before
+
+    rows, moved = shuffled(lambda: ret.postings(chunks).collect())
+    assert len(rows) == n * words and all(r["tf"] == 1 and r["dl"] == words for r in rows) and moved < 2 * n
+    index, moved = shuffled(lambda: ret.TextIndex.build(chunks, f"{tmp_path}/i"))
+    assert index.numbers()[:3] == (n + 2, n + 1, n * words) and moved < 2 * n * words
+    assert index.top("w7 w450", 5).collect() == ret.ranked(ret.bm25(chunks, "w7 w450"), 5).collect()

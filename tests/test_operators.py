@@ -905,3 +905,34 @@ def test_indexes_shuffle_texts_and_each_posting_once(spark, tmp_path):
     index, moved = shuffled(lambda: ret.TextIndex.build(chunks, f"{tmp_path}/i"))
     assert index.numbers()[:3] == (n + 2, n + 1, n * words) and moved < 2 * n * words
     assert index.top("w7 w450", 5).collect() == ret.ranked(ret.bm25(chunks, "w7 w450"), 5).collect()
+
+
+def test_long_lines_are_paired_by_length_and_letters(spark):
+    """Each place of a long line was a row of a shuffle, and lines of the same short words had a segment in common."""
+    import random
+
+    r = random.Random(5)
+    n = 60
+    said = []
+    for k in range(n):
+        own = ["".join(r.choice("etaoin" if k % 2 else "shrdlu") for _ in range(5)) for _ in range(10)]
+        said.append(" ".join(own * 50))
+    lines = spark.createDataFrame([(x, k, 0) for k, x in enumerate(said)], "__t string, __id long, __b long")
+    got, most = most_rows(spark, cat.sharing_segments(lines, lines, 0.15, lines, 6))
+    assert not any(a["edits"] and a["__l"] != a["__s"] for a in got) and most < n * 1000  # of 3000 characters each
+
+    # every pair with the most edits that are allowed, on either side of the length from which lines count as long
+    def spoilt(x, edits):
+        out = list(x)
+        for at in sorted(r.sample(range(len(x)), edits), reverse=True):
+            out[at : at + 1] = r.choice(([], [r.choice("xyz")], [out[at], r.choice("xyz")]))
+        return "".join(out)
+
+    rows = []
+    for size in (100, 220, 250, 256, 257, 262, 300, 700):
+        x = "".join(r.choice("etaoin shrdlu") for _ in range(size))
+        rows += [(x, spoilt(x, e)) for e in (0, 1, size // 20, size * 3 // 20, size * 3 // 20 + 4, size // 5)]
+    texts = sorted({t for pair in rows for t in pair})
+    x = spark.createDataFrame([(t,) for t in texts], "__x string")
+    got = {(a["__x"], a["__y"]) for a in cat.close_titles(x, x.withColumnRenamed("__x", "__y"), 0.15).collect()}
+    assert got == {(a, b) for a in texts for b in texts if cat.edits_at_most(a, b, int(max(len(a), len(b)) * 0.15 + 1e-6))}

@@ -936,3 +936,22 @@ def test_long_lines_are_paired_by_length_and_letters(spark):
     x = spark.createDataFrame([(t,) for t in texts], "__x string")
     got = {(a["__x"], a["__y"]) for a in cat.close_titles(x, x.withColumnRenamed("__x", "__y"), 0.15).collect()}
     assert got == {(a, b) for a in texts for b in texts if cat.edits_at_most(a, b, int(max(len(a), len(b)) * 0.15 + 1e-6))}
+
+
+def test_chunk_workers_hold_few_characters(spark):
+    """Chunks were handed on by their number, however long they are: each says how many there were when it was made."""
+
+    class Made(dict):
+        alive = 0
+
+        def __init__(self, **own):
+            Made.alive += 1
+            super().__init__(own, alive=Made.alive)
+
+        def __del__(self):
+            Made.alive -= 1
+
+    df = spark.range(0, 2000, 1, 1).select("id", F.lit("x").alias("text"))
+    got = ck.explode_chunks(df, lambda x: [Made(text=x * 5000), Made(text=None)], "text string, alive int").select("id", "chunk_index", F.length("text").alias("n"), "alive").collect()
+    assert [(r["id"], r["chunk_index"], r["n"]) for r in got] == [(k, i, n) for k in range(2000) for i, n in enumerate((5000, None))]
+    assert max(r["alive"] for r in got) <= 2 * ((1 << 20) // 5000 + 2)

@@ -117,10 +117,30 @@ def tag_instructions(books: DataFrame, key: Column, tag: str = "duplicate") -> D
     return later.select("id", "key", F.concat(F.lit("calibredb set_metadata "), F.col("id").cast("string"), F.lit(f" --field tags:+{tag}")).alias("command"))
 
 
+#: Books of a block, about: a task holds the pairs of two blocks at most.
+BLOCK = 200
+
+
 def duplicate_pairs(identifiers: DataFrame) -> DataFrame:
-    """Pairs of books that share an identifier's type and value, the lesser first."""
-    a, b = identifiers.alias("a"), identifiers.alias("b")
-    return a.join(b, F.expr("a.type = b.type AND a.val = b.val AND a.book < b.book")).select(F.col("a.book").alias("book1"), F.col("b.book").alias("book2"), "a.type", "a.val")
+    """Pairs of books that share an identifier's type and value, the lesser first.
+
+    The books of an identifier are dealt into blocks of about BLOCK; each block meets itself and each other one in a unit of its
+    own, and units are dealt over all tasks, however many books share the identifier.
+    """
+    spark = identifiers.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    key, unit = ["type", "val"], ["type", "val", "__low", "__high"]
+    own = identifiers.filter("type IS NOT NULL AND val IS NOT NULL AND book IS NOT NULL")
+    large = own.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("__n")).filter("__n > 1")
+    dealt = own.join(large, key, "left").select(*key, "book", F.coalesce("__n", F.lit(1)).alias("__n")).withColumn("__side", F.pmod(F.xxhash64("book"), "__n"))
+    blocks = dealt.groupBy(*key, "__n", "__side").agg(F.collect_list("book").alias("__books"))
+    each = blocks.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    sides = each.select(*key, F.least("__side", "__other").alias("__low"), F.greatest("__side", "__other").alias("__high"), "__books")
+    # the number is given, since units are few bytes and many pairs: partitions aren't to be merged by their bytes
+    met = sides.repartition(parts, "val", "__low", "__high").groupBy(*unit).agg(F.min("__books").alias("__xs"), F.max("__books").alias("__ys"), F.count(F.lit(1)).alias("__sides"))
+    both = met.filter("__low = __high OR __sides = 2").select(*unit, F.explode("__xs").alias("__x"), "__ys").select(*unit, "__x", F.explode("__ys").alias("__y"))
+    # books of two blocks differ, so either may be the lesser; in a block each pair comes both ways
+    return both.filter("__low < __high OR __x < __y").select(F.least("__x", "__y").alias("book1"), F.greatest("__x", "__y").alias("book2"), *key)
 
 
 def title_author_key(title: Column, authors: Column) -> Column:

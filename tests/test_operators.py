@@ -955,3 +955,18 @@ def test_chunk_workers_hold_few_characters(spark):
     got = ck.explode_chunks(df, lambda x: [Made(text=x * 5000), Made(text=None)], "text string, alive int").select("id", "chunk_index", F.length("text").alias("n"), "alive").collect()
     assert [(r["id"], r["chunk_index"], r["n"]) for r in got] == [(k, i, n) for k in range(2000) for i, n in enumerate((5000, None))]
     assert max(r["alive"] for r in got) <= 2 * ((1 << 20) // 5000 + 2)
+
+
+def test_pairs_of_one_identifier_are_dealt_over_tasks(spark):
+    """All pairs of an identifier were made by one task."""
+    own = spark.range(0, 1500, 1, 1).select(F.col("id").alias("book"), F.lit("isbn").alias("type"), F.when(F.col("id") < 1300, "x").when(F.col("id") < 1400, F.col("id").cast("string")).otherwise(F.concat(F.lit("y"), (F.col("id") % 40).cast("string"))).alias("val"))
+    odd = spark.createDataFrame([(1, "isbn", None), (2, "isbn", None), (3, None, "z"), (4, None, "z"), (None, "isbn", "x"), (7, "asin", "z"), (7, "asin", "z"), (9, "asin", "z"), (9, "isbn", "z")], "book long, type string, val string")
+    every = own.unionByName(odd)
+    got = cat.duplicate_pairs(every).withColumn("task", F.spark_partition_id()).collect()
+    held = {}
+    for r in every.collect():
+        held.setdefault((r["type"], r["val"]), []).append(r["book"])
+    want = sorted((a, b, *k) for k, v in held.items() if None not in k for a in v for b in v if a is not None and b is not None and a < b)
+    assert sorted((r["book1"], r["book2"], r["type"], r["val"]) for r in got) == want
+    tasks = [r["task"] for r in got]
+    assert max(tasks.count(k) for k in set(tasks)) < len(tasks) / 2

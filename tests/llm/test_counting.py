@@ -177,6 +177,20 @@ def test_collocations_with_many_hashes_shards_and_slices(docs, rows, monkeypatch
     assert sorted(map(tuple, collocations.mine(docs, limit=7).collect())) == plain_collocations(rows, 7)
 
 
+def test_collocations_shuffle_no_row_for_each_rare_word_or_phrase(spark):
+    """Each word of a task was a row of a shuffle, and words came with every candidate, whether it could rank or not."""
+    r = random.Random(4)
+    often = [f"w{k}" for k in range(200)]
+    made = [(k, " ".join([*(f"rare{k}x{j}" for j in range(60)), ".", *(f"{often[j]} {often[(j + 1) % 200]}." for j in r.sample(range(200), 40))]), "en", "s") for k in range(300)]
+    store = spark._jvm.org.apache.spark.SparkContext.getOrCreate().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    total = lambda: sum(s.shuffleWriteRecords() for s in (stages.apply(i) for stages in [store.stageList(None, False, False, none, None)] for i in range(stages.size())))
+    before = total()
+    found = collocations.mine(spark.createDataFrame(made, "doc_id long, text string, lang string, source string").repartition(4), limit=20)
+    assert sorted(map(tuple, found.collect())) == plain_collocations(made, 20)
+    assert total() - before < 300 * 60 / 4
+
+
 def test_minimal_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 63, 64, 5000):

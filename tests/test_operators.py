@@ -970,3 +970,19 @@ def test_pairs_of_one_identifier_are_dealt_over_tasks(spark):
     assert sorted((r["book1"], r["book2"], r["type"], r["val"]) for r in got) == want
     tasks = [r["task"] for r in got]
     assert max(tasks.count(k) for k in set(tasks)) < len(tasks) / 2
+
+
+def test_lines_within_others_are_looked_for_whole(spark):
+    """Lines that begin alike met every line that has these six characters anywhere."""
+    import random
+
+    r = random.Random(11)
+    word = lambda k: "".join(r.choice("etaoin") for _ in range(k))
+    held = ["the bo" + word(k) for k in (0, 1, 2, 5, 6, 7, 17, 18, 41, 42, 90, 185, 186, 187, 300)]
+    said = [*held, *(f"{word(4)} the book {word(30)} {k}" for k in range(400)), *(f"{word(3)}{x}{word(9)}é" for x in held), held[3] * 2, "short"]
+    lines = spark.createDataFrame([(x, k, 0) for k, x in enumerate(said)] + [(held[9], len(said), 1)], "__t string, __id long, __b long")
+    within = lines.filter(F.length("__t") > 5)
+    got, most = most_rows(spark, cat.sharing_segments(lines, lines, 0.0, within, 6).filter("NOT edits"))
+    want = {(a, b) for a, x in enumerate(said) for b, y in enumerate(said) if a != b and 6 <= len(x) < len(y) and x in y}
+    assert {(p["__l"], p["__s"]) for p in got if p["__l"] < len(said) and p["__s"] < len(said)} >= want
+    assert len(got) < 2 * len(want) and most < 10 * len(said)
